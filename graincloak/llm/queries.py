@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import pii_votes, trigram_secrets
 from .bestfit_pack import best_fit_pack
+from .bm25_decontam import decontaminate
 from .chat_parts import PARTS, digests, format_turns
 from .ftrl_quality import score, train
 from .ngram_join import jaccard_components
@@ -16,6 +18,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_votes(spark, sf_dir):
+    found = pii_votes.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *pii_votes.digest(found))
+
+
 def op2_repetition_rules(spark, sf_dir):
     return repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -27,6 +34,12 @@ def op3_chat_parts(spark, sf_dir):
     return digests(format_turns(said.unionByName(fixed).withColumn("parts", F.array(part).cast(PARTS))))
 
 
+def op4_bm25_decontam(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", "m.*")
+
+
 def op5_ftrl_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -50,5 +63,39 @@ def op8_rlz_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_trigram_secrets(spark, sf_dir):
+    found = trigram_secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *trigram_secrets.digest(found))
+
+
 def op10_ngram_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def queries():
+    """Name to query, for every op here and the pipeline's."""
+    import corpus_pipeline
+
+    ops = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return dict(sorted(ops.items(), key=lambda kv: int(kv[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
+
+
+# fixed values: the control strings that the chat template breaks up
+_CONTROL = r"<(\||/?s>)|\[/?INST\]"
+_SAID = """(SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')"""
+
+
+def oracle_sql():
+    slashes = lambda c: f"length({c}) - length(replace({c}, chr(92), ''))"
+    escaped = lambda c: f"length({c}) + {slashes(c)} + len(regexp_extract_all({c}, '{_CONTROL}'))"
+    said = f"(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {_SAID})"
+    return {
+        "op3_chat_parts": f"""
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(8 + {escaped("role")} + 1 + {escaped("text")} + 8) AS BIGINT) AS formatted_chars
+FROM {said} GROUP BY conv_id""",
+    }
