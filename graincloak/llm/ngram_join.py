@@ -139,28 +139,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     some = (F.col("n") > 0) & (F.col("id") != NULL_ID)
     classes = sigs.filter(some).groupBy(*key).agg(F.min("id").alias("rep"))
     keyed = sigs.filter(some).join(classes, key)
-    reps = keyed.filter("id = rep").dropDuplicates(["id", *key])
+    reps = keyed.filter("id = rep").dropDuplicates(["id"])
 
     token = Window.partitionBy("tok")
-    posted = reps.select("id", "n", "k1", F.posexplode("top").alias("pos", "tok")).select("*", F.count("*").over(token).alias("df")).filter("df > 1")
-    posted = saved(posted.join(reps.select("id", "k1", "n", "ranges"), ["id", "k1", "n"]).select("tok", "id", "n", "pos", "ranges"))
-
-    wanted = posted.select("id").distinct()
-    few = wanted.count() <= 500_000  # 4 MB of ids: else they are joined by shuffle
+    posted = reps.select("id", "n", F.posexplode("top").alias("pos", "tok")).select("*", F.count("*").over(token).alias("df")).filter("df > 1")
+    posted = saved(posted.join(reps.select("id", "ranges"), "id").select("tok", "id", "n", "pos", "ranges"))
 
     def grams(rows, data, offsets):
         all_grams, of = shingles(Words(data, offsets, lower=True), n)
         own = [np.unique(all_grams[a:b]) for a, b in zip(of[:-1], of[1:])]
         return [rows.column("id"), blobs(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))]
 
-    sets = saved(map_slices(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "text", grams, "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams")))
+    def sets(pairs):
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        few = wanted.count() <= 500_000  # 4 MB of ids: more are joined by shuffle
+        return saved(map_slices(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "text", grams, "id long, grams binary"))
 
     alike = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (num + den) >= (F.col("n") + F.col("n2")) * num)
     apart = F.aggregate(F.zip_with("ranges", "ranges2", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     alike &= apart * (num + den) <= (F.col("n") + F.col("n2")) * (den - num)
 
     done = spark.createDataFrame([], "a long, b long, linked boolean")
-    found = None
     for step, most in enumerate((*pivots, None)):
         comp = components(done.filter("linked").select("a", "b")) if step else None
         here = posted.withColumn("comp", F.col("id")) if comp is None else posted.join(comp, "id", "left").withColumn("comp", F.coalesce("low", "id")).drop("low")
@@ -170,8 +169,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         right = here.select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "ranges", "comp")))
         once = (F.col("comp2") == F.col("main")) | (F.col("id") < F.col("id2")) if most is None else F.lit(True)
         pairs = left.join(right, "tok").filter((F.col("comp") != F.col("comp2")) & once & alike).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        found = verify(pairs.join(done, ["a", "b"], "left_anti"), sets, num, den)
-        done = saved(done.unionByName(found))
+        pairs = saved(pairs.join(done, ["a", "b"], "left_anti"))
+        done = saved(done.unionByName(verify(pairs, sets(pairs), num, den).distinct()))
 
     comp = components(done.filter("linked").select("a", "b")).withColumnRenamed("id", "rep")
     linked = keyed.select("id", "n", "rep").join(comp, "rep", "left").select("id", "n", F.coalesce("low", "rep").alias("low"))
