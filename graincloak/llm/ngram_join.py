@@ -9,8 +9,9 @@ Every text becomes a set of word n-gram hashes. Two texts link when ``den * |A &
    one set only are dropped.
 4. Candidates pass length, positional and suffix filters (the last on counts of the set in 16 hash ranges) and are
    verified once. So as not to emit all pairs of a group, two rounds first compare every member of a bucket with a few
-   pivots; the last round compares whatever pairs of a bucket are still in different components. Any two linked texts end
-   up in one component, and no pair inside a component is compared again.
+   pivots; the last round compares whatever pairs of a bucket are still in different components, and does so in blocks where
+   a bucket has more than CROWD of them. Any two linked texts end up in one component, and no pair inside a component is
+   compared again.
 
 Defined results: null or empty texts have an empty set and link with nothing; rows that repeat an id and a text are one
 node; rows with a null id link with nothing (null id and component_id out); extra columns are ignored.
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcols import U, Words, blobs, map_slices, mix, saved, signed, slices
+from .textcols import U, Words, blobs, map_slices, mix, saved, signed, slices, text_bytes
 
 SKETCH_BITS = 20
 CHUNKS = 64
 RANGES = 16
+CROWD = 10_000
 NULL_ID = -(1 << 63)
 
 
@@ -113,23 +115,69 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets link."""
+def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``pairs`` with whether the whole sets link. Only texts that are in a pair are moved; they are smaller than their sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = wanted.count() <= 500_000  # 4 MB of ids: more are joined by shuffle
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                ok.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
-
-    x, y = (sets.select(F.col("id").alias(i), F.col("grams").alias(v)) for i, v in (("a", "x"), ("b", "y")))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pivots: tuple[int, ...] = (2, 6)) -> DataFrame:
+            for rows, data, offsets in slices(batch, "x"):
+                x, x_of = shingles(Words(data, offsets, lower=True), n)
+                y, y_of = shingles(Words(*text_bytes(rows.column("y")), lower=True), n)
+                ok = []
+                for k in range(len(rows)):
+                    p, q = np.unique(x[x_of[k] : x_of[k + 1]]), np.unique(y[y_of[k] : y_of[k + 1]])
+                    both = len(p) + len(q) - len(np.union1d(p, q))
+                    ok.append(den * both >= num * (len(p) + len(q) - both))
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+
+    x, y = (texts.select(F.col("id").alias(i), F.col("text").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").distinct()
+
+
+def verify_blocks(left: DataFrame, right: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links between ``left`` and ``right`` (tok, id, n, comp, chunk: an array of chunk sizes) of buckets with very many
+    pairs. Both sides are cut into chunks; every two chunks of a bucket meet in one group of bounded size, which holds their
+    texts and compares them at once. Two texts are compared in the smallest of the buckets that they share."""
+    lefts, rights = (F.ceil(F.col(c) / F.col("chunk")) for c in ("many_left", "many_right"))
+    here = F.pmod(F.xxhash64("id"), F.col("mine"))
+    sides = [side.withColumn("mine", mine).withColumn("here", here).withColumn("there", F.explode(F.sequence(F.lit(0), (other - 1).cast("int")))).select("tok", "id", "comp", F.lit(k).alias("side"), F.when(F.lit(k == 0), F.col("here")).otherwise(F.col("there")).cast("int").alias("i"), F.when(F.lit(k == 0), F.col("there")).otherwise(F.col("here")).cast("int").alias("j")) for k, (side, mine, other) in enumerate(((left, lefts, rights), (right, rights, lefts)))]
+    toks = right.groupBy("id").agg(F.collect_set("tok").alias("toks"))  # at most a prefix
+    rows = sides[0].unionByName(sides[1]).join(toks, "id").join(docs, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+        tok = table.column("tok")[0].as_py()
+        lower = [{t for t in x if t < tok} for x in table.column("toks").to_pylist()]
+        grams, of = shingles(Words(*text_bytes(table.column("text").combine_chunks()), lower=True), n)
+        own = [np.unique(grams[a:b]) for a, b in zip(of[:-1], of[1:])]
+        names, at = np.unique(np.concatenate(own), return_inverse=True)
+        size = np.array([len(x) for x in own])
+        doc = np.repeat(np.arange(len(own)), size)
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        both = np.zeros((len(p), len(q)), np.float32)
+        where = np.zeros((2, len(own)), np.int64)
+        where[0, p], where[1, q] = np.arange(len(p)), np.arange(len(q))
+        for k in range(0, len(names), 4096):
+            part = (at >= k) & (at < k + 4096)
+            dense = [np.zeros((len(m), min(4096, len(names) - k)), np.float32) for m in (p, q)]
+            for s in (0, 1):
+                mine = part & (side[doc] == s)
+                dense[s][where[s, doc[mine]], at[mine] - k] = 1
+            both += dense[0] @ dense[1].T
+        linked = (den * both >= num * (size[p][:, None] + size[q][None, :] - both)) & (comp[p][:, None] != comp[q][None, :])
+        i, j = np.nonzero(linked)
+        new = np.array([not (lower[a] & lower[b]) for a, b in zip(p[i], q[j])], bool)
+        a, b = ids[p[i]][new], ids[q[j]][new]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(len(a), bool))], ["a", "b", "linked"])
+
+    return rows.groupBy("tok", "i", "j").applyInArrow(run, "a long, b long, linked boolean").distinct()
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pivots: tuple[int, ...] = (1, 4)) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -145,16 +193,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     posted = reps.select("id", "n", F.posexplode("top").alias("pos", "tok")).select("*", F.count("*").over(token).alias("df")).filter("df > 1")
     posted = saved(posted.join(reps.select("id", "ranges"), "id").select("tok", "id", "n", "pos", "ranges"))
 
-    def grams(rows, data, offsets):
-        all_grams, of = shingles(Words(data, offsets, lower=True), n)
-        own = [np.unique(all_grams[a:b]) for a, b in zip(of[:-1], of[1:])]
-        return [rows.column("id"), blobs(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))]
-
-    def sets(pairs):
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        few = wanted.count() <= 500_000  # 4 MB of ids: more are joined by shuffle
-        return saved(map_slices(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "text", grams, "id long, grams binary"))
-
     alike = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (num + den) >= (F.col("n") + F.col("n2")) * num)
     apart = F.aggregate(F.zip_with("ranges", "ranges2", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     alike &= apart * (num + den) <= (F.col("n") + F.col("n2")) * (den - num)
@@ -163,14 +201,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     for step, most in enumerate((*pivots, None)):
         comp = components(done.filter("linked").select("a", "b")) if step else None
         here = posted.withColumn("comp", F.col("id")) if comp is None else posted.join(comp, "id", "left").withColumn("comp", F.coalesce("low", "id")).drop("low")
-        sizes = here.groupBy("tok", "comp").count().groupBy("tok").agg(F.max(F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("tok", F.col("main.comp").alias("main"))
-        here = saved(here.join(sizes, "tok"))
-        left = here.filter("comp <> main") if most is None else here.withColumn("rank", F.row_number().over(token.orderBy(F.xxhash64("id", F.lit(step)), "id"))).filter(F.col("rank") <= most)
-        right = here.select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "ranges", "comp")))
+        sizes = here.groupBy("tok", "comp").count().groupBy("tok").agg(F.max(F.struct("count", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("count").alias("many_right")).filter("comps > 1")
+        here = here.join(sizes.select("tok", F.col("main.comp").alias("main"), "many_right", (F.col("many_right") - F.col("main.count")).alias("many_left")), "tok")
+        here = saved(here)
+        if most is not None:
+            left = right = here
+            left = left.withColumn("rank", F.row_number().over(token.orderBy(F.xxhash64("id", F.lit(step)), "id"))).filter(F.col("rank") <= most)
+        else:
+            crowd = F.col("many_left") * F.col("many_right") > CROWD
+            left, right = here.filter("comp <> main").filter(~crowd), here.filter(~crowd)
+        right = right.select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "ranges", "comp")))
         once = (F.col("comp2") == F.col("main")) | (F.col("id") < F.col("id2")) if most is None else F.lit(True)
         pairs = left.join(right, "tok").filter((F.col("comp") != F.col("comp2")) & once & alike).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         pairs = saved(pairs.join(done, ["a", "b"], "left_anti"))
-        done = saved(done.unionByName(verify(pairs, sets(pairs), num, den).distinct()))
+        found = verify(pairs, docs, n, num, den)
+        if most is None:
+            longest = Window.partitionBy("tok")
+            crowded = here.filter(crowd).withColumn("chunk", F.greatest(F.lit(16), F.least(F.lit(500), F.floor(400_000 / F.max("n").over(longest)))))
+            if not crowded.isEmpty():
+                found = found.unionByName(verify_blocks(crowded.filter("comp <> main"), crowded, docs, n, num, den))
+        done = saved(done.unionByName(found))
 
     comp = components(done.filter("linked").select("a", "b")).withColumnRenamed("id", "rep")
     linked = keyed.select("id", "n", "rep").join(comp, "rep", "left").select("id", "n", F.coalesce("low", "rep").alias("low"))
