@@ -1,9 +1,175 @@
-"""The registered queries of the anonymisation jobs."""
+"""The registered queries of the anonymisation jobs, with the SQL that gives the same rows."""
+
+from pyspark.sql import functions as F
+
+from graincloak.functions.encode import encode_codes, encode_onehot, standardise
+from graincloak.operators.metrics import linkage, linkage_rates, ncp, utility
+from graincloak.operators.mondrian import mondrian
+from graincloak.operators.release import audit, range_text, record_level, release, set_text, skew
+from graincloak.operators.remainder import centroids, nearest
+from graincloak.sources.tables import ORDERS as WHO
+from graincloak.sources.tables import complete, people, read_table
+
+DIMS = [f"z_{c}" for c in WHO.identifiers]
+STATUS = ["F", "O", "P"]
+LEVELS = 24
+
+
+def encoded(spark, sf_dir):
+    df = complete(people(spark, sf_dir), WHO)
+    return encode_codes(standardise(df, list(WHO.numeric)), list(WHO.categorical))
+
+
+def assigned(spark, sf_dir):
+    rows = encoded(spark, sf_dir).persist()
+    return rows, mondrian(rows, WHO.key, DIMS, WHO.k).persist()
+
+
+def released(spark, sf_dir):
+    rows, groups = assigned(spark, sf_dir)
+    return rows, groups, release(rows, groups, WHO).persist()
+
+
+def encode_query(spark, sf_dir):
+    return encoded(spark, sf_dir).select("row_key", *(F.round(c, 6).alias(c) for c in DIMS))
+
+
+def onehot_query(spark, sf_dir):
+    return encode_onehot(complete(people(spark, sf_dir), WHO), "status", STATUS).select("row_key", *(f"status_{v}" for v in STATUS))
+
+
+def node_stats_query(spark, sf_dir):
+    df = people(spark, sf_dir)
+    return df.groupBy("nation").agg(F.count("*").alias("m"), F.count_distinct("segment").alias("sa_values"), F.round(F.median("totalprice"), 4).alias("med"), F.round(F.var_pop("acctbal"), 2).alias("var_pop"), F.round(F.var_samp("days"), 2).alias("var_samp"))
+
+
+def mondrian_query(spark, sf_dir):
+    return assigned(spark, sf_dir)[1]
+
+
+def release_query(spark, sf_dir):
+    out = released(spark, sf_dir)[2]
+    ranges = [F.round(f"{c}_{n}", 4).alias(f"{c}_{n}") for c in WHO.numeric for n in ("lo", "hi")]
+    sets = [set_text(F.col(f"{c}_set")).alias(c) for c in WHO.categorical]
+    return out.select("group_id", "group_size", "sa_values", *ranges, *sets, "sa_first", F.round("p_max", 6).alias("p_max"), F.round("entropy", 6).alias("entropy"), F.round("entropy_bits", 6).alias("entropy_bits"))
+
+
+def release_text_query(spark, sf_dir):
+    df = people(spark, sf_dir).groupBy("nation").agg(F.min("days").cast("long").alias("lo"), F.max("days").cast("long").alias("hi"), F.array_sort(F.collect_set("priority")).alias("s"))
+    return df.select("nation", range_text(F.col("lo"), F.col("hi")).alias("days"), set_text(F.col("s"), trim=True).alias("priority"))
+
+
+def histogram_query(spark, sf_dir):
+    out = skew(people(spark, sf_dir), "nation", "segment")
+    text = F.array_join(F.transform(F.map_entries("histogram"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return out.select("nation", "group_size", text.alias("histogram"), F.round("entropy_bits", 6).alias("entropy_bits"))
+
+
+def ncp_query(spark, sf_dir):
+    rows, _, out = released(spark, sf_dir)
+    return ncp(out, rows, WHO).select("n_groups", "n_rows", F.round("ncp", 8).alias("ncp"))
+
+
+def utility_query(spark, sf_dir):
+    rows, _, out = released(spark, sf_dir)
+    got = utility(out, rows, WHO)
+    return got.select("n_groups", "min_size", "max_size", *(F.round(c, 8).alias(c) for c in ("avg_size", "avg_p_max", "max_p_max", "avg_entropy", "avg_entropy_bits", "avg_loss")))
+
+
+def audit_query(spark, sf_dir):
+    return audit(released(spark, sf_dir)[2], WHO, alpha=0.5, entropy=0.5)
+
+
+def record_query(spark, sf_dir):
+    rows, groups, out = released(spark, sf_dir)
+    return record_level(rows, groups, out, WHO).select("row_key", "segment", "group_id", "group_size", F.round("totalprice_lo", 4).alias("totalprice_lo"), F.round("totalprice_hi", 4).alias("totalprice_hi"))
+
+
+def linkage_query(spark, sf_dir):
+    rows, _, out = released(spark, sf_dir)
+    return linkage(out, rows, WHO)
+
+
+def linkage_rates_query(spark, sf_dir):
+    got = linkage_rates(linkage_query(spark, sf_dir))
+    return got.select("n_external", F.round("umr", 8).alias("umr"), F.round("err", 8).alias("err"))
+
+
+def nearest_query(spark, sf_dir):
+    """Each customer's nearest nation, by the mean balance and order price of its orders."""
+    df = standardise(people(spark, sf_dir), ["totalprice", "acctbal"])
+    dims = ["z_totalprice", "z_acctbal"]
+    groups = df.select("row_key", F.col("nation").alias("group_id"))
+    return nearest(df, centroids(df, groups, "row_key", dims), "row_key", dims)
+
+
+def visits_query(spark, sf_dir):
+    """Sensitive-value statistics of a skewed table: the events of each hour."""
+    events = read_table(spark, f"{sf_dir}/events.parquet").withColumn("hour", F.hour("ts"))
+    return skew(events, "hour", "event_type").select("hour", "group_size", "sa_values", F.round("p_max", 6).alias("p_max"), F.round("entropy", 6).alias("entropy"))
 
 
 def queries():
-    return {}
+    return {
+        "encode_identity": encode_query, "encode_onehot": onehot_query, "node_stats": node_stats_query, "mondrian_rank": mondrian_query,
+        "release_groups": release_query, "release_text": release_text_query, "sa_histogram": histogram_query, "release_ncp": ncp_query,
+        "release_utility": utility_query, "release_audit": audit_query, "release_records": record_query, "linkage_matches": linkage_query,
+        "linkage_rates": linkage_rates_query, "nearest_group": nearest_query, "visit_skew": visits_query,
+    }
+
+
+PEOPLE = """people AS (SELECT o_orderkey AS row_key, o_totalprice AS totalprice, c_acctbal AS acctbal,
+  CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS days, o_orderstatus AS status, o_orderpriority AS priority,
+  CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey)"""
+_Z = ", ".join(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS z_{c}" for c in WHO.numeric)
+_CODES = ", ".join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS z_{c}" for c in WHO.categorical)
+ENCODED = f"{PEOPLE}, encoded AS (SELECT *, {_Z}, {_CODES} FROM people)"
+
+
+def mondrian_sql() -> str:
+    """The rank split with its levels written out."""
+    out, zs = [f"{ENCODED}, n0 AS (SELECT row_key, {', '.join(DIMS)}, CAST(1 AS BIGINT) AS node FROM encoded)"], ", ".join(DIMS)
+    for i in range(LEVELS):
+        var = ", ".join(f"round(var_pop({z}), 9) AS v{j}" for j, z in enumerate(DIMS))
+        best = f"greatest({', '.join(f'v{j}' for j in range(len(DIMS)))})"
+        pick = " ".join(f"WHEN v{j} = {best} THEN {z}" for j, z in enumerate(DIMS))
+        out.append(f"s{i} AS MATERIALIZED (SELECT node, count(*) AS m, {var} FROM n{i} GROUP BY node HAVING count(*) > {2 * WHO.k})")
+        out.append(f"p{i} AS MATERIALIZED (SELECT n{i}.row_key, {zs}, n{i}.node, m, CASE {pick} END AS x FROM n{i} LEFT JOIN s{i} USING (node))")
+        side = "CASE WHEN m IS NULL THEN node ELSE 2 * node + CASE WHEN 2 * row_number() OVER (PARTITION BY node ORDER BY x, row_key) <= m + 1 THEN 0 ELSE 1 END END"
+        out.append(f"n{i + 1} AS MATERIALIZED (SELECT row_key, {zs}, {side} AS node FROM p{i})")
+    return ", ".join(out) + f", grouped AS MATERIALIZED (SELECT encoded.*, n{LEVELS}.node AS group_id FROM encoded JOIN n{LEVELS} USING (row_key))"
 
 
 def oracle_sql():
-    return {}
+    num, cat = WHO.numeric, WHO.categorical
+    ranges = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in num)
+    sets = ", ".join(f"list_sort(list(DISTINCT {c})) AS {c}_set" for c in cat)
+    ecs = f"""{mondrian_sql()}, counted AS (SELECT group_id, segment, count(*) AS n FROM grouped GROUP BY ALL),
+  skewed AS (SELECT group_id, sum(n) AS size, count(*) AS sa_values, max(n) AS most, sum(n * ln(n)) AS nlogn FROM counted GROUP BY group_id),
+  ecs AS MATERIALIZED (SELECT group_id, CAST(size AS BIGINT) AS group_size, sa_values, {ranges}, {sets}, arg_min(segment, row_key) AS sa_first,
+    any_value(most / size) AS p_max, any_value(ln(size) - nlogn / size) AS entropy, any_value((ln(size) - nlogn / size) / ln(2)) AS entropy_bits
+    FROM grouped JOIN skewed USING (group_id) GROUP BY group_id, size, sa_values)"""
+    width = {c: f"(SELECT max({c}) - min({c}) FROM people)" for c in num}
+    parts = [f"least(greatest(({c}_hi - {c}_lo) / {width[c]}, 0), 1)" for c in num] + [f"least(len({c}_set) / (SELECT count(DISTINCT {c}) FROM people), 1)" for c in cat]
+    inside = " AND ".join([f"r.{c} BETWEEN g.{c}_lo AND g.{c}_hi" for c in num] + [f"list_contains(g.{c}_set, r.{c})" for c in cat])
+    met = f"""{ecs}, met AS (SELECT r.row_key, count(g.group_id) AS n_match, CAST(coalesce(sum(g.group_size), 0) AS BIGINT) AS rows_match
+    FROM encoded r LEFT JOIN ecs g ON {inside} GROUP BY r.row_key)"""
+    return {
+        "encode_identity": f"WITH {ENCODED} SELECT row_key, {', '.join(f'round({z}, 6) AS {z}' for z in DIMS)} FROM encoded",
+        "encode_onehot": f"WITH {PEOPLE} SELECT row_key, {', '.join(f'''CAST(status = '{v}' AS INTEGER) AS status_{v}''' for v in STATUS)} FROM people",
+        "node_stats": f"WITH {PEOPLE} SELECT nation, count(*) AS m, count(DISTINCT segment) AS sa_values, round(median(totalprice), 4) AS med, round(var_pop(acctbal), 2) AS var_pop, round(var_samp(days), 2) AS var_samp FROM people GROUP BY nation",
+        "mondrian_rank": f"WITH {mondrian_sql()} SELECT row_key, group_id FROM grouped",
+        "release_groups": f"WITH {ecs} SELECT group_id, group_size, sa_values, {', '.join(f'round({c}_{n}, 4) AS {c}_{n}' for c in num for n in ('lo', 'hi'))}, {', '.join(f'array_to_string({c}_set, chr(92)) AS {c}' for c in cat)}, sa_first, round(p_max, 6) AS p_max, round(entropy, 6) AS entropy, round(entropy_bits, 6) AS entropy_bits FROM ecs",
+        "release_text": f"WITH {PEOPLE}, g AS (SELECT nation, CAST(min(days) AS BIGINT) AS lo, CAST(max(days) AS BIGINT) AS hi, list_sort(list(DISTINCT priority)) AS s FROM people GROUP BY nation) SELECT nation, CASE WHEN lo = hi THEN '[' || lo || ']' ELSE '[' || lo || ',' || hi || ']' END AS days, array_to_string(s, chr(92)) AS priority FROM g",
+        "sa_histogram": f"WITH {PEOPLE}, c AS (SELECT nation, segment, count(*) AS n FROM people GROUP BY ALL) SELECT nation, CAST(sum(n) AS BIGINT) AS group_size, string_agg(segment || '=' || n, ',' ORDER BY segment) AS histogram, round((ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(2), 6) AS entropy_bits FROM c GROUP BY nation",
+        "release_ncp": f"WITH {ecs} SELECT count(*) AS n_groups, CAST(sum(group_size) AS BIGINT) AS n_rows, round(sum(group_size * ({' + '.join(parts)}) / {len(parts)}) / sum(group_size), 8) AS ncp FROM ecs",
+        "release_utility": f"WITH {ecs} SELECT count(*) AS n_groups, min(group_size) AS min_size, max(group_size) AS max_size, round(avg(group_size), 8) AS avg_size, round(avg(p_max), 8) AS avg_p_max, round(max(p_max), 8) AS max_p_max, round(avg(entropy), 8) AS avg_entropy, round(avg(entropy_bits), 8) AS avg_entropy_bits, round(({' + '.join(f'sum(({c}_hi - {c}_lo) / {width[c]})' for c in num)}) / (count(*) * {len(num)}), 8) AS avg_loss FROM ecs",
+        "release_audit": f"WITH {ecs} SELECT count(*) AS n_groups, count(*) FILTER (group_size < {WHO.k}) AS breaks_k, count(*) FILTER (sa_values < {WHO.e}) AS breaks_e, count(*) FILTER (p_max > 0.5) AS breaks_alpha, count(*) FILTER (entropy < 0.5) AS breaks_entropy FROM ecs",
+        "release_records": f"WITH {ecs} SELECT row_key, segment, group_id, group_size, round(totalprice_lo, 4) AS totalprice_lo, round(totalprice_hi, 4) AS totalprice_hi FROM grouped JOIN ecs USING (group_id)",
+        "linkage_matches": f"WITH {met} SELECT * FROM met",
+        "linkage_rates": f"WITH {met} SELECT count(*) AS n_external, round(avg(CAST(n_match = 1 AS INTEGER)), 8) AS umr, round(avg(CASE WHEN rows_match > 0 THEN 1 / rows_match ELSE 0 END), 8) AS err FROM met",
+        "nearest_group": f"""WITH {ENCODED}, centres AS (SELECT nation AS group_id, avg(z_totalprice) AS a, avg(z_acctbal) AS b FROM encoded GROUP BY nation),
+  far AS (SELECT row_key, group_id, round(sqrt((z_totalprice - a) * (z_totalprice - a) + (z_acctbal - b) * (z_acctbal - b)), 9) AS d FROM encoded CROSS JOIN centres)
+  SELECT row_key, group_id FROM far QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY d, group_id) = 1""",
+        "visit_skew": "WITH c AS (SELECT CAST(hour(ts) AS INTEGER) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT hour, CAST(sum(n) AS BIGINT) AS group_size, count(*) AS sa_values, round(max(n) / sum(n), 6) AS p_max, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS entropy FROM c GROUP BY hour",
+    }
