@@ -10,6 +10,7 @@ Defined results: a null or empty text is one piece of one token (the end id); nu
 slots of their own; an empty table gives no rows; extra columns are ignored.
 """
 
+import re
 import zlib
 
 import numpy as np
@@ -17,29 +18,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcols import blobs, map_slices, saved
+from .textcols import Words, map_slices, saved
 
 CACHE = 1_000_000
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ɏ]+")  # no apostrophe, and only letters that are normal and lower-cased one by one
+TOKEN = re.compile("[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
 _state: dict = {}
 
 
-def word_ids(texts: list[str], path: str) -> list[bytes]:
-    """The little-endian ids of each text. Words between spaces and line ends are encoded once and kept: this tokenizer
-    drops white space, so a text's ids are those of its words."""
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (chr(256 + n) for n in range(256))
+    return {b: chr(b) if b in shown else next(others) for b in range(256)}
+
+
+def one_word(word: str) -> np.ndarray:
+    """The ids of a word without white space. Common kinds of words go to the model piece by piece, which are kept."""
+    tokenizer, letters, parts = _state["tokenizer"], _state["letters"], _state["parts"]
+    if not PLAIN.fullmatch(word):
+        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+    out = []
+    for part in TOKEN.findall(word.lower()):
+        if part not in parts:
+            parts[part] = [t.id for t in tokenizer.model.tokenize("".join([letters[b] for b in part.encode()]))]
+        out += parts[part]
+    return np.array(out, np.uint32)
+
+
+def text_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a slice's texts, and their offsets. This tokenizer drops white space, so a text's ids are those of its
+    words; each distinct word of a slice is looked up once."""
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), words={"": b""})
-    words = _state["words"]
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*split) - words.keys())
-    if len(words) + len(new) > CACHE:
-        words.clear()
-        words[""] = b""
-        new = list(set().union(*split) - {""})
-    for word, got in zip(new, _state["tokenizer"].encode_batch(new, add_special_tokens=False)):
-        words[word] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join([words[w] for w in ws]) for ws in split]
+        _state.update(path=path, tokenizer=Tokenizer.from_file(path), letters=byte_letters(), words={}, parts={}, special=None)
+        _state["special"] = [t.content.encode() for t in _state["tokenizer"].get_added_tokens_decoder().values()]
+    known, parts = _state["words"], _state["parts"]
+    for cache in (known, parts):
+        if len(cache) > CACHE:
+            cache.clear()
+    words = Words(data, offsets)
+    names, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    special = any(x in raw for x in _state["special"])
+    found = []
+    for name, start, end in zip(names.tolist(), words.start[first].tolist(), words.end[first].tolist()):
+        ids = known.get(name)
+        if ids is None:
+            word = raw[start:end].decode()
+            ids = known[name] = np.array(_state["tokenizer"].encode(word, add_special_tokens=False).ids, np.uint32) if special else one_word(word)
+        found.append(ids)
+    size = np.array([len(x) for x in found], np.int64)
+    at = np.cumsum(size) - size
+    n = size[which]
+    of = np.concatenate([[0], np.cumsum(n)])
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    ids = flat[np.arange(of[-1]) + np.repeat(at[which] - of[:-1], n)]
+    return ids, of[words.of]
 
 
 def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
@@ -47,17 +83,19 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(rows, data, offsets):
-        texts = [x or "" for x in rows.column("text").to_pylist()]
         doc, piece, length, crc, parts = [], [], [], [], []
-        for i, ids in enumerate(word_ids(texts, path)):
-            ids += end
+        flat, of = text_ids(data, offsets, path)
+        flat = flat.astype("<u4").tobytes()
+        for i in range(len(rows)):
+            ids = flat[4 * of[i] : 4 * of[i + 1]] + end
             for k in range(0, len(ids), 4 * size):
                 part = ids[k : k + 4 * size]
                 doc.append(i)
                 piece.append(k // (4 * size))
                 length.append(len(part) // 4)
                 crc.append(zlib.crc32(part))
-                parts.append(part)
+                if with_ids:
+                    parts.append(part)
         piece = np.array(piece, np.int32)
         out = [rows.column("id").take(pa.array(doc)), piece, piece.astype(np.int64) * size, np.array(length, np.int64), np.array(crc, np.int64)]
         return [*out, pa.array(parts, pa.binary())] if with_ids else out
