@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .textcols import U, Words, blobs, map_slices, mix, saved, signed, slices, text_bytes
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 CHUNKS = 64
 RANGES = 16
 CROWD = 10_000
@@ -51,22 +51,37 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     size = 1 << SKETCH_BITS
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total, waiting = np.zeros(size, np.int32), []
+
+        def add_up():
+            if waiting:
+                total[:] += np.bincount(np.concatenate(waiting), minlength=size).astype(np.int32)
+                waiting.clear()
+
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
-                grams, _ = shingles(Words(data, offsets, lower=True), n)
-                total += np.bincount((grams & U(size - 1)).astype(np.int64), minlength=size)
-        part = np.minimum(total, 2**31 - 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), blobs(part, np.arange(CHUNKS + 1) * (size // CHUNKS))], ["chunk", "counts"])
+                waiting.append((shingles(Words(data, offsets, lower=True), n)[0] & U(size - 1)).astype(np.int64))
+                if sum(map(len, waiting)) > size // 2:
+                    add_up()
+        add_up()
+        yield part_counts(np.minimum(total, 255).astype(np.uint8))  # a task's counts above that are large anyway
+
+    def part_counts(part):
+        return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), blobs(part, np.arange(CHUNKS + 1) * (size // CHUNKS))], ["chunk", "counts"])
+
+    def adder(taken, given):
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros(size // CHUNKS, np.int64)
+            for x in table.column("counts"):
+                total += np.frombuffer(x.as_buffer(), taken)
+            part = np.minimum(total, np.iinfo(given).max).astype(given)
+            return pa.table([table.column("chunk")[:1].cast(pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("counts"))
-        part = np.minimum(total, 2**31 - 1).astype(np.int32)
-        return pa.table([table.column("chunk")[:1].cast(pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+        return add
 
     parts = docs.mapInArrow(count, "chunk int, counts binary")
-    once = parts.groupBy("chunk", F.pmod(F.spark_partition_id(), F.lit(256)).alias("side")).applyInArrow(add, "chunk int, counts binary")
-    rows = once.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    once = parts.groupBy("chunk", F.pmod(F.spark_partition_id(), F.lit(16)).alias("side")).applyInArrow(adder(np.uint8, np.uint16), "chunk int, counts binary")
+    rows = once.groupBy("chunk").applyInArrow(adder(np.uint16, np.int32), "chunk int, counts binary").collect()
     return np.concatenate([np.frombuffer(r.counts, np.int32) for r in sorted(rows)]) if rows else np.zeros(size, np.int32)
 
 
@@ -191,11 +206,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     token = Window.partitionBy("tok")
     posted = reps.select("id", "n", F.posexplode("top").alias("pos", "tok")).select("*", F.count("*").over(token).alias("df")).filter("df > 1")
-    posted = saved(posted.join(reps.select("id", "ranges"), "id").select("tok", "id", "n", "pos", "ranges"))
+    posted = saved(posted.select("tok", "id", F.col("n").cast("int"), "pos"))
+    sizes_of = [reps.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("ranges").alias(f"ranges_{i}")) for i in ("a", "b")]
 
     alike = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (num + den) >= (F.col("n") + F.col("n2")) * num)
-    apart = F.aggregate(F.zip_with("ranges", "ranges2", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    alike &= apart * (num + den) <= (F.col("n") + F.col("n2")) * (den - num)
+    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    suffix = apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
 
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     for step, most in enumerate((*pivots, None)):
@@ -203,17 +219,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         here = posted.withColumn("comp", F.col("id")) if comp is None else posted.join(comp, "id", "left").withColumn("comp", F.coalesce("low", "id")).drop("low")
         sizes = here.groupBy("tok", "comp").count().groupBy("tok").agg(F.max(F.struct("count", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("count").alias("many_right")).filter("comps > 1")
         here = here.join(sizes.select("tok", F.col("main.comp").alias("main"), "many_right", (F.col("many_right") - F.col("main.count")).alias("many_left")), "tok")
-        here = saved(here)
         if most is not None:
             left = right = here
             left = left.withColumn("rank", F.row_number().over(token.orderBy(F.xxhash64("id", F.lit(step)), "id"))).filter(F.col("rank") <= most)
         else:
             crowd = F.col("many_left") * F.col("many_right") > CROWD
             left, right = here.filter("comp <> main").filter(~crowd), here.filter(~crowd)
-        right = right.select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "ranges", "comp")))
+        right = right.select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")))
         once = (F.col("comp2") == F.col("main")) | (F.col("id") < F.col("id2")) if most is None else F.lit(True)
         pairs = left.join(right, "tok").filter((F.col("comp") != F.col("comp2")) & once & alike).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        pairs = saved(pairs.join(done, ["a", "b"], "left_anti"))
+        pairs = pairs.join(done, ["a", "b"], "left_anti").join(sizes_of[0], "a").join(sizes_of[1], "b").filter(suffix)
+        pairs = saved(pairs.select("a", "b"))
         found = verify(pairs, docs, n, num, den)
         if most is None:
             longest = Window.partitionBy("tok")
