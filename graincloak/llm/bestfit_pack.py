@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .textcols import Words, map_slices, saved
 
-CACHE = 1_000_000
+CACHE = 250_000
 PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ɏ]+")  # no apostrophe, and only letters that are normal and lower-cased one by one
 TOKEN = re.compile("[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
 _state: dict = {}
