@@ -6,7 +6,7 @@ Every text becomes a set of word n-gram hashes. Two texts link when ``den * |A &
    right results, so its errors cost time only.
 2. Texts with the same set share a class; only its first document goes on, so groups of copies collapse before any join.
 3. The first ``n - ceil(t n) + 1`` n-grams of a set are its prefix: sets that link share one. Prefix n-grams that stand in
-   one set only are dropped.
+   one set only are dropped, as are those whose other sets are all of sizes that cannot link.
 4. Candidates pass length, positional and suffix filters (the last on counts of the set in 16 hash ranges) and are
    verified once. So as not to emit all pairs of a group, two rounds first compare every member of a bucket with a few
    pivots; the last round compares whatever pairs of a bucket are still in different components, and does so in blocks where
@@ -130,11 +130,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of ``ids``, so that a later join moves no other texts."""
+    wanted = ids.distinct()
+    few = wanted.count() <= 500_000  # 4 MB of ids: more are joined by shuffle
+    return docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``pairs`` with whether the whole sets link. Only texts that are in a pair are moved; they are smaller than their sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = wanted.count() <= 500_000  # 4 MB of ids: more are joined by shuffle
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     def run(batches):
         for batch in batches:
@@ -160,7 +165,7 @@ def verify_blocks(left: DataFrame, right: DataFrame, docs: DataFrame, n: int, nu
     here = F.pmod(F.xxhash64("id"), F.col("mine"))
     sides = [side.withColumn("mine", mine).withColumn("here", here).withColumn("there", F.explode(F.sequence(F.lit(0), (other - 1).cast("int")))).select("tok", "id", "comp", F.lit(k).alias("side"), F.when(F.lit(k == 0), F.col("here")).otherwise(F.col("there")).cast("int").alias("i"), F.when(F.lit(k == 0), F.col("there")).otherwise(F.col("here")).cast("int").alias("j")) for k, (side, mine, other) in enumerate(((left, lefts, rights), (right, rights, lefts)))]
     toks = right.groupBy("id").agg(F.collect_set("tok").alias("toks"))  # at most a prefix
-    rows = sides[0].unionByName(sides[1]).join(toks, "id").join(docs, "id")
+    rows = sides[0].unionByName(sides[1]).join(toks, "id").join(texts_of(docs, toks.select("id")), "id")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -192,6 +197,18 @@ def verify_blocks(left: DataFrame, right: DataFrame, docs: DataFrame, n: int, nu
     return rows.groupBy("tok", "i", "j").applyInArrow(run, "a long, b long, linked boolean").distinct()
 
 
+def postings(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(tok, id, n, pos): a row for each prefix n-gram of each set, where the n-gram stands in other sets of a like size.
+    The sets of an n-gram, in order of size, are cut wherever the next one is too large to link; no link crosses a cut, so
+    each run is a bucket of its own (``tok`` names n-gram and run) and runs of one set are dropped. One exchange in all."""
+    by_size = Window.partitionBy("gram").orderBy("n")
+    rows = reps.select("id", F.col("n").cast("int"), F.posexplode("top").alias("pos", "gram")).repartition("gram")
+    cut = F.coalesce((F.lag("n").over(by_size) * den < F.col("n") * num).cast("int"), F.lit(0))
+    runs = rows.withColumn("cut", cut).withColumn("run", F.sum("cut").over(by_size))
+    many = runs.withColumn("df", F.count("*").over(Window.partitionBy("gram", "run"))).filter("df > 1")
+    return many.select(F.xxhash64("gram", "run").alias("tok"), "id", "n", "pos")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pivots: tuple[int, ...] = (1, 4)) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
@@ -202,23 +219,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     some = (F.col("n") > 0) & (F.col("id") != NULL_ID)
     classes = sigs.filter(some).groupBy(*key).agg(F.min("id").alias("rep"))
     keyed = sigs.filter(some).join(classes, key)
-    reps = keyed.filter("id = rep").dropDuplicates(["id"])
+    first = classes.select(F.col("rep").alias("id"), *(F.col(c).alias(f"its_{c}") for c in key))
+    reps = sigs.filter(some).join(first.hint("merge"), "id").filter(" AND ".join(f"{c} = its_{c}" for c in key)).dropDuplicates(["id"])
+    reps = saved(reps.select("id", "n", "top", "ranges"))
 
-    token = Window.partitionBy("tok")
-    posted = reps.select("id", "n", F.posexplode("top").alias("pos", "tok")).select("*", F.count("*").over(token).alias("df")).filter("df > 1")
-    posted = saved(posted.select("tok", "id", F.col("n").cast("int"), "pos"))
+    posted = saved(postings(reps, num, den))
     sizes_of = [reps.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("ranges").alias(f"ranges_{i}")) for i in ("a", "b")]
 
     alike = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (num + den) >= (F.col("n") + F.col("n2")) * num)
     apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     suffix = apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
 
+    token = Window.partitionBy("tok")
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     for step, most in enumerate((*pivots, None)):
         comp = components(done.filter("linked").select("a", "b")) if step else None
-        here = posted.withColumn("comp", F.col("id")) if comp is None else posted.join(comp, "id", "left").withColumn("comp", F.coalesce("low", "id")).drop("low")
-        sizes = here.groupBy("tok", "comp").count().groupBy("tok").agg(F.max(F.struct("count", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("count").alias("many_right")).filter("comps > 1")
-        here = here.join(sizes.select("tok", F.col("main.comp").alias("main"), "many_right", (F.col("many_right") - F.col("main.count")).alias("many_left")), "tok")
+        here = posted.withColumn("low", F.lit(None).cast("long")) if comp is None else posted.join(comp, "id", "left")
+        here = here.repartition("tok").withColumn("comp", F.coalesce("low", "id")).drop("low")  # the steps below keep this partitioning
+        here = here.withColumn("in_comp", F.count("*").over(Window.partitionBy("tok", "comp"))).withColumns({"biggest": F.max(F.struct("in_comp", "comp")).over(token), "many_right": F.count("*").over(token)})
+        here = here.select("*", F.col("biggest.comp").alias("main"), (F.col("many_right") - F.col("biggest.in_comp")).alias("many_left")).drop("biggest", "in_comp").filter("many_left > 0")
         if most is not None:
             left = right = here
             left = left.withColumn("rank", F.row_number().over(token.orderBy(F.xxhash64("id", F.lit(step)), "id"))).filter(F.col("rank") <= most)
