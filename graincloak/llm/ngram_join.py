@@ -235,7 +235,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     for step, most in enumerate((*pivots, None)):
         comp = components(done.filter("linked").select("a", "b")) if step else None
         here = posted.withColumn("low", F.lit(None).cast("long")) if comp is None else posted.join(comp, "id", "left")
-        here = here.repartition("tok").withColumn("comp", F.coalesce("low", "id")).drop("low")  # the steps below keep this partitioning
+        here = here.repartition("tok").withColumn("comp", F.coalesce("low", "id")).drop("low")  # meant for all windows below; adaptive joins may deal rows again
         here = here.withColumn("in_comp", F.count("*").over(Window.partitionBy("tok", "comp"))).withColumns({"biggest": F.max(F.struct("in_comp", "comp")).over(token), "many_right": F.count("*").over(token)})
         here = here.select("*", F.col("biggest.comp").alias("main"), (F.col("many_right") - F.col("biggest.in_comp")).alias("many_left")).drop("biggest", "in_comp").filter("many_left > 0")
         if most is not None:
