@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from graincloak.functions.encode import encode_codes, encode_onehot, standardise
+from graincloak.operators.cluster import cluster_groups
 from graincloak.operators.metrics import linkage, linkage_rates, ncp, utility
+from graincloak.operators.microagg import microaggregate
 from graincloak.operators.mondrian import mondrian
 from graincloak.operators.release import audit, range_text, record_level, release, set_text, skew
 from graincloak.operators.remainder import centroids, nearest
@@ -103,6 +105,71 @@ def nearest_query(spark, sf_dir):
     return nearest(df, centroids(df, groups, "row_key", dims), "row_key", dims)
 
 
+def latent_query(spark, sf_dir, e=WHO.e):
+    return microaggregate(encoded(spark, sf_dir), WHO.key, DIMS, WHO.sensitive, WHO.k, e)
+
+
+def strict_query(spark, sf_dir):
+    return microaggregate(encoded(spark, sf_dir), WHO.key, DIMS, WHO.sensitive, WHO.k, WHO.e, "strict")
+
+
+def cluster_query(spark, sf_dir):
+    """Clusters on the raw numeric columns."""
+    return cluster_groups(complete(people(spark, sf_dir), WHO), WHO.key, list(WHO.numeric), WHO.sensitive, WHO.k, WHO.e)
+
+
+def median_query(spark, sf_dir):
+    return mondrian(encoded(spark, sf_dir), WHO.key, DIMS, WHO.k, "median", WHO.sensitive, WHO.e, least_variance=0.05)
+
+
+def total_query(spark, sf_dir):
+    return mondrian(complete(people(spark, sf_dir), WHO), WHO.key, list(WHO.numeric), WHO.k, "total", WHO.sensitive, WHO.e, least_variance=1000.0)
+
+
+METHODS = {"rank": mondrian_query, "latent": latent_query, "strict": strict_query, "cluster": cluster_query, "latent without diversity": lambda spark, sf_dir: latent_query(spark, sf_dir, e=1)}
+
+
+def comparison_query(spark, sf_dir):
+    """Each method's release of the same table: groups, broken promises, NCP."""
+    rows, out = encoded(spark, sf_dir).persist(), None
+    for name, method in METHODS.items():
+        made = release(rows, method(spark, sf_dir), WHO).persist()
+        cost = ncp(made, rows, WHO).select("n_groups", "n_rows", F.round("ncp", 8).alias("ncp"))
+        one = cost.crossJoin(audit(made, WHO).select("breaks_k", "breaks_e")).select(F.lit(name).alias("method"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def onehot_variant(base):
+    """``base`` with a 0/1 column for each category, and the dimensions to split on."""
+    columns = []
+    for c in WHO.categorical:
+        values = [r[0] for r in base.select(c).distinct().orderBy(c).collect()]  # fitted categories become columns
+        base, columns = encode_onehot(base, c, values), columns + [f"`{c}_{v}`" for v in values]
+    return base, [f"z_{c}" for c in WHO.numeric] + columns
+
+
+def sweep_query(spark, sf_dir, seeds=range(5), ordered=True):
+    """The rank release under each encoding of the categorical columns: codes in order, one-hot columns, shuffled codes."""
+    base, out = standardise(complete(people(spark, sf_dir), WHO), list(WHO.numeric)).persist(), None
+    coded = ({"integer": None} if ordered else {}) | {f"permutation {s}": s for s in seeds}
+    variants = {v: (encode_codes(base, list(WHO.categorical), seed=seed), DIMS) for v, seed in coded.items()}
+    if ordered:
+        variants["onehot"] = onehot_variant(base)
+    for name, (rows, dims) in variants.items():
+        made = release(base, mondrian(rows, WHO.key, dims, WHO.k), WHO).persist()
+        rates = linkage_rates(linkage(made, base, WHO)).select(F.round("umr", 8).alias("umr"), F.round("err", 8).alias("err"))
+        one = ncp(made, base, WHO).select("n_groups", "n_rows", F.round("ncp", 8).alias("ncp")).crossJoin(rates).select(F.lit(name).alias("variant"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sensitivity_query(spark, sf_dir):
+    """Mean and sample deviation of each measure over the shuffled codes."""
+    runs = sweep_query(spark, sf_dir, ordered=False)
+    return runs.agg(F.count("*").alias("n_runs"), *(F.round(f(c), 6).alias(f"{c}_{n}") for c in ("n_groups", "ncp", "umr", "err") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+
+
 def visits_query(spark, sf_dir):
     """Sensitive-value statistics of a skewed table: the events of each hour."""
     events = read_table(spark, f"{sf_dir}/events.parquet").withColumn("hour", F.hour("ts"))
@@ -115,6 +182,8 @@ def queries():
         "release_groups": release_query, "release_text": release_text_query, "sa_histogram": histogram_query, "release_ncp": ncp_query,
         "release_utility": utility_query, "release_audit": audit_query, "release_records": record_query, "linkage_matches": linkage_query,
         "linkage_rates": linkage_rates_query, "nearest_group": nearest_query, "visit_skew": visits_query,
+        "mondrian_median": median_query, "mondrian_total": total_query, "microagg_latent": latent_query, "microagg_strict": strict_query,
+        "cluster_parts": cluster_query, "method_comparison": comparison_query, "encoding_sweep": sweep_query, "permutation_sensitivity": sensitivity_query,
     }
 
 
