@@ -1,9 +1,10 @@
 """Mondrian partitioning, level by level.
 
 While some node has more than ``local_rows`` rows, a level is one aggregation (per-node counts and variances, partially
-aggregated) and a broadcast-sized join of node statistics; its cut is an approximate quantile, ties dealt by a hash of the
-key, so no task sorts a whole node. As soon as every open node is small, one shuffle by node brings each to one task, where
-numpy finishes the recursion by exact rules.
+aggregated) and a broadcast-sized join of node cuts. A cut is exact: approximate quantiles only bracket it, the rows below
+the bracket are counted and those inside it are sorted by (value, key) over range partitions, so no task sorts a whole node,
+tied or not. As soon as every open node is small, one shuffle by node brings each to one task, where numpy finishes the
+recursion by the same rules; ``local_rows`` does not change the result. Keys are unique.
 
 Rules:
 * rank: split ``m > 2k`` rows in two halves by (value, key) on the dimension of the largest variance; all rows get a group.
@@ -15,7 +16,7 @@ Rules:
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,7 +47,7 @@ def median_leaves(x: np.ndarray, sa: np.ndarray, node: int, k: int, e: int, leas
             out[name] = rows
         elif m > 2 * k:
             var = x[rows].var(axis=0)
-            dim = int(np.argmax(var))
+            dim = widest(var)
             left = x[rows, dim] <= np.median(x[rows, dim])
             if var[dim] > least_variance and min(left.sum(), m - left.sum()) >= k:
                 todo += [(2 * name, rows[left]), (2 * name + 1, rows[~left])]
@@ -63,7 +64,7 @@ def total_leaves(x: np.ndarray, sa: np.ndarray, node: int, k: int, e: int, least
                 out[name] = rows
             continue
         var = x[rows].var(axis=0, ddof=1)
-        dim = int(np.argmax(var)) if var.sum() > least_variance else (name * 2654435761 + seed) % x.shape[1]
+        dim = widest(var) if var.sum() > least_variance else (name * 2654435761 + seed) % x.shape[1]
         left = x[rows, dim] <= np.median(x[rows, dim])
         if left.all():
             out[name] = rows
@@ -72,27 +73,75 @@ def total_leaves(x: np.ndarray, sa: np.ndarray, node: int, k: int, e: int, least
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    if not df.sparkSession.sparkContext.getCheckpointDir() and df.sparkSession.conf.get("spark.checkpoint.dir", "") == "":
+        return df.persist()  # a session without a checkpoint folder
+    return df.checkpoint()
+
+
+def ranked(keep: DataFrame, xs: list[str], asked: dict[int, tuple]) -> dict[int, list[tuple]]:
+    """The (value, key) pairs that stand at the given places (from 1) among a node's rows in order of (value, key), for
+    ``asked``: node to (dimension, number of rows, places near the middle)."""
+    spark = keep.sparkSession
+    dims = spark.createDataFrame([(n, dim) for n, (dim, *_) in asked.items()], "node long, dim int")
+    rows = keep.join(F.broadcast(dims), "node").select("node", F.element_at(F.array(*xs), F.col("dim") + 1).alias("x"), "key")
+    guess = {r.node: r.q for r in rows.groupBy("node").agg(F.percentile_approx("x", [0.495, 0.505], 1000).alias("q")).collect()}
+    while True:
+        near = spark.createDataFrame([(n, *q) for n, q in guess.items()], "node long, lo double, hi double")
+        sided = rows.join(F.broadcast(near), "node")
+        counts = {r.node: (r.below, r.inside) for r in sided.groupBy("node").agg(F.count_if(F.col("x") < F.col("lo")).alias("below"), F.count_if(F.col("x").between(F.col("lo"), F.col("hi"))).alias("inside")).collect()}
+        missed = [n for n, (_, _, places) in asked.items() if not counts[n][0] < min(places) <= max(places) <= sum(counts[n])]
+        if not missed:
+            break
+        guess |= dict.fromkeys(missed, (float("-inf"), float("inf")))
+    inside = sided.filter("x BETWEEN lo AND hi").select("node", "x", "key").repartitionByRange("node", "x", "key")
+    inside = kept(inside.withColumn("part", F.spark_partition_id()))
+    sizes, wanted = {}, []
+    for r in inside.groupBy("node", "part").count().collect():
+        sizes.setdefault(r.node, []).append((r.part, r["count"]))
+    for n, (_, _, places) in asked.items():
+        for i, place in enumerate(places):
+            at = place - counts[n][0]
+            for part, size in sorted(sizes[n]):
+                if at <= size:
+                    wanted.append((n, part, at, i))
+                    break
+                at -= size
+    wanted = F.broadcast(spark.createDataFrame(wanted, "node long, part int, at int, i int"))
+    few = inside.join(wanted.select("node", "part").distinct(), ["node", "part"])  # one range of a bracket for each node
+    few = few.withColumn("at", F.row_number().over(Window.partitionBy("node", "part").orderBy("x", "key")))
+    out = {}
+    for r in few.join(wanted, ["node", "part", "at"]).orderBy("node", "i").collect():
+        out.setdefault(r.node, []).append((r.x, r.key))
+    inside.unpersist()
+    return out
+
+
 def mondrian(df: DataFrame, key: str, dims: list[str], k: int, rule: str = "rank", sensitive: str | None = None, e: int = 1, least_variance: float = 0.0, small: str = "keep", seed: int = 42, local_rows: int = 50_000) -> DataFrame:
     """(key, group_id) for every row: a leaf's number in the tree (children 2n and 2n + 1), null for remainder rows."""
+    kind = df.schema[key].dataType.simpleString()
     sa = F.col(sensitive) if sensitive else F.lit("")
     rows = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(dims)), sa.cast("string").alias("sa"), F.lit(1).cast("long").alias("node"))
     xs = [f"x{i}" for i in range(len(dims))]
-    if not rows.sparkSession.sparkContext.getCheckpointDir() and rows.sparkSession.conf.get("spark.checkpoint.dir", "") == "":
-        keep = rows.persist()  # a session without a checkpoint folder
-    else:
-        keep = rows.checkpoint()
+    keep = kept(rows)
     while True:
-        stats = keep.groupBy("node").agg(F.count("*").alias("m"), *(F.var_pop(x).alias(f"v{i}") for i, x in enumerate(xs)), *(F.percentile_approx(x, 0.5, 10_000).alias(f"c{i}") for i, x in enumerate(xs)))
-        big = stats.filter(F.col("m") > max(local_rows, 2 * k))
-        wide = F.array(*(F.round(f"v{i}", 9) for i in range(len(xs))))
-        big = big.select("node", F.array_position(wide, F.array_max(wide)).cast("int").alias("dim"), F.array(*(f"c{i}" for i in range(len(xs)))).alias("cuts"))
-        cuts = {r.node: (r.dim - 1, r.cuts[r.dim - 1]) for r in big.collect()}  # at most rows / local_rows nodes
-        if not cuts:
+        var = F.var_samp if rule == "total" else F.var_pop
+        stats = keep.groupBy("node").agg(F.count("*").alias("m"), *(var(x).alias(x) for x in xs))
+        big = stats.filter(F.col("m") > max(local_rows, 2 * k)).collect()  # at most rows / local_rows nodes
+        if not big:
             break
-        table = df.sparkSession.createDataFrame([(n, d, c) for n, (d, c) in cuts.items()], "node long, dim int, cut double")
+        asked = {}
+        for r in big:
+            v = np.array([r[x] for x in xs])
+            dim = (r.node * 2654435761 + seed) % len(xs) if rule == "total" and v.sum() <= least_variance else widest(v)
+            half = (r.m + 1) // 2
+            asked[r.node] = (dim, r.m, (half,) if rule == "rank" else (half, r.m // 2 + 1))
+        found = ranked(keep, xs, asked)
+        cuts = [(n, dim, found[n][0][0], found[n][0][1]) if rule == "rank" else (n, dim, (found[n][0][0] + found[n][1][0]) / 2, None) for n, (dim, *_) in asked.items()]
         x = F.element_at(F.array(*xs), F.col("dim") + 1)
-        right = (x > F.col("cut")) | ((x == F.col("cut")) & (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(2)) == 1)) if rule == "rank" else x > F.col("cut")
-        keep = keep.join(table, "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("long"))).drop("dim", "cut")
+        right = (x > F.col("cut")) | ((x == F.col("cut")) & (F.col("key") > F.col("cut_key"))) if rule == "rank" else x > F.col("cut")
+        table = df.sparkSession.createDataFrame(cuts, f"node long, dim int, cut double, cut_key {kind}")
+        keep = keep.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("long"))).drop("dim", "cut", "cut_key")
 
     def tail(pdf: pd.DataFrame) -> pd.DataFrame:
         x, keys, node = pdf[xs].to_numpy(float), pdf["key"].to_numpy(), int(pdf["node"].iloc[0])
@@ -108,5 +157,4 @@ def mondrian(df: DataFrame, key: str, dims: list[str], k: int, rule: str = "rank
             group[at] = name
         return pd.DataFrame({"key": keys, "group_id": pd.Series(group).astype("Int64").mask(pd.Series(group) == 0)})
 
-    kind = df.schema[key].dataType.simpleString()
     return keep.groupBy("node").applyInPandas(tail, f"key {kind}, group_id long").withColumnRenamed("key", key)

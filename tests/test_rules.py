@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 
 from graincloak.operators.metrics import parse_range, parse_set
-from graincloak.operators.mondrian import median_leaves, mondrian, rank_leaves
+from graincloak.operators.mondrian import median_leaves, mondrian, rank_leaves, total_leaves
 from graincloak.operators.remainder import place_with_seats
 from pyspark.sql import functions as F
 
@@ -24,6 +25,17 @@ def test_big_nodes_and_partitions(spark):
     assert {r.row_key: r.group_id for r in mondrian(df.repartition(7), "row_key", ["a", "b"], 8).collect()} == want
 
 
+@pytest.mark.parametrize("rule", ["rank", "median", "total"])
+def test_big_nodes_are_cut_like_small_ones(spark, rule):
+    df = spark.range(4001).select(F.concat(F.lit("k"), F.col("id") * 7919 % 4001).alias("row_key"), (F.col("id") % 7).cast("double").alias("a"), F.sqrt(F.col("id") * 31 % 4001).alias("b"), (F.col("id") % 5).cast("string").alias("s"))
+    pdf = df.toPandas().sort_values("row_key", ignore_index=True)
+    x, keys, sa = pdf[["a", "b"]].to_numpy(), pdf.row_key.to_numpy(), pdf.s.to_numpy()
+    leaves = {"rank": lambda: rank_leaves(x, keys, 1, 8), "median": lambda: median_leaves(x, sa, 1, 8, 3, 0.05), "total": lambda: total_leaves(x, sa, 1, 8, 3, 1.0, "keep", 42)}[rule]()
+    want = dict.fromkeys(keys) | {k: g for g, rows in leaves.items() for k in keys[rows]}
+    got = mondrian(df.repartition(5), "row_key", ["a", "b"], 8, rule, "s", 3, 0.05 if rule == "median" else 1.0, local_rows=600)
+    assert {r.row_key: r.group_id for r in got.collect()} == want
+
+
 def test_seats(spark):
     rows = spark.createDataFrame([(i, float(i % 4)) for i in range(9)], "row_key long, z double")
     centres = spark.createDataFrame([(1, 6, 0.0), (2, 7, 1.0), (3, 5, 3.0)], "group_id long, size long, c_z double")
