@@ -4,7 +4,8 @@ While some node has more than ``local_rows`` rows, a level is one aggregation (p
 aggregated) and a broadcast-sized join of node cuts. A cut is exact: approximate quantiles only bracket it, the rows below
 the bracket are counted and those inside it are sorted by (value, key) over range partitions, so no task sorts a whole node,
 tied or not. As soon as every open node is small, one shuffle by node brings each to one task, where numpy finishes the
-recursion by the same rules; ``local_rows`` does not change the result. Keys are unique.
+recursion by the same rules; ``local_rows`` does not change the result. Keys are unique, so every rank cut halves its node;
+a large node that median or total may not split (a side empty or under ``k``, as tied values leave it) is closed there.
 
 Rules:
 * rank: split ``m > 2k`` rows in two halves by (value, key) on the dimension of the largest variance; all rows get a group.
@@ -20,6 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+DEPTH = 20
+
+
 def widest(variances: np.ndarray) -> int:
     return int(np.argmax(np.round(variances, 9)))
 
@@ -54,7 +58,7 @@ def median_leaves(x: np.ndarray, sa: np.ndarray, node: int, k: int, e: int, leas
     return out
 
 
-def total_leaves(x: np.ndarray, sa: np.ndarray, node: int, k: int, e: int, least_variance: float, small: str, seed: int, depth: int = 20) -> dict[int, np.ndarray]:
+def total_leaves(x: np.ndarray, sa: np.ndarray, node: int, k: int, e: int, least_variance: float, small: str, seed: int, depth: int = DEPTH) -> dict[int, np.ndarray]:
     out, todo = {}, [(node, np.arange(len(x)))]
     while todo:
         name, rows = todo.pop()
@@ -123,23 +127,40 @@ def mondrian(df: DataFrame, key: str, dims: list[str], k: int, rule: str = "rank
     sa = F.col(sensitive) if sensitive else F.lit("")
     rows = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(dims)), sa.cast("string").alias("sa"), F.lit(1).cast("long").alias("node"))
     xs = [f"x{i}" for i in range(len(dims))]
-    keep = kept(rows)
+    keep, closed = kept(rows), {}
     while True:
         var = F.var_samp if rule == "total" else F.var_pop
-        stats = keep.groupBy("node").agg(F.count("*").alias("m"), *(var(x).alias(x) for x in xs))
+        stats = keep.filter(~F.col("node").isin(*closed)).groupBy("node").agg(F.count("*").alias("m"), *(var(x).alias(x) for x in xs))
         big = stats.filter(F.col("m") > max(local_rows, 2 * k)).collect()  # at most rows / local_rows nodes
         if not big:
             break
         asked = {}
         for r in big:
+            if rule == "total" and r.node.bit_length() > DEPTH:
+                closed[r.node] = r.node
+                continue
             v = np.array([r[x] for x in xs])
             dim = (r.node * 2654435761 + seed) % len(xs) if rule == "total" and v.sum() <= least_variance else widest(v)
+            if rule == "median" and not v.max() > least_variance:
+                closed[r.node] = None
+                continue
             half = (r.m + 1) // 2
             asked[r.node] = (dim, r.m, (half,) if rule == "rank" else (half, r.m // 2 + 1))
+        if not asked:
+            continue
         found = ranked(keep, xs, asked)
         cuts = [(n, dim, found[n][0][0], found[n][0][1]) if rule == "rank" else (n, dim, (found[n][0][0] + found[n][1][0]) / 2, None) for n, (dim, *_) in asked.items()]
         x = F.element_at(F.array(*xs), F.col("dim") + 1)
         right = (x > F.col("cut")) | ((x == F.col("cut")) & (F.col("key") > F.col("cut_key"))) if rule == "rank" else x > F.col("cut")
+        if rule != "rank":
+            table = df.sparkSession.createDataFrame([c[:3] for c in cuts], "node long, dim int, cut double")
+            above = {r.node: r.n for r in keep.join(F.broadcast(table), "node").groupBy("node").agg(F.count_if(x > F.col("cut")).alias("n")).collect()}
+            least = k if rule == "median" else 1
+            stuck = {n for n, (_, m, _) in asked.items() if min(above[n], m - above[n]) < least}
+            closed |= {n: None if rule == "median" else n for n in stuck}
+            cuts = [c for c in cuts if c[0] not in stuck]
+            if not cuts:
+                continue
         table = df.sparkSession.createDataFrame(cuts, f"node long, dim int, cut double, cut_key {kind}")
         keep = keep.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("long"))).drop("dim", "cut", "cut_key")
 
@@ -157,4 +178,8 @@ def mondrian(df: DataFrame, key: str, dims: list[str], k: int, rule: str = "rank
             group[at] = name
         return pd.DataFrame({"key": keys, "group_id": pd.Series(group).astype("Int64").mask(pd.Series(group) == 0)})
 
-    return keep.groupBy("node").applyInPandas(tail, f"key {kind}, group_id long").withColumnRenamed("key", key)
+    out = keep.filter(~F.col("node").isin(*closed)).groupBy("node").applyInPandas(tail, f"key {kind}, group_id long")
+    if closed:
+        table = df.sparkSession.createDataFrame(list(closed.items()), "node long, group_id long")
+        out = out.unionByName(keep.join(F.broadcast(table), "node").select("key", "group_id"))
+    return out.withColumnRenamed("key", key)

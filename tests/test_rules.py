@@ -36,6 +36,19 @@ def test_big_nodes_are_cut_like_small_ones(spark, rule):
     assert {r.row_key: r.group_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("rule", ["rank", "median", "total"])
+@pytest.mark.parametrize("hot", ["all", "largest", "one"])
+def test_tied_values_in_big_nodes(spark, rule, hot):
+    x = {"all": [F.lit(3.0)] * 2, "largest": [F.when(F.col("id") % 3 > 0, 9.0).otherwise(F.col("id") % 9), F.lit(1.0)], "one": [F.when(F.col("id") == 0, 9e3).otherwise(1.0), F.lit(1.0)]}[hot]
+    df = spark.range(2000).select(F.col("id").alias("row_key"), *(v.cast("double").alias(c) for v, c in zip(x, "ab")), (F.col("id") % 5).cast("string").alias("s"))
+    pdf = df.toPandas()
+    x, keys, sa = pdf[["a", "b"]].to_numpy(), pdf.row_key.to_numpy(), pdf.s.to_numpy()
+    leaves = {"rank": lambda: rank_leaves(x, keys, 1, 8), "median": lambda: median_leaves(x, sa, 1, 8, 3, 0.0), "total": lambda: total_leaves(x, sa, 1, 8, 3, 1.0, "keep", 42)}[rule]()
+    want = dict.fromkeys(keys) | {k: g for g, rows in leaves.items() for k in keys[rows]}
+    got = mondrian(df.repartition(3), "row_key", ["a", "b"], 8, rule, "s", 3, 1.0 if rule == "total" else 0.0, local_rows=500)
+    assert {r.row_key: r.group_id for r in got.collect()} == want
+
+
 def test_seats(spark):
     rows = spark.createDataFrame([(i, float(i % 4)) for i in range(9)], "row_key long, z double")
     centres = spark.createDataFrame([(1, 6, 0.0), (2, 7, 1.0), (3, 5, 3.0)], "group_id long, size long, c_z double")
