@@ -7,9 +7,11 @@ terms of its own, so one threshold serves all items.
 
 Items are indexed in blocks of BLOCK. For a passage, block-max WAND adds up the largest weights that its terms have in each
 block: terms with few blocks (essential) exactly, common ones by their largest weight anywhere. Blocks that can't reach the
-threshold are skipped, those left are scored in full. What is retrieved is verified: the shares of the item's question and
-of its answer (its last sentence; for one sentence its last third) whose ``n``-word shingles stand in the passage must both
-reach ``overlap``.
+threshold are skipped, those left are scored in full. What is retrieved is verified: either the shares of the item's question
+and of its answer (its last sentence; for one sentence its last third) whose ``n``-word shingles stand in the passage both
+reach ``overlap``, or so does the share of the whole item's words that lie in shingles which the passage has. These have
+``n`` words, fewer in items of under ``n / (1 - overlap)`` words (two at least), so that one changed word does not hide an
+item of ten words or more however short its answer is.
 
 The index is broadcast in parts of at most POSTINGS postings (a few MB each), each of which all passages query; statistics
 are those of all items.
@@ -46,11 +48,21 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the distinct ``n``-word shingles; a shorter text is one shingle."""
     if not len(hashes):
         return np.zeros(0, U)
-    n = min(n, len(hashes))
-    out = np.zeros(len(hashes) - n + 1, U)
+    return np.unique(shingle_hashes(hashes, min(n, len(hashes))))
+
+
+def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the ``n``-word shingle at every word that one starts at."""
+    out = np.zeros(max(len(hashes) - n + 1, 0), U)
     for k in range(n):
-        out = mix(out * U(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - n + 1 + k] + U(k + 1))
-    return np.unique(out)
+        out = mix(out * U(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - n + 1 + k] + U(k + 1)) if len(out) else out
+    return out
+
+
+def covered(item: np.ndarray, passage: np.ndarray, n: int) -> float:
+    """The share of the item's words that lie in ``n``-word shingles of the passage."""
+    at = np.flatnonzero(np.isin(shingle_hashes(item, n), shingle_hashes(passage, n)))
+    return len(np.unique(at[:, None] + np.arange(n))) / max(len(item), 1)
 
 
 def question_answer(text: str) -> tuple[str, str]:
@@ -90,6 +102,7 @@ class Index:
         self.common = np.diff(self.block_at) > max(1, blocks // 2)
         self.bound = np.zeros(len(self.terms))
         np.maximum.at(self.bound, term, self.weight)
+        self.words = [words.hash[words.of[k] : words.of[k + 1]] for k in range(len(items))]
         both = [question_answer(t) for _, t in items]
         q, a = plain_words([x for x, _ in both]), plain_words([x for _, x in both])
         self.question, self.answer = ([(min(n, int(x.of[k + 1] - x.of[k])), grams(x.hash[x.of[k] : x.of[k + 1]], n)) for k in range(len(items))] for x in (q, a))
@@ -168,11 +181,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int
         own_terms = postings.filter(where == part).select("term").distinct()
         df = {r.term: r.df for r in postings.join(own_terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
         index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in mine.collect()], df, n_items, mean_words or 1.0, n))
-        out = matched(out, index, least, overlap, text_col)
+        out = matched(out, index, least, n, overlap, text_col)
     return out.withColumn("matches", F.array_sort("matches")) if parts > 1 else out
 
 
-def matched(docs: DataFrame, index, least: float, overlap: float, text_col: str) -> DataFrame:
+def matched(docs: DataFrame, index, least: float, n: int, overlap: float, text_col: str) -> DataFrame:
     kinds = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
     fields = docs.schema.fields
 
@@ -186,7 +199,9 @@ def matched(docs: DataFrame, index, least: float, overlap: float, text_col: str)
         if len(ix.terms):
             for doc, start, end, item, score in retrieve(ix, words, least):
                 q, a = (share(x[item], words.hash[start:end]) for x in (ix.question, ix.answer))
-                if q >= overlap and a >= overlap and (item not in best[doc] or score > best[doc][item]["score"]):
+                whole = ix.words[item]
+                short = min(n, max(2, int(len(whole) * (1 - overlap) + 1e-9)), len(whole))
+                if (q >= overlap and a >= overlap or covered(whole, words.hash[start:end], short) >= overlap) and (item not in best[doc] or score > best[doc][item]["score"]):
                     best[doc][item] = {"item_id": int(ix.ids[item]), "score": score, "question_overlap": q, "answer_overlap": a}
         old = rows.column("matches").to_pylist()
         new = [[*o, *(b[k] for k in sorted(b))] for o, b in zip(old, best)]

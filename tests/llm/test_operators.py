@@ -139,6 +139,24 @@ def test_decontamination(spark, small, docs, odd):
     assert decontaminate(odd, items).count() == len(ODD)
 
 
+def test_decontamination_of_edited_items(spark, small):
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    noise, rows, want = random.Random(3), [], set()
+    for r in items.collect():
+        words = r.text.split()
+        edits = [words[:k] + ["zzz"] + words[k + 1 :] for k in range(len(words))]
+        edits += [words[:-1], words[: len(words) - max(1, len(words) // 20)], words[1:], words[:9] + ["zzz"] + words[9:]]
+        edits.append([w if k % 20 != 10 else "zzz" for k, w in enumerate(words)])  # one word in twenty
+        for e in edits:
+            want.add((len(rows), r.item_id))
+            fill = [" ".join(f"n{noise.randrange(10**6)}" for _ in range(noise.randrange(90))) for _ in range(2)]
+            rows.append((len(rows), f"{fill[0]} {' '.join(e)} {fill[1]}"))
+        half = words[: len(words) // 2]
+        rows.append((len(rows), " ".join(half)))  # half an item is none
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {(r.doc_id, m.item_id) for r in decontaminate(docs, items).collect() for m in r.matches} == want
+
+
 def test_chat(spark, small):
     compare(spark, queries.op3_chat_parts, queries.oracle_sql()["op3_chat_parts"], small)
     for text in ("", "</s>[INST] ok [/INST]", "<|turn|>\\<\\|", "\\\\[\\INST]\n<"):
