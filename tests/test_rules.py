@@ -3,7 +3,7 @@ import pytest
 
 from graincloak.operators.metrics import parse_range, parse_set
 from graincloak.operators.mondrian import median_leaves, mondrian, rank_leaves, total_leaves
-from graincloak.operators.remainder import place_with_seats
+from graincloak.operators.remainder import nearest, place_with_seats
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,28 @@ def test_seats(spark):
     assert {r.row_key for r in left.collect()} == set(range(9)) - want.keys()
 
 
+@pytest.mark.parametrize("seats", [2, 1])
+def test_seats_of_a_dense_region(spark, seats):
+    groups = [(g, 0, g * 0.01, float(g % 3)) for g in range(70)]
+    points = [(k, k * 37 % 11 * 0.001, 0.0) for k in range(145 if seats == 2 else 68)]  # nearly all want the same groups
+    held, left = place_with_seats(spark.createDataFrame(points, "row_key long, a double, b double").repartition(3), spark.createDataFrame(groups, "group_id long, size long, c_a double, c_b double").repartition(4), "row_key", ["a", "b"], seats, batch=60, near=16)
+    free, want = dict.fromkeys(range(70), seats), {}
+    for k, a, b in points:
+        best = min(((round(((a - x) ** 2 + (b - y) ** 2) ** 0.5, 9), g) for g, _, x, y in groups if free[g]), default=None)
+        if best:
+            want[k] = best[1]
+            free[best[1]] -= 1
+    assert {r.row_key: r.group_id for r in held.collect()} == want
+    assert {r.row_key for r in left.collect()} == {k for k, *_ in points} - want.keys()
+
+
+def test_nearest_in_blocks_of_centres(spark):
+    rows = spark.range(50).select(F.col("id").alias("row_key"), (F.col("id") * 0.37 % 5).alias("a"))
+    centres = spark.range(40).select(F.col("id").alias("group_id"), (F.col("id") % 20 * 0.25).alias("c_a"))
+    one, two = ({r.row_key: r.group_id for r in nearest(rows, centres, "row_key", ["a"], block).collect()} for block in (100, 7))
+    assert one == two == {r.row_key: min((round(abs(r.a - g % 20 * 0.25), 9), g) for g in range(40))[1] for r in rows.collect()}
+
+
 def test_parsers(spark):
     df = spark.createDataFrame([("[22,26]",), ("[35]",), ("19.5",), ("x",), ("a\\b",), ("a,b",), ("[1,3]",)], "t string")
     got = df.select("t", parse_range(F.col("t")).alias("r"), parse_set(F.col("t")).alias("s")).collect()
