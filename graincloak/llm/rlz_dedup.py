@@ -3,8 +3,9 @@
 The corpus is cut into reference blocks: windows of ``width`` words are dealt by their anchors (see ``anchors``), so every
 window of a document that stands in some other place meets it in one block. Each piece is parsed greedily against its
 block's suffix order: a factor is the longest match, anywhere else in the block, of what is still to be parsed. Windows
-inside a factor of ``width`` words or more are duplicates; windows that cross a factor's boundary, which the factor says
-nothing about, are looked up in the suffix order one by one. The duplicate windows make the duplicate spans.
+inside a factor of ``width`` words or more are duplicates. All windows, not only those that cross a factor's boundary, are also
+looked up in the suffix order, which finds the former again: the lookup decides, the parse does not. The duplicate windows
+make the duplicate spans.
 
 Defined results: null texts have no words; texts of fewer than ``width`` words lose nothing; a null id comes back null;
 repeated rows are copies of each other; extra columns are ignored.
