@@ -2,19 +2,21 @@
 
 Every text becomes a set of word n-gram hashes. Two texts link when ``den * |A & B| >= num * |A | B|``.
 
-1. A count sketch of all n-grams (2**SKETCH_BITS counters, a fixed size) orders n-grams rare first; any fixed order gives
-   right results, so its errors cost time only.
+1. A count sketch of all n-grams orders n-grams rare first; any fixed order gives right results, so its errors cost time
+   only. It has about one counter for 16 n-grams, up to 2**MOST_BITS (16 MB, as it is broadcast).
 2. Texts with the same set share a class; only its first document goes on, so groups of copies collapse before any join.
-3. The first ``n - ceil(t n) + 1`` n-grams of a set are its prefix: sets that link share one. Prefix n-grams that stand in
-   one set only are dropped, as are those whose other sets are all of sizes that cannot link.
-4. Candidates pass length, positional and suffix filters (the last on counts of the set in 16 hash ranges) and are
-   verified once. So as not to emit all pairs of a group, two rounds first compare every member of a bucket with a few
-   pivots; the last round compares whatever pairs of a bucket are still in different components, and does so in blocks where
-   a bucket has more than CROWD of them. Any two linked texts end up in one component, and no pair inside a component is
-   compared again.
-
-Defined results: null or empty texts have an empty set and link with nothing; rows that repeat an id and a text are one
-node; rows with a null id link with nothing (null id and component_id out); extra columns are ignored.
+3. The first ``n - ceil(t n) + 1`` n-grams of a set are its prefix: sets that link share one. Prefix n-grams are dealt once,
+   those that the sketch counts more than SPLIT times over several salts. N-grams that stand in one set only are dropped,
+   as are those whose other sets are all of sizes that cannot link.
+4. Candidates pass length, positional and suffix filters (the last on counts of the set in RANGES hash ranges) and are
+   verified once. So as not to emit all pairs of a bucket (the sets with one prefix n-gram), members are first compared with
+   one pivot of their bucket (of its salt, where there are several). Buckets whose sets are now in one component are
+   dropped; in the others, members are compared with sets of up to four other components; and last, in buckets that still
+   hold several components, all pairs of different components are compared, in blocks where there are very many of them.
+   Any two linked texts end up in one component, and no pair inside a component is compared again.
+
+Defined results: null or empty texts have an empty set and link with nothing; rows that repeat an id are one node, with the
+links of all their texts; rows with a null id link with nothing (null id and component_id out); extra columns are ignored.
 """
 
 import numpy as np
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcols import U, Words, blobs, map_slices, mix, saved, signed, slices, text_bytes
+from .textcols import U, Words, blobs, map_slices, mix, saved, signed, slices, small, text_bytes
 
-SKETCH_BITS = 22
+LEAST_BITS, MOST_BITS = 16, 24
 CHUNKS = 64
-RANGES = 16
-CROWD = 10_000
+RANGES = 64
+SPLIT = 2_000
+PAIRS = 10_000
 NULL_ID = -(1 << 63)
 
 
@@ -47,50 +50,64 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Approximate counts of all n-grams, by the low bits of their hash."""
-    size = 1 << SKETCH_BITS
+    """Approximate counts of all n-grams, by the low bits of their hash (counts above 255 stand for their logarithm, see
+    ``estimate``). Tasks send counts of up to 15, two to a byte; a chunk of counters is added up as its parts stream by."""
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, int(words // 16).bit_length()))
+    part = size // CHUNKS
 
     def count(batches):
-        total, waiting = np.zeros(size, np.int32), []
+        total, waiting = np.zeros(size, np.uint8), []
 
         def add_up():
             if waiting:
-                total[:] += np.bincount(np.concatenate(waiting), minlength=size).astype(np.int32)
+                slot, times = np.unique(np.concatenate(waiting), return_counts=True)
+                total[slot] = np.minimum(total[slot] + times, 15)
                 waiting.clear()
 
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
-                waiting.append((shingles(Words(data, offsets, lower=True), n)[0] & U(size - 1)).astype(np.int64))
-                if sum(map(len, waiting)) > size // 2:
+                waiting.append((shingles(Words(data, offsets, lower=True), n)[0] & U(size - 1)).astype(np.uint32))
+                if sum(map(len, waiting)) > 1 << 20:
                     add_up()
         add_up()
-        yield part_counts(np.minimum(total, 255).astype(np.uint8))  # a task's counts above that are large anyway
+        if total.any():
+            packed = total[0::2] | (total[1::2] << 4)
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), blobs(packed, np.arange(CHUNKS + 1) * (part // 2))], ["chunk", "counts"])
 
-    def part_counts(part):
-        return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), blobs(part, np.arange(CHUNKS + 1) * (size // CHUNKS))], ["chunk", "counts"])
+    def add(batches):
+        totals = {}
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+                packed = np.frombuffer(blob.as_buffer(), np.uint8)
+                total = totals.setdefault(chunk, np.zeros(part, np.int64))
+                total[0::2] += packed & 15
+                total[1::2] += packed >> 4
+        for chunk, total in totals.items():
+            big = total > 191  # above, steps of a quarter of a power of two
+            total[big] = np.minimum(192 + np.floor(4 * np.log2(total[big] / 192)), 255)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], ["chunk", "counts"])
 
-    def adder(taken, given):
-        def add(table: pa.Table) -> pa.Table:
-            total = np.zeros(size // CHUNKS, np.int64)
-            for x in table.column("counts"):
-                total += np.frombuffer(x.as_buffer(), taken)
-            part = np.minimum(total, np.iinfo(given).max).astype(given)
-            return pa.table([table.column("chunk")[:1].cast(pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+    parts = docs.mapInArrow(count, "chunk int, counts binary").repartition(CHUNKS, "chunk")
+    rows = parts.mapInArrow(add, "chunk int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r.counts, np.uint8) for r in sorted(rows)]) if rows else np.zeros(size, np.uint8)
 
-        return add
 
-    parts = docs.mapInArrow(count, "chunk int, counts binary")
-    once = parts.groupBy("chunk", F.pmod(F.spark_partition_id(), F.lit(16)).alias("side")).applyInArrow(adder(np.uint8, np.uint16), "chunk int, counts binary")
-    rows = once.groupBy("chunk").applyInArrow(adder(np.uint16, np.int32), "chunk int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r.counts, np.int32) for r in sorted(rows)]) if rows else np.zeros(size, np.int32)
+def estimate(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 192, code, 192 * 2.0 ** ((code.astype(float) - 191) / 4))
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, counts) -> DataFrame:
-    """Per document: set size, two keys of the whole set, the rare-first prefix, set counts by hash range."""
+    """Per document: set size, two keys of the whole set, the rare-first prefix, into how many salts its last (most frequent)
+    n-grams are dealt, set counts by hash range."""
+
+    def lists(values: list, kind) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, kind)]).astype(kind)))
 
     def each(rows, data, offsets):
         grams, of = shingles(Words(data, offsets, lower=True), n)
-        seen, k1, k2, tops, ranges = [], [], [], [], []
+        seen, k1, k2, tops, salts, ranges = [], [], [], [], [], []
         freq = counts.value
         for a, b in zip(of[:-1], of[1:]):
             own = np.unique(grams[a:b])
@@ -99,17 +116,15 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, counts) -> DataFrame
             k1.append(int(mix(own).sum()) if size else 0)
             k2.append(int(mix(own ^ U(0xA5A5A5A5A5A5A5A5)).sum()) if size else 0)
             keep = size - -(-num * size // den) + 1 if size else 0
-            order = np.lexsort((own, freq[(own & U((1 << SKETCH_BITS) - 1)).astype(np.int64)]))[:keep]
+            often = freq[(own & U(len(freq) - 1)).astype(np.int64)]
+            order = np.lexsort((own, often))[:keep]
             tops.append(signed(own[order]))
-            ranges.append(np.bincount((own >> U(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in tops])]).astype(np.int32)
-        return [
-            rows.column("id"), np.array(seen, np.int64), signed(np.array(k1, U)), signed(np.array(k2, U)),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tops))),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1, dtype=np.int32) * RANGES), pa.array(np.concatenate(ranges))),
-        ]
+            many = estimate(often[order])
+            salts.append(np.ceil(many[many > SPLIT] / SPLIT))
+            ranges.append(np.minimum(np.bincount((own >> U(58)).astype(np.int64), minlength=RANGES), 127))  # capped counts differ by less
+        return [rows.column("id"), np.array(seen, np.int64), signed(np.array(k1, U)), signed(np.array(k2, U)), lists(tops, np.int64), lists(salts, np.int32), lists(ranges, np.int8)]
 
-    return map_slices(docs, "text", each, "id long, n long, k1 long, k2 long, top array<long>, ranges array<int>")
+    return map_slices(docs, "text", each, "id long, n long, k1 long, k2 long, top array<long>, salts array<int>, ranges array<tinyint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -130,16 +145,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of ``ids``, so that a later join moves no other texts."""
-    wanted = ids.distinct()
-    few = wanted.count() <= 500_000  # 4 MB of ids: more are joined by shuffle
-    return docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-
-
 def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``pairs`` with whether the whole sets link. Only texts that are in a pair are moved; they are smaller than their sets."""
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    """``pairs`` (a < b, saved) with whether the whole sets link. A pair's less often paired text is sent to the other, which
+    is dealt over salts, so a text in very many pairs makes no large group. Only texts that are in a pair are moved."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().filter("count > 1")
+    often = small(saved(ends))
+    degree = pairs.join(often.toDF("a", "deg_a"), "a", "left").join(often.toDF("b", "deg_b"), "b", "left").fillna(1, ["deg_a", "deg_b"])
+    turn = F.col("deg_b") > F.col("deg_a")
+    sent = degree.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("p"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("q"), F.ceil(F.greatest("deg_a", "deg_b") / 500).cast("int").alias("of"))
+    sent = small(saved(sent.withColumn("salt", F.pmod(F.xxhash64("q"), F.col("of")))))
+    x = docs.join(sent.select(F.col("p").alias("id"), "salt").distinct(), "id").select(F.col("id").alias("p"), "salt", F.col("text").alias("x"))
+    y = docs.join(sent.withColumnRenamed("q", "id"), "id").select("p", "salt", F.col("id").alias("q"), F.col("text").alias("y"))
 
     def run(batches):
         for batch in batches:
@@ -149,67 +165,100 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
                 ok = []
                 for k in range(len(rows)):
                     p, q = np.unique(x[x_of[k] : x_of[k + 1]]), np.unique(y[y_of[k] : y_of[k + 1]])
-                    both = len(p) + len(q) - len(np.union1d(p, q))
+                    both = len(np.intersect1d(p, q, assume_unique=True))
                     ok.append(den * both >= num * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+                p, q = (rows.column(c).to_numpy() for c in ("p", "q"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
-    x, y = (texts.select(F.col("id").alias(i), F.col("text").alias(v)) for i, v in (("a", "x"), ("b", "y")))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").distinct()
+    return y.join(x.hint("merge"), ["p", "salt"]).select("p", "q", "x", "y").mapInArrow(run, "a long, b long, linked boolean").distinct()
 
 
-def verify_blocks(left: DataFrame, right: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links between ``left`` and ``right`` (tok, id, n, comp, chunk: an array of chunk sizes) of buckets with very many
-    pairs. Both sides are cut into chunks; every two chunks of a bucket meet in one group of bounded size, which holds their
-    texts and compares them at once. Two texts are compared in the smallest of the buckets that they share."""
-    lefts, rights = (F.ceil(F.col(c) / F.col("chunk")) for c in ("many_left", "many_right"))
+def verify_blocks(left: DataFrame, right: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links between ``left`` and ``right`` (tok, id, comp, m_left, m, chunk: a number of sets) of buckets with very many
+    pairs, as many as hold the linked sets of a block together. Both sides are cut into chunks; every two chunks of a bucket
+    meet in one group of bounded size, which filters by length and by hash ranges and compares at once what is left. Two texts
+    are compared in the smallest of the buckets that they share (not always the one with their first common n-gram, which is
+    the only one that the positional filter holds for)."""
+    lefts, rights = (F.ceil(F.col(c) / F.col("chunk")) for c in ("m_left", "m"))
     here = F.pmod(F.xxhash64("id"), F.col("mine"))
     sides = [side.withColumn("mine", mine).withColumn("here", here).withColumn("there", F.explode(F.sequence(F.lit(0), (other - 1).cast("int")))).select("tok", "id", "comp", F.lit(k).alias("side"), F.when(F.lit(k == 0), F.col("here")).otherwise(F.col("there")).cast("int").alias("i"), F.when(F.lit(k == 0), F.col("there")).otherwise(F.col("here")).cast("int").alias("j")) for k, (side, mine, other) in enumerate(((left, lefts, rights), (right, rights, lefts)))]
-    toks = right.groupBy("id").agg(F.collect_set("tok").alias("toks"))  # at most a prefix
-    rows = sides[0].unionByName(sides[1]).join(toks, "id").join(texts_of(docs, toks.select("id")), "id")
+    toks = saved(right.groupBy("id").agg(F.collect_set("tok").alias("toks")))  # at most a prefix
+    texts = docs.join(small(toks.select("id")), "id", "left_semi")
+    rows = sides[0].unionByName(sides[1]).join(toks, "id").join(reps.select("id", "ranges"), "id").join(texts, "id")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
         tok = table.column("tok")[0].as_py()
         lower = [{t for t in x if t < tok} for x in table.column("toks").to_pylist()]
+        ranges = np.array(table.column("ranges").to_pylist(), np.int16)
         grams, of = shingles(Words(*text_bytes(table.column("text").combine_chunks()), lower=True), n)
         own = [np.unique(grams[a:b]) for a, b in zip(of[:-1], of[1:])]
-        names, at = np.unique(np.concatenate(own), return_inverse=True)
         size = np.array([len(x) for x in own])
-        doc = np.repeat(np.arange(len(own)), size)
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        both = np.zeros((len(p), len(q)), np.float32)
-        where = np.zeros((2, len(own)), np.int64)
-        where[0, p], where[1, q] = np.arange(len(p)), np.arange(len(q))
+        sp, sq = size[p][:, None], size[q][None, :]
+        maybe = (comp[p][:, None] != comp[q][None, :]) & (np.minimum(sp, sq) * den >= np.maximum(sp, sq) * num)
+        apart = sum(np.abs(ranges[p, r][:, None] - ranges[q, r][None, :]).astype(np.int32) for r in range(RANGES))
+        maybe &= apart * (num + den) <= (sp + sq) * (den - num)
+        for i in np.flatnonzero(maybe.any(axis=1)):
+            for j in np.flatnonzero(maybe[i]):
+                maybe[i, j] = not (lower[p[i]] & lower[q[j]])
+        some = [m[maybe.any(axis=1 - k)] for k, m in enumerate((p, q))]
+        maybe = maybe[maybe.any(axis=1)][:, maybe.any(axis=0)]
+        if not maybe.size:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], ["a", "b", "linked"])
+        names, at = np.unique(np.concatenate([own[k] for m in some for k in m]), return_inverse=True)
+        doc = np.repeat(np.arange(len(some[0]) + len(some[1])), [size[k] for m in some for k in m])
+        both = np.zeros(maybe.shape, np.float32)
         for k in range(0, len(names), 4096):
             part = (at >= k) & (at < k + 4096)
-            dense = [np.zeros((len(m), min(4096, len(names) - k)), np.float32) for m in (p, q)]
-            for s in (0, 1):
-                mine = part & (side[doc] == s)
-                dense[s][where[s, doc[mine]], at[mine] - k] = 1
-            both += dense[0] @ dense[1].T
-        linked = (den * both >= num * (size[p][:, None] + size[q][None, :] - both)) & (comp[p][:, None] != comp[q][None, :])
-        i, j = np.nonzero(linked)
-        new = np.array([not (lower[a] & lower[b]) for a, b in zip(p[i], q[j])], bool)
-        a, b = ids[p[i]][new], ids[q[j]][new]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(len(a), bool))], ["a", "b", "linked"])
+            dense = np.zeros((len(some[0]) + len(some[1]), min(4096, len(names) - k)), np.float32)
+            dense[doc[part], at[part] - k] = 1
+            both += dense[: len(some[0])] @ dense[len(some[0]) :].T
+        linked = maybe & (den * both >= num * (size[some[0]][:, None] + size[some[1]][None, :] - both))
+        top, found = {}, set()
+        for i, j in zip(*np.nonzero(linked)):  # a forest of links
+            ends = [int(ids[some[0][i]]), int(ids[some[1][j]])]
+            roots = []
+            for x in ends:
+                while (up := top.get(x, x)) != x:
+                    x = up
+                roots.append(x)
+            if roots[0] != roots[1]:
+                top[max(roots)] = min(roots)
+                found.add((min(ends), max(ends)))
+        a, b = [x for x, _ in found], [x for _, x in found]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(a), pa.bool_())], ["a", "b", "linked"])
 
     return rows.groupBy("tok", "i", "j").applyInArrow(run, "a long, b long, linked boolean").distinct()
 
 
+def alike(num: int, den: int):
+    """Length and positional filter of two postings (n, pos) and (n2, pos2)."""
+    n, n2, pos, pos2 = (F.col(c) for c in ("n", "n2", "pos", "pos2"))
+    return (F.least(n, n2) * den >= F.greatest(n, n2) * num) & (F.least(n - pos, n2 - pos2) * (num + den) >= (n + n2) * num)
+
+
 def postings(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(tok, id, n, pos): a row for each prefix n-gram of each set, where the n-gram stands in other sets of a like size.
-    The sets of an n-gram, in order of size, are cut wherever the next one is too large to link; no link crosses a cut, so
-    each run is a bucket of its own (``tok`` names n-gram and run) and runs of one set are dropped. One exchange in all."""
-    by_size = Window.partitionBy("gram").orderBy("n")
-    rows = reps.select("id", F.col("n").cast("int"), F.posexplode("top").alias("pos", "gram")).repartition("gram")
-    cut = F.coalesce((F.lag("n").over(by_size) * den < F.col("n") * num).cast("int"), F.lit(0))
+    """(tok, id, n, pos, two, pivot): a row for each prefix n-gram of each set, where the n-gram stands in other sets of a like
+    size. The sets of an n-gram, in order of size, are cut wherever the next one is too large to link; no link crosses a cut,
+    so each run is a bucket of its own (``tok`` names n-gram and run) and runs of one set are dropped. Very frequent n-grams
+    are dealt over salts; they are not cut, and their bucket is all their salts. ``pivot``: the bucket's (or salt's) set with
+    the smallest hash, if that passes the filters; ``two``: the bucket has no other sets than these. One exchange in all."""
+    rows = reps.select("id", F.col("n").cast("int"), "salts", F.size("top").alias("size"), F.posexplode("top").alias("pos", "gram"))
+    of = F.coalesce(F.get("salts", F.col("pos") - F.col("size") + F.size("salts")), F.lit(1))
+    rows = rows.select("id", "n", "pos", "gram", F.when(of > 1, F.pmod(F.xxhash64("id"), of)).otherwise(-1).cast("int").alias("salt")).repartition("gram", "salt")
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("gram", "salt"))).filter("df > 1 OR salt >= 0")
+    by_size = Window.partitionBy("gram", "salt").orderBy("n")
+    cut = F.coalesce(((F.lag("n").over(by_size) * den < F.col("n") * num) & (F.col("salt") < 0)).cast("int"), F.lit(0))
     runs = rows.withColumn("cut", cut).withColumn("run", F.sum("cut").over(by_size))
-    many = runs.withColumn("df", F.count("*").over(Window.partitionBy("gram", "run"))).filter("df > 1")
-    return many.select(F.xxhash64("gram", "run").alias("tok"), "id", "n", "pos")
+    bucket = Window.partitionBy("gram", "salt", "run")
+    many = runs.withColumns({"df": F.count("*").over(bucket), "first": F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))).over(bucket)})
+    many = many.filter("df > 1 OR salt >= 0").select(F.xxhash64("gram", "run").alias("tok"), "id", "n", "pos", (F.col("df") == 2) & (F.col("salt") < 0), "first.id2", "first.n2", "first.pos2")
+    return many.toDF("tok", "id", "n", "pos", "two", "id2", "n2", "pos2").select("tok", "id", "n", "pos", "two", F.when((F.col("id") != F.col("id2")) & alike(num, den), F.col("id2")).alias("pivot"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pivots: tuple[int, ...] = (1, 4)) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pivots: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -217,47 +266,56 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     sigs = saved(signatures(docs, n, num, den, counts))
     key = ["n", "k1", "k2"]
     some = (F.col("n") > 0) & (F.col("id") != NULL_ID)
-    classes = sigs.filter(some).groupBy(*key).agg(F.min("id").alias("rep"))
-    keyed = sigs.filter(some).join(classes, key)
-    first = classes.select(F.col("rep").alias("id"), *(F.col(c).alias(f"its_{c}") for c in key))
-    reps = sigs.filter(some).join(first.hint("merge"), "id").filter(" AND ".join(f"{c} = its_{c}" for c in key)).dropDuplicates(["id"])
-    reps = saved(reps.select("id", "n", "top", "ranges"))
+    classes = small(saved(sigs.filter(some).groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")))
+    keyed = sigs.filter(some).join(classes, key, "left").withColumn("rep", F.coalesce("rep", "id"))
+    reps = keyed.filter("id = rep").select("id", *key, "top", "salts", "ranges")
+    posted = saved(postings(reps, num, den))  # a row that repeats id and text posts the same again, which adds no pair
 
-    posted = saved(postings(reps, num, den))
-    sizes_of = [reps.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("ranges").alias(f"ranges_{i}")) for i in ("a", "b")]
-
-    alike = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) * (num + den) >= (F.col("n") + F.col("n2")) * num)
-    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    sizes = [reps.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("ranges").alias(f"ranges_{i}")) for i in ("a", "b")]
+    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
     suffix = apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-
-    token = Window.partitionBy("tok")
-    done = spark.createDataFrame([], "a long, b long, linked boolean")
-    for step, most in enumerate((*pivots, None)):
-        comp = components(done.filter("linked").select("a", "b")) if step else None
-        here = posted.withColumn("low", F.lit(None).cast("long")) if comp is None else posted.join(comp, "id", "left")
-        here = here.repartition("tok").withColumn("comp", F.coalesce("low", "id")).drop("low")  # meant for all windows below; adaptive joins may deal rows again
-        here = here.withColumn("in_comp", F.count("*").over(Window.partitionBy("tok", "comp"))).withColumns({"biggest": F.max(F.struct("in_comp", "comp")).over(token), "many_right": F.count("*").over(token)})
-        here = here.select("*", F.col("biggest.comp").alias("main"), (F.col("many_right") - F.col("biggest.in_comp")).alias("many_left")).drop("biggest", "in_comp").filter("many_left > 0")
-        if most is not None:
-            left = right = here
-            left = left.withColumn("rank", F.row_number().over(token.orderBy(F.xxhash64("id", F.lit(step)), "id"))).filter(F.col("rank") <= most)
-        else:
-            crowd = F.col("many_left") * F.col("many_right") > CROWD
-            left, right = here.filter("comp <> main").filter(~crowd), here.filter(~crowd)
-        right = right.select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")))
-        once = (F.col("comp2") == F.col("main")) | (F.col("id") < F.col("id2")) if most is None else F.lit(True)
-        pairs = left.join(right, "tok").filter((F.col("comp") != F.col("comp2")) & once & alike).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        pairs = pairs.join(done, ["a", "b"], "left_anti").join(sizes_of[0], "a").join(sizes_of[1], "b").filter(suffix)
-        pairs = saved(pairs.select("a", "b"))
-        found = verify(pairs, docs, n, num, den)
-        if most is None:
-            longest = Window.partitionBy("tok")
-            crowded = here.filter(crowd).withColumn("chunk", F.greatest(F.lit(16), F.least(F.lit(500), F.floor(400_000 / F.max("n").over(longest)))))
-            if not crowded.isEmpty():
-                found = found.unionByName(verify_blocks(crowded.filter("comp <> main"), crowded, docs, n, num, den))
-        done = saved(done.unionByName(found))
-
-    comp = components(done.filter("linked").select("a", "b")).withColumnRenamed("id", "rep")
+    done = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("linked"))
+    pair = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
+
+    def checked(pairs, done):
+        pairs = saved(pairs.select(*pair).distinct().join(done, ["a", "b"], "left_anti"))
+        ends = small(saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        sides = [side.join(ends.withColumnRenamed("id", i), i, "left_semi") for side, i in zip(sizes, ("a", "b"))]
+        pairs = saved(pairs.join(sides[0], "a").join(sides[1], "b").filter(suffix).select("a", "b").distinct())
+        return verify(pairs, docs, n, num, den)
+
+    def mixed(comp):
+        """Postings with their components, in buckets that hold several of them (those of two sets have been compared); and
+        (tok, comp, members, h: their smallest hash) of these buckets."""
+        rows = posted.filter("NOT two").join(comp, "id", "left").select("tok", "id", "n", "pos", F.coalesce("low", "id").alias("comp"))
+        per = saved(rows.groupBy("tok", "comp").agg(F.count("*").alias("members"), F.min(F.xxhash64("id")).alias("h")))
+        main = F.max(F.struct("members", "comp")).alias("main")
+        toks = per.groupBy("tok").agg(F.count("*").alias("comps"), F.sum("members").alias("m"), main).filter("comps > 1")
+        toks = small(saved(toks.select("tok", "m", F.col("main.comp").alias("main"), (F.col("m") - F.col("main.members")).alias("m_left"))))
+        return saved(rows.join(toks, "tok")), per.join(toks, "tok", "left_semi")
+
+    done = saved(checked(posted.filter("pivot IS NOT NULL").select("id", F.col("pivot").alias("id2")), done))
+    rows, per = mixed(small(components(done.filter("linked"))))
+    largest = Window.partitionBy("tok").orderBy(F.desc("members"), "comp")
+    few = small(saved(per.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") <= pivots).select("tok", "comp", "h")))
+    few = rows.join(few.withColumnRenamed("comp", "comp2"), "tok").filter("xxhash64(id) = h AND comp = comp2")
+    few = small(saved(few.select("tok", "comp2", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos")))))
+    found = checked(rows.join(few, "tok").filter((F.col("comp") != F.col("comp2")) & alike(num, den)), done)
+    done = saved(done.unionByName(found))
+
+    rows, _ = mixed(small(components(done.filter("linked"))))
+    crowd = F.col("m_left") * F.col("m") > PAIRS
+    right = rows.filter(~crowd).select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")))
+    once = (F.col("comp2") == F.col("main")) | (F.col("id") < F.col("id2"))
+    found = checked(rows.filter(~crowd & (F.col("comp") != F.col("main"))).join(right, "tok").filter((F.col("comp") != F.col("comp2")) & once & alike(num, den)), done)
+    crowded = rows.filter(crowd)
+    if not crowded.isEmpty():
+        widest = crowded.groupBy("tok").agg(F.max("n").alias("widest"))
+        crowded = saved(crowded.join(widest, "tok").withColumn("chunk", F.greatest(F.lit(16), F.least(F.lit(500), F.floor(400_000 / F.col("widest"))))).drop("widest"))
+        found = found.unionByName(verify_blocks(crowded.filter("comp <> main"), crowded, reps, docs, n, num, den))
+    done = saved(done.unionByName(found))
+
+    comp = small(components(done.filter("linked")).withColumnRenamed("id", "rep"))
     linked = keyed.select("id", "n", "rep").join(comp, "rep", "left").select("id", "n", F.coalesce("low", "rep").alias("low"))
     out = linked.unionByName(sigs.filter(~some).select("id", "n", F.col("id").alias("low")))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

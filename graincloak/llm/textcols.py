@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE = 1 << 20
 U = np.uint64
@@ -120,16 +121,17 @@ def blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def checkpoint_dir(spark) -> None:
-    """Keep the shared folder that the cluster names; set one only where there is none, as in tests."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", ""):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-
-
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written to the shared checkpoint folder; lineage ends here."""
-    checkpoint_dir(df.sparkSession)
+    """The rows, computed once and written to the session's checkpoint folder; lineage ends here. The folder is the one that
+    ``spark.checkpoint.dir`` or ``setCheckpointDir`` names; without one there is no place that all executors can read."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        if not (shared := spark.conf.get("spark.checkpoint.dir", "")):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (narrow and saved), to be broadcast if it is counted to have at most ``rows`` rows; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df

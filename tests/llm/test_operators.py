@@ -102,13 +102,41 @@ def test_dedup(table, keep_first, most, monkeypatch):
     assert got == {d: (len(w), sum(masks[d]), " ".join(x for x, m in zip(w, masks[d]) if not m)) for d, w in words.items()}
 
 
-@pytest.mark.parametrize("crowd", [10_000, 2])
-def test_join(table, crowd, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+@pytest.mark.parametrize(("pairs", "split"), [(10_000, 2_000), (2, 2_000), (10_000, 2), (2, 2)])
+def test_join(table, pairs, split, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     got = by_id(jaccard_components(table, 3, 60, 100), "n_shingles", "component_id")
     assert got == brute.components(rows_of(table), 3, 60, 100)
 
 
+@pytest.mark.parametrize(("pairs", "split"), [(10_000, 2_000), (2, 3)])
+def test_join_of_chains(spark, pairs, split, monkeypatch):
+    """Chains of edits around a few texts, whose ends are too far apart to link, and texts that share a long passage only."""
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
+    rnd, rows = random.Random(5), []
+    passage = [f"p{i}" for i in range(60)]
+    for chain in range(3):
+        words = [f"c{chain}w{i}" for i in range(70)]
+        for _ in range(25):
+            rows.append(" ".join(words))
+            words = list(words)
+            words[rnd.randrange(70)] = f"e{rnd.randrange(10**6)}"
+    rows += [" ".join([*passage, *(f"u{k}x{i}" for i in range(rnd.randrange(3, 30)))]) for k in range(40)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    assert by_id(jaccard_components(df, 3, 80, 100), "n_shingles", "component_id") == brute.components(list(enumerate(rows)), 3, 80, 100)
+
+
+def test_join_of_repeated_ids(spark):
+    """An id whose rows hold different texts links by each of them."""
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    df = spark.createDataFrame([(5, a), (5, b), (7, a + " x"), (3, b + " y"), (3, b + " y"), (9, "else")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_components(df, 3, 80, 100).collect())
+    assert got == [(3, 29, 3), (3, 29, 3), (5, 28, 3), (5, 28, 3), (7, 29, 3), (9, 1, 9)]
+
+
 def test_packing(table):
     got = best_fit_pack(table, TOKENS, size=256).collect()
     tokenizer, want = Tokenizer.from_file(TOKENS), {}
