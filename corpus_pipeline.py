@@ -3,17 +3,18 @@
 quality_rules and decontamination drop documents, near_duplicates keeps one document of each group, secret_scan puts a
 mark in place of every secret, packing returns the packed pieces of what is left. Parameters are those that the stages
 below name; near duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or more. A document with
-the smallest id of its group stays; documents without an id are never near duplicates.
+the smallest id of its group stays, one row of it if rows repeat its id; documents without an id are never near duplicates.
 """
 
 import public_tokenizers
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graincloak.llm.bestfit_pack import best_fit_pack
 from graincloak.llm.bm25_decontam import decontaminate
 from graincloak.llm.ngram_join import jaccard_components
 from graincloak.llm.repetition_rules import repetition_rules
-from graincloak.llm.textcols import saved
+from graincloak.llm.textcols import saved, small
 from graincloak.llm.trigram_secrets import redact_secrets, scan_secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,9 +25,16 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    groups = jaccard_components(docs.select("doc_id", "text"), n=5, num=80, den=100)
+    groups = saved(jaccard_components(docs.select("doc_id", "text"), n=5, num=80, den=100))
     copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(small(saved(copies)), "doc_id", "left_anti").select(*COLUMNS)
+    again = groups.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = saved(again)
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    some = kept.join(small(again), "doc_id", "left_semi").withColumn("rank", F.row_number().over(first)).filter("rank = 1")
+    return kept.join(small(again), "doc_id", "left_anti").select(*COLUMNS).unionByName(some.select(*COLUMNS))
 
 
 def decontamination(spark, docs, sf_dir):
