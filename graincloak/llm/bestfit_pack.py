@@ -10,7 +10,7 @@ Defined results: a null or empty text is one piece of one token (the end id); nu
 slots of their own; an empty table gives no rows; extra columns are ignored.
 """
 
-import re
+import json
 import zlib
 
 import numpy as np
@@ -18,14 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcols import Words, map_slices, saved
-
-CACHE = 250_000
-PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ɏ]+")  # no apostrophe, and only letters that are normal and lower-cased one by one
-TOKEN = re.compile("[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
+from .textcols import BYTE, WHITE, U, map_slices, mix, prefix, saved, span_hash
+
+CACHE = 1_000_000
+# fixed values: how a tokenizer file says that it lower-cases, drops white space and keeps letters, digits and signs apart
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+KIND = np.full(256, 3, np.uint8)  # of a byte: letter, digit or sign
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+KIND[48:58] = 2
+RARE = np.zeros(256, bool)  # bytes of words that the tokenizer takes as a whole: apostrophes, control characters, other scripts
+RARE[[*range(33), 39, 127, 0xC2, *range(0xCA, 256)]] = True
 _state: dict = {}
 
 
+def by_words(path: str) -> bool:
+    """Whether the file's tokenizer works on words without white space, as ``Known`` takes for granted."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    return (file.get("normalizer") or {}).get("normalizers") == NORMALIZER and (file.get("pre_tokenizer") or {}).get("pretokenizers") == [SPLIT, BYTE_LEVEL] and file["model"]["type"] == "BPE"
+
+
 def byte_letters() -> dict[int, str]:
     """The characters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -33,49 +47,91 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else next(others) for b in range(256)}
 
 
-def one_word(word: str) -> np.ndarray:
-    """The ids of a word without white space. Common kinds of words go to the model piece by piece, which are kept."""
-    tokenizer, letters, parts = _state["tokenizer"], _state["letters"], _state["parts"]
-    if not PLAIN.fullmatch(word):
-        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
-    out = []
-    for part in TOKEN.findall(word.lower()):
-        if part not in parts:
-            parts[part] = [t.id for t in tokenizer.model.tokenize("".join([letters[b] for b in part.encode()]))]
-        out += parts[part]
-    return np.array(out, np.uint32)
+class Known:
+    """Ids of parts of words, by the hash of the part: sorted names, and their places in one flat array of ids."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.names, self.at, self.size, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def place(self, names: np.ndarray) -> np.ndarray:
+        """Where each name is, or -1."""
+        at = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
+        return np.where(self.names[at] == names, at, -1) if len(self.names) else np.full(len(names), -1)
+
+    def add(self, names: np.ndarray, found: list[list[int]]):
+        size = np.array([len(x) for x in found], np.int64)
+        at = len(self.ids) + np.cumsum(size) - size
+        where = np.searchsorted(self.names, names)
+        self.names, self.at, self.size = np.insert(self.names, where, names), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of a slice's words (runs of letters, of signs, and digits one by one), and which of them
+    are words that the tokenizer has to take as a whole (all, if ``whole``)."""
+    n = len(data)
+    word = ~WHITE[data]
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    begin = word.copy()
+    begin[1:] &= ~word[:-1] | first[1:-1]
+    owner = np.cumsum(begin) - 1
+    after = np.append(data[1:], 0)
+    rare = RARE[data] | ((data == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((data == 0xC4) & (after == 0xB0)) | ((data == 0xC9) & (after > 0x8F))
+    slow = np.zeros(begin.sum(), bool)
+    slow[owner[rare & word]] = True
+    if whole:
+        slow[:] = True
+    kind = KIND[data]
+    cut = begin.copy()
+    cut[1:] |= word[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~slow[owner[1:]] if len(slow) else False
+    start = np.flatnonzero(cut)
+    stop = np.ones(n, bool)
+    stop[:-1] = cut[1:] | ~word[1:] | first[1:-1]
+    return start, np.flatnonzero(stop & word) + 1, slow[owner[start]] if len(start) else np.zeros(0, bool)
 
 
 def text_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a slice's texts, and their offsets. This tokenizer drops white space, so a text's ids are those of its
-    words; each distinct word of a slice is looked up once."""
+    """The ids of a slice's texts, and their offsets. A tokenizer of words drops white space, so a text's ids are those of
+    its words; each distinct part of a slice's words is looked up once. Others encode whole texts."""
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), letters=byte_letters(), words={}, parts={}, special=None)
-        _state["special"] = [t.content.encode() for t in _state["tokenizer"].get_added_tokens_decoder().values()]
-    known, parts = _state["words"], _state["parts"]
-    for cache in (known, parts):
-        if len(cache) > CACHE:
-            cache.clear()
-    words = Words(data, offsets)
-    names, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-    raw = data.tobytes()
+        tokenizer = Tokenizer.from_file(path)
+        tokens = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        _state.update(path=path, tokenizer=tokenizer, letters=byte_letters(), known=Known(), special=tokens, words=by_words(path))
+    tokenizer, known, raw = _state["tokenizer"], _state["known"], data.tobytes()
+    if not _state["words"]:
+        found = [tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return np.array([i for x in found for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+    if len(known.names) > CACHE:
+        known.clear()
     special = any(x in raw for x in _state["special"])
-    found = []
-    for name, start, end in zip(names.tolist(), words.start[first].tolist(), words.end[first].tolist()):
-        ids = known.get(name)
-        if ids is None:
-            word = raw[start:end].decode()
-            ids = known[name] = np.array(_state["tokenizer"].encode(word, add_special_tokens=False).ids, np.uint32) if special else one_word(word)
-        found.append(ids)
-    size = np.array([len(x) for x in found], np.int64)
-    at = np.cumsum(size) - size
-    n = size[which]
+    start, end, slow = parts(data, offsets, special)
+    names = mix(span_hash(prefix(BYTE[data]), start, end) + slow.astype(U) + U(2 * special))
+    at = known.place(names)
+    missing = np.flatnonzero(at < 0)
+    if len(missing):
+        new, first = np.unique(names[missing], return_index=True)
+        first, found = missing[first], []
+        letters, tokenize = _state["letters"], tokenizer.model.tokenize
+        for a, b, whole in zip(start[first].tolist(), end[first].tolist(), slow[first].tolist()):
+            text = raw[a:b].decode()
+            if whole:
+                found.append(tokenizer.encode(text, add_special_tokens=False).ids)
+            else:
+                text = text.lower()
+                text = "".join([letters[x] for x in text.encode()]) if not text.isascii() else text
+                found.append([t.id for t in tokenize(text)])
+        known.add(new, found)
+        at = known.place(names)
+    n = known.size[at]
     of = np.concatenate([[0], np.cumsum(n)])
-    flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-    ids = flat[np.arange(of[-1]) + np.repeat(at[which] - of[:-1], n)]
-    return ids, of[words.of]
+    ids = known.ids[np.arange(of[-1]) + np.repeat(known.at[at] - of[:-1], n)]
+    return ids, of[np.searchsorted(start, offsets)]
 
 
 def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
@@ -144,8 +200,8 @@ def best_fit_pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0,
     cut = saved(pieces(docs, path, size, end_id, id_col, text_col, with_ids))
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     slots, _ = plan(counts, size)
-    salts = max(1, sum(counts.values()) // 50_000)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = spark.createDataFrame([(n, 1 + c // 1_000) for n, c in counts.items()], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     key = ["length", "salt"]
     before = salted.groupBy(*key).count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     order = Window.partitionBy(*key).orderBy("id", "piece", "ids_crc32")

@@ -3,17 +3,20 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graincloak.llm import anchors, ngram_join, pii_votes, queries, trigram_secrets
-from graincloak.llm.bestfit_pack import best_fit_pack, plan
+from graincloak.llm.bestfit_pack import best_fit_pack, plan, text_ids
 from graincloak.llm.bm25_decontam import decontaminate
 from graincloak.llm.chat_parts import digests, escape, format_turns, unescape
 from graincloak.llm.ngram_join import jaccard_components
 from graincloak.llm.repetition_rules import repetition_rules
 from graincloak.llm.rlz_dedup import rlz_dedup
 from graincloak.llm.suffix_dedup import suffix_dedup
+from graincloak.llm.textcols import text_bytes
 from tests.llm import brute
 from tests.oracle import compare
 
@@ -153,6 +156,33 @@ def test_packing(table):
         assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 256
 
 
+def test_packing_with_another_tokenizer(odd):
+    """A file whose tokenizer keeps white space and case: whole texts are encoded."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    want = {d: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for d, t in ODD}
+    got = {r.doc_id: r.ids_crc32 for r in best_fit_pack(odd, path, size=100_000).collect()}
+    assert {d: x for d, x in got.items() if d is not None} == {d: x for d, x in want.items() if d is not None}
+
+
+def test_word_parts():
+    rnd = random.Random(1)
+    texts = ["it's don't l'été 'S WE'LL x'd'", "İ Σας ß ŉ a×b ÷ Ω “q” 你好 1a2 12 ½ x\x00y \x7f a\u0301b", "x<|endoftext|>y <|startoftext|>", "\xa0nb\u3000c\x85d", "\u212b A\u030a ẞ", ""]
+    texts += ["".join(rnd.choice("aB1' .\n\té×ÀİÿɏʼΑ\u0301<|endoftext|>\x85") for _ in range(rnd.randrange(1, 30))) for _ in range(2000)]
+    tokenizer = Tokenizer.from_file(TOKENS)
+    for k in range(0, len(texts), 40):
+        ids, of = text_ids(*text_bytes(pa.array(texts[k : k + 40], pa.large_string())), TOKENS)
+        for i, x in enumerate(texts[k : k + 40]):
+            assert ids[of[i] : of[i + 1]].tolist() == tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_few_sequences(docs):
+    """The plan takes at most one sequence in a hundred more than any packing needs."""
+    got = best_fit_pack(docs, TOKENS, size=2048)
+    total, used = got.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert used <= 1 + 1.01 * total / 2048
+
+
 def test_plan():
     slots, n = plan({7: 3, 3: 5, 1: 4}, 10)
     assert n == 4 and sum(s[2] for s in slots) == 12
