@@ -200,14 +200,14 @@ def best_fit_pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0,
     cut = saved(pieces(docs, path, size, end_id, id_col, text_col, with_ids))
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     slots, _ = plan(counts, size)
-    salts = spark.createDataFrame([(n, 1 + c // 1_000) for n, c in counts.items()], "length long, salts long")
+    salts = spark.createDataFrame(pa.table({"length": pa.array(counts.keys(), pa.int64()), "salts": pa.array([1 + c // 1_000 for c in counts.values()], pa.int64())}))
     salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     key = ["length", "salt"]
     before = salted.groupBy(*key).count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     order = Window.partitionBy(*key).orderBy("id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(before, key).withColumn("rank", F.col("rank") + F.col("before"))
-    schema = "slot_length long, first_rank long, n long, first_seq long, per long, base long"
-    table = F.broadcast(spark.createDataFrame(slots, schema))  # a few entries for each of ``size`` lengths
+    names = ["slot_length", "first_rank", "n", "first_seq", "per", "base"]
+    table = F.broadcast(spark.createDataFrame(pa.table([pa.array([s[i] for s in slots], pa.int64()) for i in range(6)], names)))  # a few entries for each of ``size`` lengths
     at = F.col("rank") - F.col("first_rank")
     placed = ranked.join(table, (F.col("length") == F.col("slot_length")) & (at >= 0) & (at < F.col("n")))
     sequence = F.col("first_seq") + F.floor(at / F.col("per"))

@@ -8,10 +8,11 @@ very long runs.
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "￿"
+OTHER = "\ufffe"  # stands for a text's own separators: no pattern here accepts it either
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -21,7 +22,7 @@ def none() -> Column:
 
 def spans(text: Column, kind: str, pattern: str, ok: Callable[[Column], Column], maybe: Column) -> Column:
     """Matches of ``pattern`` that pass ``ok``, in order, where ``maybe`` holds; code points, end exclusive."""
-    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
     cut = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK, -1)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("match"), none().alias("found"))
 
@@ -49,3 +50,10 @@ def redacted(text: Column, found: Column, mark: str) -> Column:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(new, put).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name

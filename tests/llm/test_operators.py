@@ -71,6 +71,29 @@ def test_secrets(table):
     assert all(not r.secrets for r in again.select("secrets").collect())
 
 
+def test_separators_inside_matches(spark):
+    """U+FFFF inside what would otherwise match is a character like any other."""
+    rows = [(1, "password\uffff= hunter22"), (2, "+1\uffff415\uffff555\uffff2671"), (3, "\uffff a@b.org \uffff token=abcdef12\uffff")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, found = trigram_secrets.scan_secrets(df), pii_votes.find_pii(df)
+    assert {k: v[:4] for k, v in by_id(got.select("doc_id", *trigram_secrets.digest(got))).items()} == {d: brute.secrets(t) for d, t in rows}
+    assert {k: v[:5] for k, v in by_id(found.select("doc_id", *pii_votes.digest(found))).items()} == {d: brute.pii(t) for d, t in rows}
+
+
+def test_further_secret_rules(spark):
+    """Rules beyond the base ones, each with a match and a near miss, in a table whose columns are named like the operator's."""
+    texts = {
+        "private_key": ("x -----BEGIN RSA PRIVATE KEY----- y", "-----BEGIN RSA PUBLIC KEY-----"), "forge_token": ("ghp_" + "Ab1" * 13, "ghp_short"),
+        "chat_token": ("xoxb-123456789012-abc", "xoxb-1"), "web_token": (f"eyJ{'a' * 20}.eyJ{'B' * 20}.{'c' * 20}", "eyJa.eyJb.c"),
+    }
+    rows = [(i, t, {"a": 1}, ["r"], "k", "r", "s") for i, (_, pair) in enumerate(texts.items()) for t in pair]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n map<string,int>, rules array<string>, text_key string, _a string, secrets string")
+    got = trigram_secrets.scan_secrets(df)
+    assert got.columns == df.columns
+    found = sorted((r.doc_id, x.kind, x.value) for r in got.collect() for x in r.secrets)
+    assert found == sorted((i, k, pair[0].removeprefix("x ").removesuffix(" y")) for i, (k, pair) in enumerate(texts.items()))
+
+
 def test_trigram_queries():
     assert trigram_secrets.trigram_query("[0-9a-f]+") == []
     assert trigram_secrets.trigram_query("abcd|xyz") == [frozenset({"abc", "bcd"}), frozenset({"xyz"})]
