@@ -4,12 +4,14 @@ Every window is dealt by its anchor: the leftmost of its ``gram``-symbol grams w
 equal anchors, so they meet whatever documents they are in. Consecutive windows with one anchor form a run; its text is a
 piece. Runs are rows of a few numbers; what happens next needs only those:
 
-* anchors that stand once are dropped;
+* runs whose anchor stands once are dropped, before anything else is moved;
 * equal pieces (by two 64-bit hashes) are counted, and of each one copy goes on, so groups of copies collapse early;
 * the distinct pieces of an anchor are fetched from the texts and compared in blocks by a ``core`` (suffix arrays or
-  relative Lempel-Ziv factors), which gives the runs of window starts that stand in another piece as well;
-* anchors with more than MOST distinct pieces, which no block should hold, are settled exactly by grouping their windows'
-  hashes instead.
+  relative Lempel-Ziv factors), which says which window starts stand in the block again;
+* an anchor with more than MOST distinct pieces is cut by more context: equal windows have their anchor at one distance from
+  their start, so windows are dealt again by a range of that distance and by the text that all windows of that range have.
+  The narrower the range, the more text they share; a range of one distance shares the whole window. The same core compares
+  the pieces that come of it.
 
 Repeated rows are occurrences like any others. Documents are told apart by (id, hash of the text).
 """
@@ -21,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import BYTE, U, Words, blobs, map_slices, mix, prefix, saved, signed, span_hash
+from .textcols import BYTE, U, Words, blobs, map_slices, mix, prefix, saved, signed, small, span_hash
 
 MOST = 1500
 BLOCK = 1 << 20
 NULL_ID = -(1 << 63)
 KEY = ["id", "tkey"]
+PIECE = ["anchor", "piece", "id", "first", "n", "symbols"]
 
 
 class Symbols:
@@ -105,13 +108,17 @@ def cut(texts: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataFrame
         at = np.arange(of[-1]) + np.repeat(begin - of[:-1], size)
         return [anchor, piece, rows.column("id").take(pa.array(doc)), first, n, blobs(s.raw[at], of)]
 
-    per_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "piece", "first", "n")).alias("asked"))  # bounded by the text
-    return map_slices(texts.join(per_doc, KEY).select("id", "text", "asked"), "text", each, "anchor long, piece long, id long, first int, n int, symbols binary")
+    per_doc = saved(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "piece", "first", "n")).alias("asked")))  # bounded by the text
+    texts = texts.join(small(per_doc.select(*KEY)), KEY, "left_semi")
+    return map_slices(texts.join(per_doc.hint("merge"), KEY).select("id", "text", "asked"), "text", each, "anchor long, piece long, id long, first int, n int, symbols binary")
 
 
-def compared(pieces: DataFrame, blocks: int, kind: str, width: int, core: Callable) -> DataFrame:
-    """Ranges [start, end) of window starts, from a piece's first, that stand in the block more than once; ``later`` says
-    that one of the others stands before it."""
+FLAGS = "anchor long, piece long, s int, e int"
+
+
+def compared(pieces: DataFrame, kind: str, width: int, core: Callable, keep_first: bool) -> DataFrame:
+    """(anchor, piece, s, e): ranges [s, e) of window starts, from a piece's first, that ``core`` finds in the block again.
+    ``pieces``: anchor, piece, id, first, n, symbols."""
     dtype = np.uint8 if kind == "bytes" else U
 
     def run(table: pa.Table) -> pa.Table:
@@ -126,61 +133,88 @@ def compared(pieces: DataFrame, blocks: int, kind: str, width: int, core: Callab
         of = np.concatenate([[0], np.cumsum(n + width - 1)])
         starts = np.arange(n.sum()) + np.repeat(of[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         owner = np.repeat(np.arange(len(n)), n)
-        again, later = core(symbols, of, starts, width)
-        out = []
-        for flags, kind_later in ((again & ~later, False), (later, True)):
-            edge = flags.copy()
-            edge[1:] &= ~(flags[:-1] & (owner[1:] == owner[:-1]))
-            close = flags.copy()
-            close[:-1] &= ~(flags[1:] & (owner[1:] == owner[:-1]))
-            a, b = np.flatnonzero(edge), np.flatnonzero(close)
-            who = order[owner[a]]
-            out.append(pa.table([pa.array(anchor[who]), pa.array(piece[who]), pa.array((starts[a] - of[owner[a]]).astype(np.int32)), pa.array((starts[b] - of[owner[b]] + 1).astype(np.int32)), pa.array(np.full(len(a), kind_later))], ["anchor", "piece", "s", "e", "later"]))
-        return pa.concat_tables(out)
-
-    schema = "anchor long, piece long, s int, e int, later boolean"
-    return pieces.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).applyInArrow(run, schema)
-
-
-def by_hash(pieces: DataFrame, kind: str, width: int) -> DataFrame:
-    """What ``compared`` gives, for anchors with very many pieces: their windows are grouped by hash."""
+        flags = core(symbols, of, starts, width, keep_first)
+        edge, close = flags.copy(), flags.copy()
+        edge[1:] &= ~(flags[:-1] & (owner[1:] == owner[:-1]))
+        close[:-1] &= ~(flags[1:] & (owner[1:] == owner[:-1]))
+        a, b = np.flatnonzero(edge), np.flatnonzero(close)
+        who = order[owner[a]]
+        return pa.table([pa.array(anchor[who]), pa.array(piece[who]), pa.array((starts[a] - of[owner[a]]).astype(np.int32)), pa.array((starts[b] - of[owner[b]] + 1).astype(np.int32))], ["anchor", "piece", "s", "e"])
+
+    symbols = pieces.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
+    blocks = max(1, symbols * (1 if kind == "bytes" else 4) // BLOCK)
+    return pieces.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).applyInArrow(run, FLAGS)
+
+
+def cut_more(pieces: DataFrame, kind: str, width: int, gram: int, step: int) -> DataFrame:
+    """Parts of ``pieces`` (see ``compared``) whose windows have their anchor in one range of ``step`` distances: anchor,
+    piece (new ones, by the text that the range's windows share), id, first, n, symbols, and the piece that it is from
+    (old_anchor, old_piece, shift). ``base`` names the gram that is the anchor of all windows, whatever else they are dealt by."""
     dtype = np.uint8 if kind == "bytes" else U
+    names = [*PIECE, "base", "old_anchor", "old_piece", "shift"]
 
-    def windows(batches):
+    def run(batches):
         for batch in batches:
-            anchor, piece, ids, first, n = (batch.column(c).to_numpy() for c in ("anchor", "piece", "id", "first", "n"))
-            for k, x in enumerate(batch.column("symbols")):
-                raw = np.frombuffer(x.as_buffer(), dtype)
-                at = np.arange(n[k])
-                names = signed(span_hash(prefix(BYTE[raw] if kind == "bytes" else raw), at, at + width))
-                cols = [np.full(n[k], v) for v in (anchor[k], piece[k], ids[k])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, first[k].astype(np.int64) + at, at.astype(np.int32), names)], ["anchor", "piece", "id", "at", "s", "window"])
-
-    rows = pieces.mapInArrow(windows, "anchor long, piece long, id long, at long, s int, window long")
-    twice = rows.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("low")).filter("n > 1")
-    found = rows.join(twice, ["anchor", "window"])
-    return found.select("anchor", "piece", "s", (F.col("s") + 1).alias("e"), ((F.col("low.id") != F.col("id")) | (F.col("low.at") != F.col("at"))).alias("later"))
+            out = {c: [] for c in names}
+            for row in range(batch.num_rows):
+                anchor, piece, i, first, n, base = (batch.column(c)[row].as_py() for c in ("anchor", "piece", "id", "first", "n", "base"))
+                raw = np.frombuffer(batch.column("symbols")[row].as_buffer(), dtype)
+                sums = prefix(BYTE[raw] if kind == "bytes" else raw)
+                at = np.arange(len(raw) - gram + 1)
+                place = int(np.flatnonzero(signed(span_hash(sums, at, at + gram)) == base)[0])
+                for k in range((place - n + 1) // step, place // step + 1):
+                    low, high = max(0, place - (k + 1) * step + 1), min(n - 1, place - k * step)
+                    context = span_hash(sums, np.array([place - k * step]), np.array([place - (k + 1) * step + 1 + width]))
+                    text = span_hash(sums, np.array([low]), np.array([high + width]))
+                    new = signed(np.concatenate([mix(context + U(k) + U(anchor & (1 << 64) - 1)), mix(text + U(place - low))]))
+                    for c, v in zip(names, (int(new[0]), int(new[1]), i, first + low, high - low + 1, raw[low : high + width].tobytes(), base, anchor, piece, low)):
+                        out[c].append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(names, kinds)], names)
+
+    return pieces.select(*PIECE, "base").mapInArrow(run, "anchor long, piece long, id long, first int, n int, symbols binary, base long, old_anchor long, old_piece long, shift int")
+
+
+def settled(pieces: DataFrame, kind: str, width: int, gram: int, core: Callable, keep_first: bool, step: int) -> DataFrame:
+    """What ``compared`` gives, for anchors with very many pieces."""
+    parts = saved(cut_more(pieces, kind, width, gram, step))
+    same = parts.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first")).alias("low"))
+    several = same.groupBy("anchor").agg(F.count("*").alias("variants"))
+    same = saved(same.join(several, "anchor"))
+    low = F.struct("id", "first")
+    full = parts.join(same.filter("copies > 1"), ["anchor", "piece"])
+    if keep_first:
+        full = full.filter(low != F.col("low"))
+    whole = [F.col("old_anchor").alias("anchor"), F.col("old_piece").alias("piece")]
+    out = full.select(*whole, F.col("shift").alias("s"), (F.col("shift") + F.col("n")).alias("e"))
+    rest = saved(parts.join(same.filter("variants > 1"), ["anchor", "piece"]).filter(low == F.col("low")))
+    flags = compared(rest.filter(F.col("variants") <= MOST).select(*PIECE), kind, width, core, keep_first)
+    if not rest.filter(F.col("variants") > MOST).isEmpty():
+        flags = flags.unionByName(settled(rest.filter(F.col("variants") > MOST), kind, width, gram, core, keep_first, max(1, step // 8)))
+    back = parts.select("anchor", "piece", "old_anchor", "old_piece", "shift").join(flags, ["anchor", "piece"])
+    return out.unionByName(back.select(*whole, (F.col("s") + F.col("shift")).alias("s"), (F.col("e") + F.col("shift")).alias("e")))
 
 
 def repeated_spans(texts: DataFrame, kind: str, width: int, gram: int, core: Callable, keep_first: bool) -> DataFrame:
     """(id, tkey, spans): the symbol ranges, as an array of (start, end) in order and apart, that repeated windows cover.
     With ``keep_first``, a window's first occurrence (by id, then place) does not count as repeated."""
     runs = saved(find_runs(texts, kind, width, gram))
-    pieces = runs.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first", "tkey", "n")).alias("low"))
-    pieces = saved(pieces.select("anchor", "piece", "copies", "low.*"))
-    per_anchor = pieces.groupBy("anchor").agg(F.count("*").alias("variants"), F.sum("copies").alias("total")).filter("total > 1")
-    shared = saved(pieces.join(per_anchor.select("anchor", "variants"), "anchor"))
-    several = shared.filter("variants > 1")
-    symbols, hot = several.agg(F.sum(F.col("n") + width - 1), F.sum((F.col("variants") > MOST).cast("int"))).first()
-    blocks = max(1, (symbols or 0) * (1 if kind == "bytes" else 4) // BLOCK)
-    flags = compared(cut(texts, several.filter(F.col("variants") <= MOST), kind, width), blocks, kind, width, core)
-    if hot:
-        flags = flags.unionByName(by_hash(cut(texts, several.filter(F.col("variants") > MOST), kind, width), kind, width))
-    copied = shared.filter("copies > 1").select("anchor", "piece", F.lit(0).alias("s"), F.col("n").alias("e"), F.lit(not keep_first).alias("all"), F.struct("id", "first", "tkey").alias("low"))
-    flags = flags.select("anchor", "piece", "s", "e", (F.col("later") | F.lit(not keep_first)).alias("all"), F.lit(None).cast(copied.schema["low"].dataType).alias("low"))
-    both = flags.filter("all").unionByName(copied).groupBy("anchor", "piece").agg(F.collect_list(F.struct("s", "e", "all", "low")).alias("marks"))  # a run's marks: at most its windows
+    twice = small(saved(runs.groupBy("anchor").count().filter("count > 1").select("anchor")))
+    runs = saved(runs.join(twice, "anchor"))
+    pieces = saved(runs.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first", "tkey", "n")).alias("low")).select("anchor", "piece", "copies", "low.*"))
+    per_anchor = pieces.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1")
+    several = saved(pieces.join(per_anchor, "anchor").drop("copies"))
+    hot = several.filter(F.col("variants") > MOST)
+    flags = compared(cut(texts, several.filter(F.col("variants") <= MOST), kind, width), kind, width, core, keep_first)
+    if not hot.isEmpty():
+        flags = flags.unionByName(settled(cut(texts, hot, kind, width).withColumn("base", F.col("anchor")), kind, width, gram, core, keep_first, max(1, (width - gram + 1) // 8)))
+    copied = pieces.filter("copies > 1").select("anchor", "piece", F.lit(0).alias("s"), F.col("n").alias("e"), F.struct("id", "first", "tkey").alias("low"))
+    marks = flags.withColumn("low", F.lit(None).cast(copied.schema["low"].dataType)).unionByName(copied)
+    both = saved(marks.groupBy("anchor", "piece").agg(F.collect_list(F.struct("s", "e", "low")).alias("marks")))  # a run's marks: at most its windows
     here = F.struct("id", "first", "tkey")
-    hit = runs.join(both, ["anchor", "piece"]).select(*KEY, "first", F.explode("marks").alias("m"), here.alias("here")).filter("m.all OR m.low <> here")
+    hit = runs.join(small(both, 100_000), ["anchor", "piece"]).select(*KEY, "first", F.explode("marks").alias("m"), here.alias("here"))
+    if keep_first:
+        hit = hit.filter("m.low IS NULL OR m.low <> here")
     span = F.struct((F.col("first") + F.col("m.s")).cast("long").alias("start"), (F.col("first") + F.col("m.e") + (width - 1)).cast("long").alias("end"))
     return hit.groupBy(*KEY).agg(F.collect_list(span).alias("spans"))
 
@@ -205,7 +239,10 @@ def union(spans: pa.Array, of: np.ndarray) -> tuple[np.ndarray, list[tuple[np.nd
 def reduced(docs: DataFrame, id_col: str, text_col: str, kind: str, width: int, gram: int, core: Callable, keep_first: bool, kept: Callable, kept_type: str) -> DataFrame:
     """One row per document: id, its number of symbols, the number removed, the removed spans, what is kept."""
     texts = keyed(docs, id_col, text_col)
-    spans = repeated_spans(texts, kind, width, gram, core, keep_first)
+    spans = saved(repeated_spans(texts, kind, width, gram, core, keep_first))
+    some = small(spans.select(*KEY))
+    touched = texts.join(some, KEY, "left_semi").join(spans.hint("merge"), KEY).select("id", "text", "spans")
+    rest = texts.join(some, KEY, "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
     def each(rows, data, offsets):
         of = offsets if kind == "bytes" else (words := Words(data, offsets)).of
@@ -220,5 +257,5 @@ def reduced(docs: DataFrame, id_col: str, text_col: str, kind: str, width: int,
 
     schema = f"id long, n long, n_removed long, spans array<struct<start:long,end:long>>, kept {kept_type}"
     names = ["id", "n", "n_removed", "spans", "kept"]
-    out = map_slices(texts.join(spans, KEY, "left").select("id", "text", "spans"), "text", each, schema, names)
+    out = map_slices(touched.unionByName(rest), "text", each, schema, names)
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), F.col("n").alias(f"n_{kind}"), "n_removed", "spans", "kept")

@@ -2,10 +2,10 @@
 
 The corpus is cut into reference blocks: windows of ``width`` words are dealt by their anchors (see ``anchors``), so every
 window of a document that stands in some other place meets it in one block. Each piece is parsed greedily against its
-block's suffix order: a factor is the longest match, anywhere else in the block, of what is still to be parsed. Windows
-inside a factor of ``width`` words or more are duplicates. All windows, not only those that cross a factor's boundary, are also
-looked up in the suffix order, which finds the former again: the lookup decides, the parse does not. The duplicate windows
-make the duplicate spans.
+block's suffix order: a factor is the longest match, anywhere else in the block (with ``keep_first``: before it), of what is
+still to be parsed. Windows inside a factor of ``width`` words or more are duplicates. A window that is not inside one factor
+crosses a factor's boundary; these are looked up one by one. Windows come from the parse alone: without factors there are
+none. Equal pieces are one piece in a block (the first one), their number is kept.
 
 Defined results: null texts have no words; texts of fewer than ``width`` words lose nothing; a null id comes back null;
 repeated rows are copies of each other; extra columns are ignored.
@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import reduced
-from .suffix_dedup import classes
-from .suffixes import common, deeper, first_ranks, levels
+from .suffixes import common, first_ranks, levels, previous_factors
 from .textcols import U, mix
 
 
@@ -33,30 +32,40 @@ def factors(longest: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def parsed(symbols, of, starts, width):
+def matches(symbols: np.ndarray, keep_first: bool) -> np.ndarray:
+    """The longest match of each suffix anywhere else; with ``keep_first``, before it."""
+    found, _ = levels(first_ranks(symbols))
+    sa = np.argsort(found[-1][1], kind="stable")
+    lcp = np.zeros(len(sa), np.int64)
+    lcp[1:] = common(found, sa[:-1], sa[1:])
+    longest = np.zeros(len(symbols), np.int64)
+    longest[sa] = previous_factors(sa, lcp) if keep_first else np.maximum(lcp, np.append(lcp[1:], 0))
+    return longest
+
+
+def between(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in one of the ranges [begin, end)."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def parsed(symbols, of, starts, width, keep_first):
+    """Whether each window stands in the block again (with ``keep_first``: before it), by factors and their boundaries."""
     pieces = np.arange(len(of) - 1)
     apart = mix(mix(pieces.astype(U)) + U(width))  # a symbol of its own ends each piece
     symbols = np.insert(symbols, of[1:], apart)
     begin, end = of[:-1] + pieces, of[1:] + pieces
     starts = starts + np.searchsorted(of, starts, side="right") - 1
-    found, live = levels(first_ranks(symbols))
-    final = found[-1][1]
-    order = np.argsort(final, kind="stable")
-    near = common(found, order[:-1], order[1:])
-    longest = np.zeros(len(symbols), np.int64)
-    longest[order[1:]] = near
-    longest[order[:-1]] = np.maximum(longest[order[:-1]], near)
+    n, longest = len(symbols), matches(symbols, keep_first)
     first, size = factors(longest, begin, end)
-    inside = np.zeros(len(symbols) + 1, np.int64)
     long = size >= width
-    np.add.at(inside, first[long], 1)
-    np.add.at(inside, first[long] + size[long] - width + 1, -1)
-    inside = np.cumsum(inside)[starts] > 0
-    depth, ranks = [x for x in found if x[0] <= width][-1]
-    ranks, _ = deeper(ranks, width - depth, np.flatnonzero(np.bincount(ranks, minlength=len(ranks))[ranks] > 1)) if depth < width else (ranks, None)
-    crossing, later = classes(ranks, starts)
-    again = inside | crossing
-    return again, later & again
+    inside = between(first[long], first[long] + size[long] - width + 1, n)
+    bound = first + size
+    crossing = starts[between(np.maximum(bound - width + 1, 0), bound, n)[starts] & ~inside[starts]]
+    inside[crossing] = longest[crossing] >= width
+    return inside[starts]
 
 
 def rlz_dedup(docs: DataFrame, width: int = 35, keep_first: bool = True, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

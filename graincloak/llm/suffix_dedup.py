@@ -1,10 +1,11 @@
 """Substring dedup by longest-previous-factor arrays.
 
-Windows of ``width`` bytes are dealt to blocks so that equal ones meet (see ``anchors``). In a block the suffixes of all
-distinct pieces are sorted to depth ``width``. Suffixes that agree so far are neighbours in suffix order, and among them the
-order is by place, so a suffix's previous smaller position, if it agrees, is its predecessor: its longest previous factor
-reaches ``width`` exactly then, and the same from the other side (next smaller position in the reversed order) gives
-windows that come again later. ``keep_first`` removes only what has an earlier match; without it, all copies go.
+Windows of ``width`` bytes are dealt to blocks so that equal ones meet (see ``anchors``). In a block the suffixes at all
+window starts of all distinct pieces are sorted to depth ``width``, ties by place, with the common prefixes of neighbours. The
+previous and next smaller positions in that order give each suffix's longest previous factor; one of ``width`` bytes is an
+earlier copy of the window. The same on positions from the end gives later copies. ``keep_first`` removes only what has an
+earlier copy; without it, all copies go. Suffixes that share less than a power of two of at least half the width with any
+other are left out, as their factors are shorter. Equal pieces are one piece in a block (the first one), their number is kept.
 
 Defined results: null texts are empty; texts shorter than ``width`` lose nothing; a null id comes back null; repeated rows
 are copies of each other; extra columns are ignored.
@@ -14,41 +15,44 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .anchors import reduced
-from .suffixes import deeper, first_ranks, shared
+from .suffixes import common, deeper, first_ranks, previous_factors, shared
 from .textcols import blobs
 
 
-def depth_ranks(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``width`` bytes."""
-    depth, names = 1, symbols.astype(np.int64)
-    if width >= 4:
-        padded = np.concatenate([names, np.zeros(3, np.int64)])
-        n, depth = len(names), 4
-        names = (padded[:n] << 24) | (padded[1 : n + 1] << 16) | (padded[2 : n + 2] << 8) | padded[3 : n + 3]
-    ranks = first_ranks(names)
-    live = shared(ranks)
-    while depth < width:
+def depth_ranks(symbols: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... bytes, and by their first ``width``."""
+    ranks = first_ranks(symbols.astype(np.int64))
+    out, live = [(1, ranks)], shared(ranks)
+    while (depth := out[-1][0]) < width:
         step = min(depth, width - depth)
         ranks, live = deeper(ranks, step, live)
-        depth += step
-    return ranks
+        out.append((depth + step, ranks))
+    return out
 
 
-def classes(ranks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For windows at ``starts`` (in order of place): whether the suffix before or after it in suffix order agrees with it,
-    and whether the one before does: then its longest previous factor is a whole window."""
-    own = ranks[starts]
-    order = np.argsort(own, kind="stable")
-    same = np.zeros(len(own), bool)
-    same[1:] = own[order[1:]] == own[order[:-1]]
-    later, earlier = np.zeros(len(own), bool), np.zeros(len(own), bool)
-    later[order] = same
-    earlier[order[:-1]] = same[1:]
-    return later | earlier, later
+def suffix_factors(symbols: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Window starts in suffix order (those that share ``least`` bytes with another), the common prefix of each with the one
+    before, up to ``width`` (0 where it is under ``least``), and ``least``."""
+    found = depth_ranks(symbols, width)
+    least, coarse = max((x for x in found if x[0] < width), key=lambda x: x[0], default=found[0])
+    final = found[-1][1]
+    places = starts[np.bincount(coarse[starts], minlength=len(symbols))[coarse[starts]] > 1]
+    sa = places[np.argsort(final[places], kind="stable")]
+    lcp = np.zeros(len(sa), np.int64)
+    lcp[1:] = np.where(final[sa[1:]] == final[sa[:-1]], width, common(found[:-1], sa[:-1], sa[1:]) if len(found) > 1 else 0)
+    lcp[lcp < least] = 0
+    return sa, lcp, least
 
 
-def previous_factors(symbols, of, starts, width):
-    return classes(depth_ranks(symbols, width), starts)
+def repeated(symbols, of, starts, width, keep_first):
+    """Whether each window stands in the block again; with ``keep_first``, whether it does so before."""
+    sa, lcp, _ = suffix_factors(symbols, starts, width)
+    again = previous_factors(sa, lcp) >= width
+    if not keep_first:
+        again |= previous_factors(-sa, lcp) >= width
+    out = np.zeros(len(symbols) + 1, bool)
+    out[sa[again]] = True
+    return out[starts]
 
 
 def suffix_dedup(docs: DataFrame, width: int = 400, keep_first: bool = True, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,4 +62,4 @@ def suffix_dedup(docs: DataFrame, width: int = 400, keep_first: bool = True, gra
         left = np.concatenate([[0], np.cumsum(~mask)])
         return blobs(data[~mask], left[offsets])
 
-    return reduced(docs, id_col, text_col, "bytes", width, gram or max(1, width * 8 // 25), previous_factors, keep_first, kept, "binary")
+    return reduced(docs, id_col, text_col, "bytes", width, gram or max(1, width * 8 // 25), repeated, keep_first, kept, "binary")

@@ -72,3 +72,43 @@ def common(found: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) ->
         same = ok[ranks[a[ok]] == ranks[b[ok]]]
         length[same] += depth
     return length
+
+
+def toward_start(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix of ``sa`` (positions, in suffix order; ``lcp`` with the one before, 0 where a class of suffixes that
+    have something in common begins), its common prefix with the nearest one before that has a smaller position, or 0."""
+    n, at = len(sa), np.arange(len(sa))
+    begin = np.maximum.accumulate(np.where(lcp == 0, at, 0))
+    sizes = np.diff(np.append(np.flatnonzero(lcp == 0), n))
+    least, low = [sa], [lcp]  # over 1, 2, 4, ... entries that end at each place
+    while 2 << len(least) <= 2 * int(sizes.max(initial=1)):
+        step = 1 << (len(least) - 1)
+        for table in (least, low):
+            longer = table[-1].copy()
+            longer[step:] = np.minimum(longer[step:], table[-1][:-step])
+            table.append(longer)
+    reach, shortest = at.copy(), np.full(n, np.iinfo(lcp.dtype).max, lcp.dtype)
+    for k in reversed(range(len(least))):
+        far = reach - (1 << k)
+        go = np.flatnonzero(far >= begin)
+        go = go[least[k][reach[go] - 1] > sa[go]]
+        shortest[go] = np.minimum(shortest[go], low[k][reach[go]])
+        reach[go] = far[go]
+    return np.where(reach > begin, np.minimum(shortest, lcp[reach]), 0)
+
+
+def previous_factors(sa: np.ndarray, lcp: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    """The longest previous factor of each suffix of ``sa``: its longest match with a suffix at a smaller position, which is
+    with the nearest one that has a smaller position before or after it in suffix order. Classes (``lcp`` 0 at their first
+    suffix) are worked on some at a time, so that the tables stay small."""
+    sa, lcp = sa.astype(np.int32), lcp.astype(np.int32)
+    out, begins = np.zeros(len(sa), np.int32), np.flatnonzero(lcp == 0)
+    at = 0
+    while at < len(sa):
+        far = int(np.searchsorted(begins, at + chunk, side="right"))
+        to = int(begins[far - 1]) if far < len(begins) and begins[far - 1] > at else int(begins[far]) if far < len(begins) else len(sa)
+        part, near = sa[at:to], lcp[at:to]
+        back = np.append(near[1:], 0)[::-1]
+        out[at:to] = np.maximum(toward_start(part, near), toward_start(part[::-1], np.append(0, back[1:]))[::-1])
+        at = to
+    return out

@@ -64,6 +64,20 @@ def repeated(seqs, width, first):
     return out
 
 
+def repeated_fast(seqs, width):
+    """``repeated`` on bytes, by slices."""
+    seen = Counter(t[i : i + width] for t in seqs.values() for i in range(len(t) - width + 1))
+    out = {}
+    for d, t in seqs.items():
+        last, mask = 0, []
+        for i in range(len(t)):
+            if i + width <= len(t) and seen[t[i : i + width]] > 1:
+                last = i + width
+            mask.append(i < last)
+        out[d] = mask
+    return out
+
+
 def components(rows, n, num, den):
     sets = {}
     for d, t in rows:

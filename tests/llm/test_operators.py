@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graincloak.llm import anchors, ngram_join, pii_votes, queries, trigram_secrets
+from graincloak.llm import anchors, ngram_join, pii_votes, queries, suffixes, trigram_secrets
+from graincloak.llm import rlz_dedup as rlz_module
+from graincloak.llm import suffix_dedup as suffix_module
 from graincloak.llm.bestfit_pack import best_fit_pack, plan, text_ids
 from graincloak.llm.bm25_decontam import decontaminate
 from graincloak.llm.chat_parts import digests, escape, format_turns, unescape
@@ -16,7 +18,7 @@ from graincloak.llm.ngram_join import jaccard_components
 from graincloak.llm.repetition_rules import repetition_rules
 from graincloak.llm.rlz_dedup import rlz_dedup
 from graincloak.llm.suffix_dedup import suffix_dedup
-from graincloak.llm.textcols import text_bytes
+from graincloak.llm.textcols import U, text_bytes
 from tests.llm import brute
 from tests.oracle import compare
 
@@ -113,8 +115,66 @@ def test_longest_repeat(spark):
     assert got == {1: (0, 0, True), 2: (120, 60, False), 3: (40, 20, False)}
 
 
+def plain_lpf(text):
+    """By trying all earlier places."""
+    def match(i, j):
+        n = 0
+        while j + n < len(text) and text[i + n] == text[j + n]:
+            n += 1
+        return n
+
+    return [max((match(i, j) for i in range(j)), default=0) for j in range(len(text))]
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 5])
+def test_previous_factors(chunk):
+    rnd = np.random.default_rng(2)
+    for n in (1, 2, 3, 40, 200):
+        for kinds in (1, 2, 3):
+            text = rnd.integers(0, kinds, n)
+            found, _ = suffixes.levels(suffixes.first_ranks(text))
+            sa = np.argsort(found[-1][1], kind="stable")
+            lcp = np.append(0, suffixes.common(found, sa[:-1], sa[1:]))
+            got = np.zeros(n, int)
+            got[sa] = suffixes.previous_factors(sa, lcp, chunk)
+            assert got.tolist() == plain_lpf(text.tolist())
+
+
+def windows_again(pieces, width, keep_first):
+    seen, out = {}, []
+    for p in pieces:
+        for i in range(len(p) - width + 1):
+            seen.setdefault(tuple(p[i : i + width]), []).append(len(out))
+            out.append(False)
+    for places in seen.values():
+        for i in places[1 if keep_first else 0 :]:
+            out[i] = len(places) > 1
+    return out
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("most", [1500, 1])
+def test_cores(keep_first, monkeypatch):
+    """Both cores against plain windows, and that the windows of the parse come from its factors."""
+    rnd = np.random.default_rng(3)
+    lost = 0
+    for _ in range(60):
+        width = int(rnd.integers(2, 20))
+        pieces = [rnd.integers(0, 3, width - 1 + int(rnd.integers(1, 40))) for _ in range(int(rnd.integers(1, 9)))]
+        pieces += [np.concatenate([pieces[0][: len(pieces[0]) // 2], pieces[-1]])]
+        of = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        starts = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(of[:-1], of[1:])])
+        want = windows_again(pieces, width, keep_first)
+        flat = np.concatenate(pieces)
+        assert suffix_module.repeated(flat.astype(np.uint8), of, starts, width, keep_first).tolist() == want
+        assert rlz_module.parsed(flat.astype(U), of, starts, width, keep_first).tolist() == want
+        with monkeypatch.context() as m:
+            m.setattr(rlz_module, "factors", lambda longest, begin, end: (begin[:0], begin[:0]))
+            assert not rlz_module.parsed(flat.astype(U), of, starts, width, keep_first).any()
+        lost += sum(want)
+    assert lost
+
+
+@pytest.mark.parametrize(("most", "keep_first"), [(1500, False), (1500, True), (1, False), (1, True)])
 def test_dedup(table, keep_first, most, monkeypatch):
     monkeypatch.setattr(anchors, "MOST", most)
     rows = [(d, t or "") for d, t in rows_of(table)][:60]
@@ -128,6 +188,19 @@ def test_dedup(table, keep_first, most, monkeypatch):
     assert got == {d: (len(w), sum(masks[d]), " ".join(x for x, m in zip(w, masks[d]) if not m)) for d, w in words.items()}
 
 
+def test_dedup_queries(spark, small, docs):
+    """The registered widths over the whole small table, with the number of removed runs."""
+    texts = {d: (t or "").encode() for d, t in rows_of(docs)}
+    masks = brute.repeated_fast(texts, 400)
+    runs = {d: sum(a and not b for a, b in zip(m, [0, *m])) for d, m in masks.items()}
+    want = {d: (len(t), sum(masks[d]), runs[d], brute.sha(bytes(c for c, m in zip(t, masks[d]) if not m))) for d, t in texts.items()}
+    assert by_id(queries.op6_suffix_dedup(spark, small), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    words = {d: brute.WORD.findall(t or "") for d, t in rows_of(docs)}
+    masks = brute.repeated(words, 35, False)
+    want = {d: (len(w), sum(masks[d]), brute.sha(" ".join(x for x, m in zip(w, masks[d]) if not m))) for d, w in words.items()}
+    assert by_id(queries.op8_rlz_dedup(spark, small), "n_words", "n_removed", "kept_sha256") == want
+
+
 @pytest.mark.parametrize(("pairs", "split"), [(10_000, 2_000), (2, 2_000), (10_000, 2), (2, 2)])
 def test_join(table, pairs, split, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRS", pairs)
