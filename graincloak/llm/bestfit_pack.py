@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .textcols import BYTE, WHITE, U, map_slices, mix, prefix, saved, span_hash
 
-CACHE = 1_000_000
+CACHE = 300_000
 # fixed values: how a tokenizer file says that it lower-cases, drops white space and keeps letters, digits and signs apart
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -33,11 +33,12 @@ RARE[[*range(33), 39, 127, 0xC2, *range(0xCA, 256)]] = True
 _state: dict = {}
 
 
-def by_words(path: str) -> bool:
-    """Whether the file's tokenizer works on words without white space, as ``Known`` takes for granted."""
-    with open(path, encoding="utf-8") as f:
-        file = json.load(f)
-    return (file.get("normalizer") or {}).get("normalizers") == NORMALIZER and (file.get("pre_tokenizer") or {}).get("pretokenizers") == [SPLIT, BYTE_LEVEL] and file["model"]["type"] == "BPE"
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer works on words without white space, as ``Known`` takes for granted."""
+    if not tokenizer.normalizer or not tokenizer.pre_tokenizer or type(tokenizer.model).__name__ != "BPE":
+        return False
+    normalizer, pre = (json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    return normalizer.get("normalizers") == NORMALIZER and pre.get("pretokenizers") == [SPLIT, BYTE_LEVEL]
 
 
 def byte_letters() -> dict[int, str]:
@@ -102,7 +103,7 @@ def text_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarr
 
         tokenizer = Tokenizer.from_file(path)
         tokens = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-        _state.update(path=path, tokenizer=tokenizer, letters=byte_letters(), known=Known(), special=tokens, words=by_words(path))
+        _state.update(path=path, tokenizer=tokenizer, letters=byte_letters(), known=Known(), special=tokens, words=by_words(tokenizer))
     tokenizer, known, raw = _state["tokenizer"], _state["known"], data.tobytes()
     if not _state["words"]:
         found = [tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]

@@ -107,6 +107,7 @@ def map_slices(df: DataFrame, text: str, each: Callable, schema: str, names: lis
                 out = each(rows, data, offsets)
                 if out is not None and len(out[0]):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names)
+        pa.default_memory_pool().release_unused()  # workers live on after their task
 
     return df.mapInArrow(run, schema)
 
