@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from graincloak.functions.encode import encode_codes, encode_onehot, standardise
+from graincloak.functions.latent import autoencoder, covariances, encode, principal
 from graincloak.operators.cluster import cluster_groups
-from graincloak.operators.metrics import linkage, linkage_rates, ncp, utility
+from graincloak.operators.metrics import attacks, linkage, linkage_rates, ncp, over_seeds, utility
 from graincloak.operators.microagg import microaggregate
 from graincloak.operators.mondrian import mondrian
 from graincloak.operators.release import audit, range_text, record_level, release, set_text, skew
@@ -97,6 +98,51 @@ def linkage_rates_query(spark, sf_dir):
     return got.select("n_external", F.round("umr", 8).alias("umr"), F.round("err", 8).alias("err"))
 
 
+def attack_query(spark, sf_dir):
+    """The linkage attack for each fraction and seed."""
+    got = attacks(linkage_query(spark, sf_dir), WHO.key)
+    return got.select("frac", "seed", "n_external", F.round("umr", 8).alias("umr"), F.round("err", 8).alias("err"))
+
+
+def attack_summary_query(spark, sf_dir):
+    got = over_seeds(attacks(linkage_query(spark, sf_dir), WHO.key))
+    return got.select("frac", *(F.round(c, 8).alias(c) for c in got.columns if c != "frac"))
+
+
+def covariance_query(spark, sf_dir):
+    return covariances(encoded(spark, sf_dir), DIMS).select("i", "j", F.round("cov", 6).alias("cov"))
+
+
+LATENT = 3
+
+
+def linear_query(spark, sf_dir):
+    """Each row's place on the first principal axes."""
+    rows = encoded(spark, sf_dir)
+    return encode(rows, DIMS, principal(rows, DIMS, LATENT)).select(WHO.key, *(f"latent_{j}" for j in range(LATENT)))
+
+
+def with_latent(spark, sf_dir):
+    rows = encoded(spark, sf_dir).persist()
+    return encode(rows, DIMS, autoencoder(rows, WHO.key, DIMS, LATENT)[0])
+
+
+def trained_query(spark, sf_dir):
+    """Each row's place in the space of the trained encoder."""
+    return with_latent(spark, sf_dir).select(WHO.key, *(f"latent_{j}" for j in range(LATENT)))
+
+
+def encoder_query(spark, sf_dir):
+    """Microaggregation in the space of the trained encoder."""
+    return microaggregate(with_latent(spark, sf_dir), WHO.key, [f"latent_{j}" for j in range(LATENT)], WHO.sensitive, WHO.k, WHO.e)
+
+
+def cluster_drop_query(spark, sf_dir):
+    """Clusters with the rows of small ones suppressed: groups, and how many rows lost theirs."""
+    got = cluster_groups(complete(people(spark, sf_dir), WHO), WHO.key, list(WHO.numeric), WHO.sensitive, WHO.k, WHO.e, small="drop")
+    return got.agg(F.count_distinct("group_id").alias("n_groups"), F.count("group_id").alias("n_kept"), F.count_if(F.col("group_id").isNull()).alias("n_suppressed"))
+
+
 def nearest_query(spark, sf_dir):
     """Each customer's nearest nation, by the mean balance and order price of its orders."""
     df = standardise(people(spark, sf_dir), ["totalprice", "acctbal"])
@@ -126,7 +172,7 @@ def total_query(spark, sf_dir):
     return mondrian(complete(people(spark, sf_dir), WHO), WHO.key, list(WHO.numeric), WHO.k, "total", WHO.sensitive, WHO.e, least_variance=1000.0)
 
 
-METHODS = {"rank": mondrian_query, "latent": latent_query, "strict": strict_query, "cluster": cluster_query, "latent without diversity": lambda spark, sf_dir: latent_query(spark, sf_dir, e=1)}
+METHODS = {"rank": mondrian_query, "latent": encoder_query, "latent without encoder": latent_query, "strict": strict_query, "cluster": cluster_query, "latent without diversity": lambda spark, sf_dir: latent_query(spark, sf_dir, e=1)}
 
 
 def comparison_query(spark, sf_dir):
@@ -183,7 +229,8 @@ def queries():
         "release_utility": utility_query, "release_audit": audit_query, "release_records": record_query, "linkage_matches": linkage_query,
         "linkage_rates": linkage_rates_query, "nearest_group": nearest_query, "visit_skew": visits_query,
         "mondrian_median": median_query, "mondrian_total": total_query, "microagg_latent": latent_query, "microagg_strict": strict_query,
-        "cluster_parts": cluster_query, "method_comparison": comparison_query, "encoding_sweep": sweep_query, "permutation_sensitivity": sensitivity_query,
+        "encode_covariance": covariance_query, "encode_linear": linear_query, "encode_trained": trained_query, "microagg_encoder": encoder_query,
+        "linkage_attack": attack_query, "linkage_attack_summary": attack_summary_query, "cluster_drop": cluster_drop_query, "cluster_parts": cluster_query, "method_comparison": comparison_query, "encoding_sweep": sweep_query, "permutation_sensitivity": sensitivity_query,
     }
 
 
@@ -223,7 +270,14 @@ def oracle_sql():
     inside = " AND ".join([f"r.{c} BETWEEN g.{c}_lo AND g.{c}_hi" for c in num] + [f"list_contains(g.{c}_set, r.{c})" for c in cat])
     met = f"""{ecs}, met AS (SELECT r.row_key, count(g.group_id) AS n_match, CAST(coalesce(sum(g.group_size), 0) AS BIGINT) AS rows_match
     FROM encoded r LEFT JOIN ecs g ON {inside} GROUP BY r.row_key)"""
+    known = f"""{met}, spun AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(row_key || '-' || seed), row_key) AS place FROM met CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4])::INT AS seed)),
+  tried AS (SELECT frac, seed, count(*) AS n_external, avg(CAST(n_match = 1 AS INTEGER)) AS umr, avg(CASE WHEN rows_match > 0 THEN 1 / rows_match ELSE 0 END) AS err
+    FROM spun CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE]) AS frac) WHERE place <= greatest(1, floor((SELECT count(*) FROM met) * frac)) GROUP BY frac, seed)"""
+    covs = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_pop({DIMS[i]}, {DIMS[j]}), 6) AS cov FROM encoded" for i in range(len(DIMS)) for j in range(i, len(DIMS)))
     return {
+        "encode_covariance": f"WITH {ENCODED} {covs}",
+        "linkage_attack": f"WITH {known} SELECT frac, seed, n_external, round(umr, 8) AS umr, round(err, 8) AS err FROM tried",
+        "linkage_attack_summary": f"WITH {known} SELECT frac, {', '.join(f'round(avg({c}), 8) AS {c}_mean, round(stddev_samp({c}), 8) AS {c}_std' for c in ('err', 'umr'))} FROM tried GROUP BY frac",
         "encode_identity": f"WITH {ENCODED} SELECT row_key, {', '.join(f'round({z}, 6) AS {z}' for z in DIMS)} FROM encoded",
         "encode_onehot": f"WITH {PEOPLE} SELECT row_key, {', '.join(f'''CAST(status = '{v}' AS INTEGER) AS status_{v}''' for v in STATUS)} FROM people",
         "node_stats": f"WITH {PEOPLE} SELECT nation, count(*) AS m, count(DISTINCT segment) AS sa_values, round(median(totalprice), 4) AS med, round(var_pop(acctbal), 2) AS var_pop, round(var_samp(days), 2) AS var_samp FROM people GROUP BY nation",

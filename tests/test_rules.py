@@ -90,3 +90,67 @@ def test_parsers(spark):
     got = df.select("t", parse_range(F.col("t")).alias("r"), parse_set(F.col("t")).alias("s")).collect()
     assert [tuple(r.r) for r in got[:4]] == [(22.0, 26.0), (35.0, 35.0), (19.5, 19.5), (None, None)]
     assert [r.s for r in got[4:]] == [["a", "b"], ["a", "b"], ["1", "2", "3"]]
+
+
+def test_linear_encoder(spark):
+    from graincloak.functions.latent import encode, principal
+
+    x = np.random.default_rng(1).normal(size=(200, 4)) @ np.diag([5, 1, 3, 0.1])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double, c double, d double")
+    got = np.array([tuple(r) for r in encode(df, list("abcd"), principal(df, list("abcd"), 2)).orderBy("k").select("latent_0", "latent_1").collect()])
+    middle = x - x.mean(axis=0)
+    _, _, axes = np.linalg.svd(middle, full_matrices=False)
+    want = middle @ axes[:2].T
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-8)
+
+
+def test_trained_encoder(spark):
+    from graincloak.functions.latent import autoencoder, encode, gradients
+
+    rng = np.random.default_rng(4)
+    layers = [(rng.normal(size=(3, 5)), rng.normal(size=5)), (rng.normal(size=(5, 2)), rng.normal(size=2)), (rng.normal(size=(2, 5)), rng.normal(size=5)), (rng.normal(size=(5, 3)), rng.normal(size=3))]
+    x = rng.normal(size=(7, 3))
+    flat, at = gradients(layers, x), 1
+    for w, b in layers:  # against differences
+        for part in (w, b):
+            for i in range(0, part.size, 3):
+                old, ends = part.flat[i], []
+                for d in (1e-6, -1e-6):
+                    part.flat[i] = old + d
+                    ends.append(gradients(layers, x)[0])
+                part.flat[i] = old
+                assert abs((ends[0] - ends[1]) / 2e-6 - flat[at + i]) < 1e-4
+            at += part.size
+    base = rng.normal(size=(400, 2))
+    rows = [(i, *map(float, r)) for i, r in enumerate(np.concatenate([base, base @ rng.normal(size=(2, 2))], axis=1))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, d double")
+    cols = list("abcd")
+    first, losses = autoencoder(df.repartition(3), "k", cols, 2, epochs=12, rate=0.02)
+    again, same = autoencoder(df.repartition(8), "k", cols, 2, epochs=12, rate=0.02)
+    assert losses[-1] < 0.3 * losses[0] and np.allclose(losses, same)
+    assert all(np.allclose(w, v) and np.allclose(b, c) for (w, b), (v, c) in zip(first, again))
+    got = np.array([tuple(r)[5:] for r in encode(df, cols, first).orderBy("k").collect()])
+    x = np.array([r[1:] for r in rows])
+    assert np.allclose(got, np.maximum(x @ first[0][0] + first[0][1], 0) @ first[1][0] + first[1][1])
+
+
+def test_linkage_with_wide_groups(spark):
+    """Groups of all widths against every row, by plain comparison."""
+    from graincloak.config import People
+    from graincloak.operators.metrics import linkage, with_size
+
+    rng = np.random.default_rng(6)
+    who = People("k", ("a", "b"), ("c",), "s")
+    groups = []
+    for i in range(300):
+        lo, width = rng.uniform(0, 100, 2), rng.choice([0, 0.1, 1, 30, 100], 2)
+        groups.append((int(rng.integers(1, 9)), *(float(v) for p in zip(lo, lo + width) for v in p), sorted({f"v{j}" for j in rng.integers(0, 40, int(rng.choice([1, 2, 30])))})))
+    rows = [(i, float(rng.uniform(-5, 150)), float(rng.uniform(0, 120)), f"v{rng.integers(0, 42)}", "x") for i in range(400)]
+    released = spark.createDataFrame(groups, "group_size long, a_lo double, a_hi double, b_lo double, b_hi double, c_set array<string>")
+    external = spark.createDataFrame(rows, "k long, a double, b double, c string, s string")
+    want = {}
+    for k, a, b, c, _ in rows:
+        hit = [g[0] for g in groups if g[1] <= a <= g[2] and g[3] <= b <= g[4] and c in g[5]]
+        want[k] = (len(hit), sum(hit))
+    assert {r.k: (r.n_match, r.rows_match) for r in linkage(released, external, who).collect()} == want and any(n for n, _ in want.values())
+    assert {r.group_size for r in with_size(released.drop("group_size")).collect()} == {8}
