@@ -282,7 +282,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         ends = small(saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         sides = [side.join(ends.withColumnRenamed("id", i), i, "left_semi") for side, i in zip(sizes, ("a", "b"))]
         pairs = saved(pairs.join(sides[0], "a").join(sides[1], "b").filter(suffix).select("a", "b").distinct())
-        return verify(pairs, docs, n, num, den)
+        return done.limit(0) if pairs.isEmpty() else verify(pairs, docs, n, num, den)
+
+    def grown(comp, links):
+        """Components after more links (saved): those of before serve as links to their smallest ids."""
+        links = links.filter("linked").select("a", "b")
+        return comp if links.isEmpty() else components(comp.toDF("a", "b").unionByName(links))
 
     def mixed(comp):
         """Postings with their components, in buckets that hold several of them (those of two sets have been compared); and
@@ -295,15 +300,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         return saved(rows.join(toks, "tok")), per.join(toks, "tok", "left_semi")
 
     done = saved(checked(posted.filter("pivot IS NOT NULL").select("id", F.col("pivot").alias("id2")), done))
-    rows, per = mixed(small(components(done.filter("linked"))))
+    comp = components(done.filter("linked"))
+    rows, per = mixed(small(comp))
     largest = Window.partitionBy("tok").orderBy(F.desc("members"), "comp")
     few = small(saved(per.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") <= pivots).select("tok", "comp", "h")))
     few = rows.join(few.withColumnRenamed("comp", "comp2"), "tok").filter("xxhash64(id) = h AND comp = comp2")
     few = small(saved(few.select("tok", "comp2", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos")))))
-    found = checked(rows.join(few, "tok").filter((F.col("comp") != F.col("comp2")) & alike(num, den)), done)
-    done = saved(done.unionByName(found))
-
-    rows, _ = mixed(small(components(done.filter("linked"))))
+    found = saved(checked(rows.join(few, "tok").filter((F.col("comp") != F.col("comp2")) & alike(num, den)), done))
+    done = done.unionByName(found)
+    before, comp = comp, grown(comp, found)
+    if comp is not before:
+        rows, _ = mixed(small(comp))
     crowd = F.col("m_left") * F.col("m") > PAIRS
     right = rows.filter(~crowd).select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")))
     once = (F.col("comp2") == F.col("main")) | (F.col("id") < F.col("id2"))
@@ -313,9 +320,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         widest = crowded.groupBy("tok").agg(F.max("n").alias("widest"))
         crowded = saved(crowded.join(widest, "tok").withColumn("chunk", F.greatest(F.lit(16), F.least(F.lit(500), F.floor(400_000 / F.col("widest"))))).drop("widest"))
         found = found.unionByName(verify_blocks(crowded.filter("comp <> main"), crowded, reps, docs, n, num, den))
-    done = saved(done.unionByName(found))
-
-    comp = small(components(done.filter("linked")).withColumnRenamed("id", "rep"))
+    comp = small(grown(comp, saved(found)).withColumnRenamed("id", "rep"))
     linked = keyed.select("id", "n", "rep").join(comp, "rep", "left").select("id", "n", F.coalesce("low", "rep").alias("low"))
     out = linked.unionByName(sigs.filter(~some).select("id", "n", F.col("id").alias("low")))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
