@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graincloak.functions.encode import encode_codes, encode_onehot, standardise
 from graincloak.functions.latent import autoencoder, covariances, encode, principal
+from graincloak.jobs import Job, anonymize, linkage_risk, sweep
 from graincloak.operators.cluster import cluster_groups
 from graincloak.operators.metrics import attacks, linkage, linkage_rates, ncp, over_seeds, utility
 from graincloak.operators.microagg import microaggregate
@@ -216,6 +217,34 @@ def sensitivity_query(spark, sf_dir):
     return runs.agg(F.count("*").alias("n_runs"), *(F.round(f(c), 6).alias(f"{c}_{n}") for c in ("n_groups", "ncp", "umr", "err") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 
+def unfinished(spark, sf_dir):
+    """The people table with an unknown status for partly filled orders."""
+    return people(spark, sf_dir).withColumn("status", F.when(F.col("status") != "P", F.col("status")))
+
+
+def job_query(spark, sf_dir):
+    """The report of a release of a table with incomplete rows."""
+    got = anonymize(unfinished(spark, sf_dir), Job(WHO, alpha=0.5, entropy=0.5)).report
+    exact = ["n_input", "n_incomplete", "n_suppressed", "n_groups", "n_rows", "min_size", "max_size", "breaks_k", "breaks_e", "breaks_alpha", "breaks_entropy"]
+    return got.select(*exact, *(F.round(c, 8).alias(c) for c in ("avg_size", "avg_p_max", "max_p_max", "avg_entropy", "avg_entropy_bits", "avg_loss", "ncp")))
+
+
+def job_risk_query(spark, sf_dir):
+    """The linkage attack on that release, by attackers who know complete rows."""
+    made = anonymize(unfinished(spark, sf_dir), Job(WHO))
+    got = linkage_risk(made.groups, made.rows, WHO)
+    return got.select("frac", *(F.round(c, 8).alias(c) for c in got.columns if c != "frac"))
+
+
+JOBS = {"rank in a linear latent space": Job(WHO, encoder="linear"), "median": Job(WHO, "median"), "latent": Job(WHO, "latent", alpha=0.6), "clusters, small ones dropped": Job(WHO, "cluster", small="drop")}
+
+
+def job_sweep_query(spark, sf_dir):
+    """Reports of further jobs on that table."""
+    got = sweep(unfinished(spark, sf_dir), JOBS)
+    return got.select(*(F.round(c, 8).alias(c) if t == "double" else c for c, t in got.dtypes))
+
+
 def visits_query(spark, sf_dir):
     """Sensitive-value statistics of a skewed table: the events of each hour."""
     events = read_table(spark, f"{sf_dir}/events.parquet").withColumn("hour", F.hour("ts"))
@@ -231,6 +260,7 @@ def queries():
         "mondrian_median": median_query, "mondrian_total": total_query, "microagg_latent": latent_query, "microagg_strict": strict_query,
         "encode_covariance": covariance_query, "encode_linear": linear_query, "encode_trained": trained_query, "microagg_encoder": encoder_query,
         "linkage_attack": attack_query, "linkage_attack_summary": attack_summary_query, "cluster_drop": cluster_drop_query, "cluster_parts": cluster_query, "method_comparison": comparison_query, "encoding_sweep": sweep_query, "permutation_sensitivity": sensitivity_query,
+        "job_report": job_query, "job_risk": job_risk_query, "job_sweep": job_sweep_query,
     }
 
 
@@ -274,7 +304,7 @@ def oracle_sql():
   tried AS (SELECT frac, seed, count(*) AS n_external, avg(CAST(n_match = 1 AS INTEGER)) AS umr, avg(CASE WHEN rows_match > 0 THEN 1 / rows_match ELSE 0 END) AS err
     FROM spun CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE]) AS frac) WHERE place <= greatest(1, floor((SELECT count(*) FROM met) * frac)) GROUP BY frac, seed)"""
     covs = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_pop({DIMS[i]}, {DIMS[j]}), 6) AS cov FROM encoded" for i in range(len(DIMS)) for j in range(i, len(DIMS)))
-    return {
+    sql = {
         "encode_covariance": f"WITH {ENCODED} {covs}",
         "linkage_attack": f"WITH {known} SELECT frac, seed, n_external, round(umr, 8) AS umr, round(err, 8) AS err FROM tried",
         "linkage_attack_summary": f"WITH {known} SELECT frac, {', '.join(f'round(avg({c}), 8) AS {c}_mean, round(stddev_samp({c}), 8) AS {c}_std' for c in ('err', 'umr'))} FROM tried GROUP BY frac",
@@ -296,3 +326,8 @@ def oracle_sql():
   SELECT row_key, group_id FROM far QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY d, group_id) = 1""",
         "visit_skew": "WITH c AS (SELECT CAST(hour(ts) AS INTEGER) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT hour, CAST(sum(n) AS BIGINT) AS group_size, count(*) AS sa_values, round(max(n) / sum(n), 6) AS p_max, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS entropy FROM c GROUP BY hour",
     }
+    finished = lambda name: sql[name].replace("ON o_custkey = c_custkey)", "ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')")
+    sql["job_report"] = f"""SELECT i.n_input, i.n_input - n.n_rows AS n_incomplete, CAST(0 AS BIGINT) AS n_suppressed, u.*, n.n_rows, n.ncp, a.* EXCLUDE (n_groups)
+  FROM (SELECT count(*) AS n_input FROM orders JOIN customer ON o_custkey = c_custkey) i CROSS JOIN ({finished("release_utility")}) u CROSS JOIN ({finished("release_ncp")}) n CROSS JOIN ({finished("release_audit")}) a"""
+    sql["job_risk"] = finished("linkage_attack_summary")
+    return sql
