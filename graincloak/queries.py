@@ -286,6 +286,24 @@ def mondrian_sql() -> str:
     return ", ".join(out) + f", grouped AS MATERIALIZED (SELECT encoded.*, n{LEVELS}.node AS group_id FROM encoded JOIN n{LEVELS} USING (row_key))"
 
 
+def median_sql() -> str:
+    """The median split with its levels written out: (row_key, group_id), null for the remainder."""
+    zs, k = ", ".join(DIMS), WHO.k
+    out = [f"{ENCODED}, n0 AS (SELECT row_key, segment, {zs}, CAST(1 AS BIGINT) AS node FROM encoded)"]
+    best = f"greatest({', '.join(f'v{j}' for j in range(len(DIMS)))})"
+    pick = " ".join(f"WHEN v{j} = {best} THEN {z}" for j, z in enumerate(DIMS))
+    for i in range(LEVELS):
+        var = ", ".join(f"round(var_pop({z}), 9) AS v{j}" for j, z in enumerate(DIMS))
+        out.append(f"s{i} AS MATERIALIZED (SELECT node, count(*) AS m, {var} FROM n{i} WHERE node IS NOT NULL GROUP BY node HAVING count(*) > {2 * k})")
+        out.append(f"p{i} AS MATERIALIZED (SELECT n{i}.*, m, {best} AS best, CASE {pick} END AS x FROM n{i} LEFT JOIN s{i} USING (node))")
+        out.append(f"c{i} AS MATERIALIZED (SELECT node, median(x) AS cut FROM p{i} WHERE m IS NOT NULL GROUP BY node)")
+        out.append(f"l{i} AS MATERIALIZED (SELECT node, cut, count(*) FILTER (x <= cut) AS n_left FROM p{i} JOIN c{i} USING (node) GROUP BY node, cut)")
+        side = f"CASE WHEN m IS NULL THEN node WHEN best > 0.05 AND least(n_left, m - n_left) >= {k} THEN 2 * node + CAST(x > cut AS INTEGER) END"
+        out.append(f"n{i + 1} AS MATERIALIZED (SELECT row_key, segment, {zs}, {side} AS node FROM p{i} LEFT JOIN l{i} USING (node))")
+    good = f"good AS (SELECT node FROM n{LEVELS} WHERE node IS NOT NULL GROUP BY node HAVING count(*) BETWEEN {k} AND {2 * k} AND count(DISTINCT segment) >= {WHO.e})"
+    return f"WITH {', '.join(out)}, {good} SELECT row_key, good.node AS group_id FROM n{LEVELS} LEFT JOIN good USING (node)"
+
+
 def oracle_sql():
     num, cat = WHO.numeric, WHO.categorical
     ranges = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in num)
@@ -329,5 +347,6 @@ def oracle_sql():
     finished = lambda name: sql[name].replace("ON o_custkey = c_custkey)", "ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')")
     sql["job_report"] = f"""SELECT i.n_input, i.n_input - n.n_rows AS n_incomplete, CAST(0 AS BIGINT) AS n_suppressed, u.*, n.n_rows, n.ncp, a.* EXCLUDE (n_groups)
   FROM (SELECT count(*) AS n_input FROM orders JOIN customer ON o_custkey = c_custkey) i CROSS JOIN ({finished("release_utility")}) u CROSS JOIN ({finished("release_ncp")}) n CROSS JOIN ({finished("release_audit")}) a"""
+    sql["mondrian_median"] = median_sql()
     sql["job_risk"] = finished("linkage_attack_summary")
     return sql
