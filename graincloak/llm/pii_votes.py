@@ -1,13 +1,16 @@
 """Personal data by weak supervision: labelers vote on spans, EM weighs the labelers, a span classifier decides.
 
 Candidates are the strict matches of four kinds (email, ip, card, phone: the base, always kept) and loose ones (addresses
-with spelt-out signs, phone numbers without a country code, card numbers that fail a check). On each of them vote
-* the regex labeler: strict matches yes, loose ones no;
-* the gazetteer labeler: the value has a listed domain ending, card issuer prefix, calling code, or special-use network;
-* the context labeler: words for or against in the 40 characters before; otherwise it abstains.
+with spelt-out signs, phone numbers without a country code, card numbers that fail a check). On each of them, strict or
+loose alike, vote
+* the regex labeler, on the form: a well-formed network address, a right check digit, a country code or like separators;
+* the gazetteer labeler, on lists: domain endings, card issuers, calling and area codes, special-use networks;
+* the context labeler: words for or against in the 40 characters before.
+A labeler says yes, no, or nothing where it does not know.
 
 Votes are counted per pattern (a few hundred patterns at most, whatever the input). Expectation-maximisation over these
-counts estimates each labeler's reliability (its votes given the truth) and each pattern's posterior. A naive Bayes span
+counts estimates each labeler's reliability (its votes given the truth; all begin alike, as somewhat better than chance,
+which weighs as much as STRENGTH candidates) and each pattern's posterior. A naive Bayes span
 classifier (kind, votes, length class, whether the span stands free) is trained on the posteriors and adds the loose spans
 that it accepts. All work on rows is done by Spark's own functions.
 
@@ -34,13 +37,18 @@ STRICT = {
 LOOSE = {
     "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
+}
+FORM = {
+    "email": r"@|[(\[]dot[)\]]",
+    "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$",
+    "phone": r"^\+|^\([0-9]{3}\)\x20|^[0-9]{3}([\x20.-])[0-9]{3}\1",
 }
 GAZETTEER = {
     "email": r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|info|eu)$",
-    "ip": r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)",
+    "ip": r"^(?!(?:0|10|127|22[4-9]|2[3-5][0-9])\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)",
     "card": r"^(?:4|5[1-5]|3[47]|6011|65)",
-    "phone": r"^\+?(?:1|30|31|32|33|34|39|4[0-9]|5[1-8]|6[0-6]|7|8[146]|9[0-5])",
+    "phone": r"^\+(?:1|30|31|32|33|34|39|4[0-9]|5[1-8]|6[0-6]|7|8[146]|9[0-5])|^\(?[2-9][0-8][0-9]\)?[\x20.-][2-9][0-9]{2}",
 }
 FOR = {
     "email": r"e-?mail|contact|write|reach|correo|courriel",
@@ -49,7 +57,8 @@ FOR = {
     "phone": r"phone|call|\btel|mobile|fax|telefon",
 }
 AGAINST = r"version|isbn|chapter|figure|\bfig\.|serial|order|invoice|part no"
-VOTES = ("regex", "gazetteer", "context")
+START = {("-1", 0): 0.2, ("-1", 1): 0.2, ("0", 0): 0.56, ("0", 1): 0.24, ("1", 0): 0.24, ("1", 1): 0.56}  # a vote, given the truth
+STRENGTH = 10
 
 
 def luhn(digits: Column) -> Column:
@@ -78,21 +87,22 @@ def strict(text: Column) -> dict[str, Column]:
 
 def loose(text: Column) -> list[Column]:
     low = F.lower(text)
-    maybe = {"email": F.contains(low, F.lit("at)")) | F.contains(low, F.lit("at]")), "phone": F.rlike(text, F.lit(r"[0-9]{3}[\x20.-][0-9]{4}")), "card": F.rlike(text, F.lit(r"[0-9]{4}[\x20-][0-9]{4}"))}
+    maybe = {"email": F.contains(low, F.lit("at)")) | F.contains(low, F.lit("at]")), "phone": F.rlike(text, F.lit(r"[0-9]{3}[\x20.-][0-9]{4}")), "card": F.rlike(text, F.lit(r"[0-9](?:[\x20-]?[0-9]){12}"))}
     return [spans(text, k, p, lambda x: F.lit(True), maybe[k]) for k, p in LOOSE.items()]
 
 
-def patterns(text: Column, found: Column, regex_vote: int) -> Column:
+def patterns(text: Column, found: Column) -> Column:
     """Spans with what the labelers and the classifier see: kind, three votes, length class, whether it stands free."""
 
     def one(x):
         pick = lambda table: F.coalesce(*(F.when(x["kind"] == k, F.lit(p)) for k, p in table.items()))
         before = F.lower(F.substring(text, F.greatest(x["start"] - 39, F.lit(1)).cast("int"), F.least(x["start"], F.lit(40)).cast("int")))
         context = F.when(F.rlike(before, pick(FOR)), 1).when(F.rlike(before, F.lit(AGAINST)), 0).otherwise(-1)
-        gazetteer = F.rlike(x["value"], pick(GAZETTEER)).cast("int")
+        form = F.when(x["kind"] == "card", luhn(F.regexp_replace(x["value"], r"[^0-9]++", ""))).otherwise(F.rlike(x["value"], pick(FORM)))
+        form, listed = (F.when(yes, 1).when(x["kind"] == "email", -1).otherwise(0) for yes in (form, F.rlike(x["value"], pick(GAZETTEER))))
         free = (F.length(before) == 0) | F.rlike(before, F.lit(r"[\s,;:(\[\"']$"))
         size = F.least(F.floor(F.length(x["value"]) / 8), F.lit(5)).cast("int")
-        key = F.concat_ws("|", x["kind"], F.lit(regex_vote).cast("string"), gazetteer.cast("string"), context.cast("string"), size.cast("string"), free.cast("int").cast("string"))
+        key = F.concat_ws("|", x["kind"], form.cast("string"), listed.cast("string"), context.cast("string"), size.cast("string"), free.cast("int").cast("string"))
         return F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "value")), key.alias("pattern"))
 
     return F.transform(found, one)
@@ -103,9 +113,7 @@ def fit_votes(counts: dict[str, int], rounds: int = 30) -> dict[str, float]:
     rows = [(p.split("|"), n) for p, n in counts.items()]
     kinds = {r[0] for r, _ in rows}
     prior = dict.fromkeys(kinds, 0.5)
-    told = {(j, v, y): 0.7 if (v == "1") == bool(y) else 0.3 for j in range(3) for v in ("-1", "0", "1") for y in (0, 1)}
-    told |= {(j, "-1", y): 0.5 for j in range(3) for y in (0, 1)}
-    told |= {(0, v, y): 0.9 if (v == "1") == bool(y) else 0.1 for v in ("0", "1") for y in (0, 1)}
+    told = {(j, v, y): p for j in range(3) for (v, y), p in START.items()}
     post: dict[str, float] = {}
     for _ in range(rounds):
         for r, _ in rows:
@@ -118,7 +126,7 @@ def fit_votes(counts: dict[str, int], rounds: int = 30) -> dict[str, float]:
             prior[k] = (1 + sum(p * n for p, n in mine)) / (2 + sum(n for _, n in mine))
         for j in range(3):
             for y in (0, 1):
-                mass = {v: 1.0 for v in ("-1", "0", "1")}
+                mass = {v: STRENGTH * START[v, y] for v in ("-1", "0", "1")}
                 for r, n in rows:
                     mass[r[1 + j]] += n * (post["|".join(r)] if y else 1 - post["|".join(r)])
                 for v, m in mass.items():
@@ -150,7 +158,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     apart = lambda x, others: ~F.exists(others, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.concat(*strict(text).values()).alias("base"), F.concat(*loose(text)).alias("rest"))
     rest = F.when(F.size("rest") > 0, F.filter("rest", lambda x: apart(x, F.col("base")))).otherwise(none())
-    seen = base.select("id", patterns(F.col("text"), F.col("base"), 1).alias("base"), patterns(F.col("text"), rest, 0).alias("rest"))
+    seen = base.select("id", patterns(F.col("text"), F.col("base")).alias("base"), patterns(F.col("text"), rest).alias("rest"))
     seen = saved(seen)
     rows = seen.select(F.explode(F.concat("base", "rest")).alias("x")).groupBy("x.pattern").count().collect()  # a few hundred patterns
     counts = {r["pattern"]: r["count"] for r in rows}

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 SECRETS = {"assign": r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
@@ -96,3 +98,22 @@ def components(rows, n, num, den):
                 x, y = find(a), find(b)
                 top[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def em(rows, start, strength, rounds):
+    """Posteriors of rows (kind, vote, vote, vote) under two classes, from numpy arrays with one row a candidate."""
+    kinds = sorted({r[0] for r in rows})
+    kind = np.array([kinds.index(r[0]) for r in rows])
+    votes = np.array([[int(v) + 1 for v in r[1:]] for r in rows])
+    prior = np.full(len(kinds), 0.5)
+    first = np.array([[start[str(v), y] for v in (-1, 0, 1)] for y in (0, 1)])
+    told = np.stack([first] * 3)  # labeler, truth, vote
+    for _ in range(rounds):
+        no, yes = (np.prod([told[j, y, votes[:, j]] for j in range(3)], axis=0) * (prior if y else 1 - prior)[kind] for y in (0, 1))
+        p = yes / (yes + no)
+        prior = np.array([(1 + p[kind == k].sum()) / (2 + (kind == k).sum()) for k in range(len(kinds))])
+        for j in range(3):
+            for y in (0, 1):
+                w = np.array([(p if y else 1 - p)[votes[:, j] == v].sum() for v in range(3)]) + strength * first[y]
+                told[j, y] = w / w.sum()
+    return p
