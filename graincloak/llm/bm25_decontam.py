@@ -13,26 +13,30 @@ reach ``overlap``, or so does the share of the whole item's words that lie in sh
 ``n`` words, fewer in items of under ``n / (1 - overlap)`` words (two at least), so that one changed word does not hide an
 item of ten words or more however short its answer is.
 
-The index is broadcast in parts of at most POSTINGS postings (a few MB each), each of which all passages query; statistics
-are those of all items.
+The index comes in parts of about POSTINGS postings (a few MB each), built in tasks from statistics of all items and
+written out. All passages query every part: one part is broadcast at a time, and released before the next. With several
+parts the documents are written once with a row number, and each pass writes the matches it finds.
 
 Defined results: null or empty texts match nothing; items without terms match nothing; a null doc_id is carried; repeated
-rows are judged alike; repeated item rows are items of their own; extra columns are carried along.
+rows are judged alike; repeated item rows are items of their own; extra columns are carried along, but a column named matches is replaced.
 """
 
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .textcols import U, Words, map_slices, mix, text_bytes
+from .native_spans import fresh
+from .textcols import U, Words, map_slices, mix, saved, small, text_bytes
 
 BLOCK = 8
 POSTINGS = 500_000
 K1, B = 1.2, 0.75
-MATCH = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
+MATCH = ArrayType(StructType([StructField("item_id", LongType()), *(StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))]))
 PLAIN = np.full(256, 32, np.uint8)
 for _low, _high in ((48, 58), (97, 123), (128, 256)):
     PLAIN[_low:_high] = np.arange(_low, _high)
@@ -77,17 +81,18 @@ def question_answer(text: str) -> tuple[str, str]:
 class Index:
     """Items of one part: terms (sorted hashes), postings by term with weights, block maxima by term, shingles to verify."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_words: float, n: int):
+    def __init__(self, items: list[tuple[int, str]], df: tuple[np.ndarray, np.ndarray], n_items: int, mean_words: float, longest: int, n: int):
         items = sorted(items)
         self.ids = np.array([i for i, _ in items], np.int64)
         words = plain_words([t for _, t in items])
         count = np.diff(words.of)
-        self.longest = int(count.max(initial=1))
+        self.longest = longest
         doc = words.doc()
         pairs, tf = np.unique(np.stack([words.hash, doc.astype(U)]), axis=1, return_counts=True)
         self.terms, term = np.unique(pairs[0], return_inverse=True)
         item = pairs[1].astype(np.int64)
-        freq = np.array([df[int(t)] for t in self.terms.view(np.int64)], float)
+        order = np.argsort(df[0])
+        freq = df[1][order][np.searchsorted(df[0], self.terms.view(np.int64), sorter=order)].astype(float)
         idf = np.log(1 + (n_items - freq + 0.5) / (freq + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * count[item] / mean_words))
         whole = np.bincount(item, weight, len(items))
@@ -156,38 +161,65 @@ def retrieve(ix: Index, words: Words, least: float) -> list[tuple[int, int, int,
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int = 5, overlap: float = 0.8, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column matches: the verified items of each document (the best passage's figures), by item id.
-    ``items``: item_id, text."""
-    spark = docs.sparkSession
+def indexes(items: DataFrame, n: int, postings: int) -> tuple[DataFrame, int]:
+    """(part, index): the pickled index of each part of ``items``, written out, and the number of parts."""
 
     def terms(rows, data, offsets):
         words = Words(PLAIN[data], offsets)
-        doc = words.doc()
-        pairs = np.unique(np.stack([words.hash, doc.astype(U)]), axis=1)
+        pairs = np.unique(np.stack([words.hash, words.doc().astype(U)]), axis=1)
         return [rows.column("item_id").take(pa.array(pairs[1].astype(np.int64))), pairs[0].view(np.int64)]
 
-    items = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    postings = map_slices(items, "text", terms, "item_id long, term long")
-    total = postings.count()
+    entries = saved(map_slices(items, "text", terms, "item_id long, term long"))
     sizes = map_slices(items, "text", lambda rows, data, offsets: [np.diff(Words(PLAIN[data], offsets).of).astype(np.int64)], "n long")
-    n_items, mean_words = sizes.agg(F.count("*"), F.avg("n")).first()
-    out = docs
-    parts = -(-total // POSTINGS)
-    where = F.pmod(F.xxhash64("item_id"), F.lit(parts)) if parts else None
-    out = out.withColumn("matches", F.array().cast(MATCH))
+    n_items, mean_words, longest = sizes.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    parts = -(-entries.count() // postings)
+    part = F.pmod(F.xxhash64("item_id"), F.lit(max(parts, 1))).cast("int").alias("part")
+
+    def build(mine: pa.Table, df: pa.Table) -> pa.Table:
+        if not len(mine):
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["part", "index"])
+        rows = list(zip(mine.column("item_id").to_pylist(), mine.column("text").to_pylist()))
+        made = Index(rows, (df.column("term").to_numpy(), df.column("df").to_numpy()), n_items, mean_words or 1.0, max(longest, 1), n)
+        return pa.table([pa.array([mine.column("part")[0].as_py()], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["part", "index"])
+
+    df = entries.select(part, "term").distinct().join(entries.groupBy("term").agg(F.count("*").alias("df")), "term")
+    both = items.select(part, "item_id", "text").groupBy("part").cogroup(df.select("part", "term", "df").groupBy("part"))
+    return saved(both.applyInArrow(build, "part int, index binary")), parts
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int = 5, overlap: float = 0.8, text_col: str = "text", postings: int = POSTINGS) -> DataFrame:
+    """``docs`` with a column matches: the verified items of each document (the best passage's figures), by item id.
+    ``items``: item_id, text."""
+    spark = docs.sparkSession
+    docs = docs.drop("matches")
+    made, parts = indexes(items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text"), n, postings)
+
+    def index(part: int):
+        return spark.sparkContext.broadcast(pickle.loads(made.filter(F.col("part") == part).first()["index"]))
+
+    if parts == 0:
+        return docs.withColumn("matches", F.array().cast(MATCH))
+    if parts == 1:
+        return matched(docs, index(0), least, n, overlap, text_col)
+    row, found = fresh(docs, "row"), []
+    docs = saved(docs.withColumn(row, F.monotonically_increasing_id()))
     for part in range(parts):
-        mine = items.filter(where == part)
-        own_terms = postings.filter(where == part).select("term").distinct()
-        df = {r.term: r.df for r in postings.join(own_terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in mine.collect()], df, n_items, mean_words or 1.0, n))
-        out = matched(out, index, least, n, overlap, text_col)
-    return out.withColumn("matches", F.array_sort("matches")) if parts > 1 else out
+        if made.filter(F.col("part") == part).isEmpty():
+            continue
+        shared = index(part)
+        found.append(saved(matched(docs.select(row, text_col), shared, least, n, overlap, text_col).filter(F.size("matches") > 0).select(row, "matches")))
+        shared.destroy()
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    hits = saved(hits.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches")))
+    out = docs.join(small(hits), row, "left").drop(row)
+    return out.withColumn("matches", F.coalesce("matches", F.array().cast(MATCH)))
 
 
 def matched(docs: DataFrame, index, least: float, n: int, overlap: float, text_col: str) -> DataFrame:
+    """``docs`` with a column matches: what the items of one part find."""
     kinds = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-    fields = docs.schema.fields
 
     def share(of: tuple[int, np.ndarray], passage: np.ndarray) -> float:
         size, shingles = of
@@ -203,9 +235,7 @@ def matched(docs: DataFrame, index, least: float, n: int, overlap: float, text_c
                 short = min(n, max(2, int(len(whole) * (1 - overlap) + 1e-9)), len(whole))
                 if (q >= overlap and a >= overlap or covered(whole, words.hash[start:end], short) >= overlap) and (item not in best[doc] or score > best[doc][item]["score"]):
                     best[doc][item] = {"item_id": int(ix.ids[item]), "score": score, "question_overlap": q, "answer_overlap": a}
-        old = rows.column("matches").to_pylist()
-        new = [[*o, *(b[k] for k in sorted(b))] for o, b in zip(old, best)]
-        return [pa.array(new, kinds) if f.name == "matches" else rows.column(f.name) for f in fields]
+        return [*rows.columns, pa.array([[b[k] for k in sorted(b)] for b in best], kinds)]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return map_slices(docs, text_col, each, schema, [f.name for f in fields])
+    schema = StructType([*docs.schema.fields, StructField("matches", MATCH)])
+    return map_slices(docs, text_col, each, schema, [*docs.columns, "matches"])

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE = 1 << 18
 U = np.uint64
@@ -97,7 +98,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, n
         at = to
 
 
-def map_slices(df: DataFrame, text: str, each: Callable, schema: str, names: list[str] | None = None) -> DataFrame:
+def map_slices(df: DataFrame, text: str, each: Callable, schema: str | StructType, names: list[str] | None = None) -> DataFrame:
     """``each(rows, data, offsets)`` gives the arrays of ``schema``'s columns, or None, for every slice of ``df``."""
     names = names or [x.split()[0] for x in schema.split(", ")]
 

@@ -117,3 +117,16 @@ def em(rows, start, strength, rounds):
                 w = np.array([(p if y else 1 - p)[votes[:, j] == v].sum() for v in range(3)]) + strength * first[y]
                 told[j, y] = w / w.sum()
     return p
+
+
+def bm25(passages, items, k1=1.2, b=0.75):
+    """For each passage (a list of words), the score of each item over what the item scores for all of its own terms."""
+    freq = Counter(t for w in items.values() for t in set(w))
+    mean = sum(map(len, items.values())) / len(items)
+    idf = {t: np.log(1 + (len(items) - f + 0.5) / (f + 0.5)) for t, f in freq.items()}
+    weight = {i: {t: idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(w) / mean)) for t, n in Counter(w).items()} for i, w in items.items()}
+    return [{i: sum(w.get(t, 0.0) for t in set(p)) / sum(w.values()) for i, w in weight.items() if w} for p in passages]
+
+
+def plain_words(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

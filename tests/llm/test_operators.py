@@ -339,6 +339,31 @@ def test_decontamination_of_edited_items(spark, small):
     assert {(r.doc_id, m.item_id) for r in decontaminate(docs, items).collect() for m in r.matches} == want
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_retrieval(spark, small, parts):
+    """Block-max bounds skip nothing: all pairs of passage and item that plain BM25 has at or above the threshold, once each."""
+    some = random.Random(2)
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    words = {i: brute.plain_words(t) for i, t in texts.items()}
+    every = sorted({w for x in words.values() for w in x})
+    rows = []
+    for i, w in words.items():
+        kept = [x for x in w if some.random() < some.choice((0.2, 0.5, 0.8, 1.0))]
+        rows.append((i, " ".join([*some.choices(every, k=some.randrange(200)), *kept, *some.choices(every, k=some.randrange(200))])))
+    docs = spark.createDataFrame([(d, t, "x", {"k": 1}) for d, t in [*rows, (None, None)]], "doc_id long, text string, row string, matches map<string,int>").repartition(3)
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    total = sum(len(set(w)) for w in words.values())
+    got = decontaminate(docs, items, least=0.3, overlap=0.0, postings=-(-total // parts))
+    assert got.columns == ["doc_id", "text", "row", "matches"] and got.count() == len(rows) + 1
+    found = {(r.doc_id, m.item_id): m.score for r in got.collect() for m in r.matches}
+    size, want = max(map(len, words.values())), {}
+    for d, t in rows:
+        w = brute.plain_words(t)
+        for scores in brute.bm25([w[k : k + 2 * size] for k in range(0, len(w), size)], words):
+            want |= {(d, i): max(x, want.get((d, i), 0.0)) for i, x in scores.items() if x >= 0.3}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want) and len(want) >= len(texts)
+
+
 def test_chat(spark, small):
     compare(spark, queries.op3_chat_parts, queries.oracle_sql()["op3_chat_parts"], small)
     for text in ("", "</s>[INST] ok [/INST]", "<|turn|>\\<\\|", "\\\\[\\INST]\n<"):
