@@ -2,23 +2,26 @@
 
 A document's features are its word 1- and 2-grams, and 1- to 3-grams of word outlines (the kinds of a word's first and last
 two characters), all hashed to 2**BITS weights and averaged over the document; a score is the logistic of that sparse dot
-product. ``train`` fits on at most ``max_rows`` labelled rows (a documented bound on the fit; a hash of the id picks them)
-in SHARDS shards, whose weights are averaged; scoring covers every row.
+product. ``train`` fits on some ``max_rows`` labelled rows of some ``max_bytes`` in all (documented bounds on the fit, kept
+on average: a hash of the id picks the rows) in SHARDS shards, whose weights are averaged; scoring covers every row.
 
 Defined results: a null or empty text has no n-grams and gets the bias alone; rows with a null id or label never train;
-repeated rows are scored alike; extra columns are carried along unless they clash with score.
+without labelled rows every score is 0.5; repeated rows are scored alike; extra columns are carried
+along, but a column named score is replaced.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textcols import U, Words, blobs, map_slices, mix
 
 BITS = 20
 SHARDS = 4
 MAX_ROWS = 20_000
+MAX_BYTES = 256 << 20
 KIND = np.arange(256)
 KIND[[*range(97, 123), *range(128, 256)]] = 97
 KIND[65:91] = 65
@@ -65,11 +68,11 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, alpha:
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS, scale: float = 20.0) -> tuple[np.ndarray, float]:
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, scale: float = 20.0) -> tuple[np.ndarray, float]:
     """``labelled``: id, text, label. Returns averaged weights and bias."""
     usable = labelled.filter("id IS NOT NULL AND label IS NOT NULL")
-    total = usable.count()
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(total, 1)))
+    total, size = usable.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(total, 1), max_bytes / max(size, 1)))
 
     def each(rows, data, offsets):
         grams, of = features(data, offsets)
@@ -106,5 +109,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
         x = bias + (total[of[1:]] - total[of[:-1]]) / np.maximum(n, 1)
         return [*rows.columns, 1 / (1 + np.exp(-np.clip(x, -35, 35)))]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "score double"])
+    schema = StructType([*rest, StructField("score", DoubleType())])
     return map_slices(docs.select(*(F.col(f"`{f.name}`") for f in rest)), text_col, each, schema, [*(f.name for f in rest), "score"])
