@@ -110,14 +110,15 @@ def test_trained_encoder(spark):
     rng = np.random.default_rng(4)
     layers = [(rng.normal(size=(3, 5)), rng.normal(size=5)), (rng.normal(size=(5, 2)), rng.normal(size=2)), (rng.normal(size=(2, 5)), rng.normal(size=5)), (rng.normal(size=(5, 3)), rng.normal(size=3))]
     x = rng.normal(size=(7, 3))
-    flat, at = gradients(layers, x), 1
+    scale = np.array([1.0, 2.0, 0.5])
+    flat, at = gradients(layers, x, scale), 1
     for w, b in layers:  # against differences
         for part in (w, b):
             for i in range(0, part.size, 3):
                 old, ends = part.flat[i], []
                 for d in (1e-6, -1e-6):
                     part.flat[i] = old + d
-                    ends.append(gradients(layers, x)[0])
+                    ends.append(gradients(layers, x, scale)[0])
                 part.flat[i] = old
                 assert abs((ends[0] - ends[1]) / 2e-6 - flat[at + i]) < 1e-4
             at += part.size
@@ -125,15 +126,29 @@ def test_trained_encoder(spark):
     rows = [(i, *map(float, r)) for i, r in enumerate(np.concatenate([base, base @ rng.normal(size=(2, 2))], axis=1))]
     df = spark.createDataFrame(rows, "k long, a double, b double, c double, d double")
     cols = list("abcd")
-    first, losses = autoencoder(df.repartition(3), "k", cols, 2, epochs=12, rate=0.02)
-    again, same = autoencoder(df.repartition(8), "k", cols, 2, epochs=12, rate=0.02)
-    assert losses[-1] < 0.3 * losses[0] and np.allclose(losses, same)
-    assert all(np.allclose(w, v) and np.allclose(b, c) for (w, b), (v, c) in zip(first, again))
+    for share in (50_000, 100):  # one share, and four whose weights are averaged
+        first, losses = autoencoder(df.repartition(3), "k", cols, 2, epochs=12, batch=32, rounds=3, share=share)
+        again, same = autoencoder(df.repartition(8), "k", cols, 2, epochs=12, batch=32, rounds=3, share=share)
+        assert losses == same and all((w == v).all() and (b == c).all() for (w, b), (v, c) in zip(first, again))
+    assert autoencoder(df.limit(0), "k", cols, 2)[1] == []
     got = np.array([tuple(r)[5:] for r in encode(df, cols, first).orderBy("k").collect()])
     x = np.array([r[1:] for r in rows])
     assert np.allclose(got, np.maximum(x @ first[0][0] + first[0][1], 0) @ first[1][0] + first[1][1])
 
 
+@pytest.mark.parametrize(("share", "times"), [(50_000, 1.0), (400, 1.05)])
+def test_trained_encoder_is_no_worse_than_linear(spark, small, share, times):
+    from graincloak.functions.latent import autoencoder
+    from graincloak.queries import DIMS, encoded
+
+    rows = encoded(spark, small)
+    x = np.array(rows.select(*DIMS).toPandas())
+    linear = np.linalg.eigvalsh(np.cov(x.T, bias=True))[:-3].sum() / x.shape[1]
+    assert autoencoder(rows, "row_key", DIMS, 3, share=share)[1][-1] < times * linear
+    narrow = autoencoder(rows, "row_key", DIMS, 3, hidden=(4,), share=share)[1]  # no room for a linear start
+    assert narrow[-1] < narrow[0]
+
+
 def test_linkage_with_wide_groups(spark):
     """Groups of all widths against every row, by plain comparison."""
     from graincloak.config import People
