@@ -2,8 +2,10 @@
 
 Texts are cut into pieces at punctuation and line breaks, and pieces into words. Every word has a 64-bit hash; prefix sums of
 hash times power give the fingerprint of every n-gram of a piece at once. Tasks count fingerprints before the shuffle, which
-adds counts and keeps one occurrence (text, byte) of each. Longer n-grams are only counted where all shorter ones inside are
-frequent: a bit map of the frequent ones, of bounded size, says so, and lets some rare ones through but loses none.
+adds counts and keeps one occurrence (text, byte) of each; a row of it is three numbers. Pairs are only counted where both
+words are frequent and a sketch has ``least`` or more: counters by hash, which tasks send as gaps and small counts. Longer
+n-grams are only counted where all their pairs are. Bit maps of bounded size say so; they let some rare ones through and lose
+none.
 
 Fingerprints that reach ``least`` are read back from their occurrence, and only these. A second polynomial, modulo a prime,
 checks them: the text that an occurrence points to must give both numbers, and a fingerprint that was seen with two check
@@ -13,6 +15,7 @@ Defined results: null texts are empty, null languages are "und". Repeated rows c
 columns and ids are not looked at.
 """
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincloak.llm.textcols import BYTE, LOWER, U, map_slices, mix, prefix, saved, slices, span_hash
+from graincloak.llm.textcols import BYTE, LOWER, U, map_slices, mix, prefix, saved, slices, small, span_hash
 
 PRIME = U(2**31 - 1)
 BASES = (48271, 16807)  # of the check numbers of words and of phrases
@@ -28,8 +31,11 @@ STOPS = np.zeros(256, bool)
 STOPS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True  # fixed values: what ends a piece
 GAPS = STOPS.copy()
 GAPS[[0x20, 0x09]] = True
-HELD = 2_000_000  # fingerprints that a task holds
+WORD, GAP = re.compile(rb"[^ \t.,;:!?\n-\r]+"), re.compile(rb"[ \t]+")
+HELD = 1_500_000  # fingerprints that a task holds
+LOW = 2**32 - 1  # two numbers share a long: check and text, count and byte
 MAP_BITS = 28  # the largest bit map: 32 MB
+RANGE = 22  # log2 of the counters that are added up together
 POINTERS = 1_000_000  # that are broadcast; more meet the texts in a shuffle
 _tables: dict[int, np.ndarray] = {}
 
@@ -80,7 +86,7 @@ class Pieces:
         return mix(span_hash(self.sums, at, at + n) ^ self.marks[self.doc[at]]) & self.mask & ~U(15) | U(n)
 
     def checks(self, at: np.ndarray, n: int) -> np.ndarray:
-        return prime_spans(self.check, BASES[1], at, at + n).astype(np.int32)
+        return prime_spans(self.check, BASES[1], at, at + n).astype(np.int64)
 
     def texts(self, data: np.ndarray, at: np.ndarray, n: int) -> list[str]:
         lower = LOWER[data].astype(np.uint8).tobytes()
@@ -107,8 +113,68 @@ def bit_map(frequent: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def sketch(docs: DataFrame, n: int, inside: np.ndarray, inner: int, bits: int, least: int, size: int) -> np.ndarray:
+    """A bit for each of 2**``size`` counters: whether it has seen ``least`` of the n-grams whose ``inner``-grams are in the map
+    ``inside``. Tasks send the counters that they raised, in order, as gaps of two bytes and counts of one; counts add up in
+    ranges of counters, and only the bits come to the driver."""
+    held, sent, width, most = HELD, docs.sparkSession.sparkContext.broadcast(inside), min(size, RANGE), min(least, 255)
+
+    def send(places):
+        places, counts = np.unique(np.concatenate(places), return_counts=True)
+        counts = np.minimum(counts, most).astype(np.uint8)
+        for part in np.unique(places >> width):
+            some = slice(*np.searchsorted(places, [part << width, (part + 1) << width]))
+            gaps = np.diff(places[some] - (part << width), prepend=-1)
+            jumps = (gaps - 1) // 65535  # entries that only move on
+            at = np.cumsum(jumps + 1) - 1
+            steps, raised = np.full(at[-1] + 1, 65535, np.uint16), np.zeros(at[-1] + 1, np.uint8)
+            steps[at], raised[at] = gaps - jumps * 65535, counts[some]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part)]), pa.array([steps.tobytes()]), pa.array([raised.tobytes()])], ["part", "steps", "raised"])
+
+    def count(batches):
+        waiting, total = [], 0
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "text"):
+                pieces = Pieces(data, offsets, language_marks(rows), bits)
+                good, at = np.zeros(len(pieces.start), bool), pieces.grams(inner)
+                good[at] = in_map(sent.value, pieces.prints(at, inner))
+                at = pieces.grams(n)
+                for j in range(n - inner + 1):
+                    at = at[good[at + j]]
+                waiting.append((pieces.prints(at, n) >> U(4) & U((1 << size) - 1)).astype(np.int64))
+                total += len(at)
+                if total > 2 * held:
+                    yield from send(waiting)
+                    waiting, total = [], 0
+        if total:
+            yield from send(waiting)
+
+    def add(batches):
+        now, sums = None, np.zeros(1 << width, np.uint32)
+        for batch in batches:
+            for part, steps, raised in zip(*(batch.column(c).to_pylist() for c in ("part", "steps", "raised"))):
+                if part != now and now is not None:
+                    yield full(now, sums)
+                    sums[:] = 0
+                now, counts = part, np.frombuffer(raised, np.uint8)
+                at = np.cumsum(np.frombuffer(steps, np.uint16).astype(np.int64)) - 1
+                sums[at] = np.minimum(sums[at] + counts, most)  # places differ within a blob; those of jumps add nothing
+        if now is not None:
+            yield full(now, sums)
+
+    def full(part, sums):
+        bits = np.packbits(sums >= most, bitorder="little")
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([bits.tobytes()])], ["part", "bits"])
+
+    parts = docs.select("text", "mark").mapInArrow(count, "part long, steps binary, raised binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros((1 << size) // 8, np.uint8)
+    for row in parts.mapInArrow(add, "part long, bits binary").toLocalIterator():  # 2**MAP_BITS bits at most
+        out[(row.part << width) // 8 :][: (1 << width) // 8] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
 class Counter:
-    """Counts of fingerprints, as sorted arrays of about ``held`` at a time."""
+    """Counts of fingerprints, as sorted arrays of about ``held`` at a time: fingerprint, seen (check, key) and count."""
 
     def __init__(self, held: int):
         self.held, self.done, self.open, self.waiting = held, None, [], 0
@@ -123,90 +189,102 @@ class Counter:
 
     def merge(self):
         if self.open:
-            columns = [np.concatenate(c) for c in zip(*self.open, *([] if self.done is None else [self.done]))]
-            order = np.argsort(columns[0], kind="stable")
-            columns = [c[order] for c in columns]
-            same = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
-            new = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, int)
-            columns[2] = np.add.reduceat(columns[2], new) if len(new) else columns[2]
-            self.done, self.open, self.waiting = [c if i == 2 else c[new] for i, c in enumerate(columns)], [], 0
+            prints, seen, count = (np.concatenate(c) for c in zip(*self.open, *([] if self.done is None else [self.done])))
+            order = np.argsort(prints, kind="stable")
+            prints, seen, count = prints[order], seen[order], count[order]
+            check = seen >> 32
+            new = np.flatnonzero(np.append(True, (prints[1:] != prints[:-1]) | (check[1:] != check[:-1]))) if len(order) else order
+            at = (count & LOW)[new]
+            count = np.add.reduceat(count >> 32, new) if len(new) else count
+            self.done, self.open, self.waiting = [prints[new], seen[new], count << 32 | at], [], 0
 
     def batch(self):
         self.merge()
-        prints, checks, counts, keys, at = self.done
+        prints, seen, count = self.done
         self.done = None
-        arrays = [pa.array(prints.view(np.int64)), pa.array(checks), pa.array(counts), pa.array(keys), pa.array(at), pa.nulls(len(prints), pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, ["print", "check", "count", "key", "at", "lang"])
-
-
-COUNTED = "print long, check int, count long, key long, at int, lang string"
+        return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(seen), pa.array(count)], ["print", "seen", "count"])
 
 
 def count_prints(docs: DataFrame, sizes: tuple[int, ...], inside: np.ndarray | None, inner: int, bits: int) -> DataFrame:
-    """Counts of the n-grams of these sizes whose ``inner``-grams are all in the map ``inside``, one row for each fingerprint
-    of a task at least; for single words, also a row with the number of words of each language."""
+    """(print, f, seen, other, at): counts of the n-grams of these sizes whose ``inner``-grams are all in the map ``inside``,
+    with the least and greatest number of check and text that was seen, and the byte of the former. Size 0 stands for all
+    words of a language."""
     held, sent = HELD, docs.sparkSession.sparkContext.broadcast(inside)  # at most 2**MAP_BITS bits
 
     def run(batches):
-        counter, words = Counter(held), {}
+        counter = Counter(held)
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 pieces = Pieces(data, offsets, language_marks(rows), bits)
-                keys, begin = rows.column("key").to_numpy(), offsets[pieces.doc]
-                if 1 in sizes:
-                    for lang, n in zip(rows.column("lang").to_pylist(), np.bincount(pieces.doc, minlength=len(rows)).tolist()):
-                        words[lang] = words.get(lang, 0) + n
+                keys, begin, one = rows.column("key").to_numpy(), offsets[pieces.doc], np.int64(1 << 32)
+                if 0 in sizes:
+                    yield from counter.add([pieces.marks & ~U(15), keys, np.bincount(pieces.doc, minlength=len(rows)) << 32])
                 good = np.ones(len(pieces.start), bool)
                 if sent.value is not None:
                     good[:] = False
                     at = pieces.grams(inner)
                     good[at] = in_map(sent.value, pieces.prints(at, inner))
-                for n in sizes:
+                for n in (n for n in sizes if n):
                     at = pieces.grams(n)
                     for j in range(n - inner + 1 if sent.value is not None else 0):
                         at = at[good[at + j]]
-                    doc = pieces.doc[at]
-                    yield from counter.add([pieces.prints(at, n), pieces.checks(at, n), np.ones(len(at), np.int64), keys[doc], (pieces.start[at] - begin[at]).astype(np.int32)])
+                    yield from counter.add([pieces.prints(at, n), pieces.checks(at, n) << 32 | keys[pieces.doc[at]], one | (pieces.start[at] - begin[at])])
         if counter.open or counter.done is not None:
             yield counter.batch()
-        if words:
-            none = [pa.nulls(len(words), t) for t in (pa.int64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(list(words.values())), pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int32()), pa.array(list(words))], ["print", "check", "count", "key", "at", "lang"])
         pa.default_memory_pool().release_unused()
 
-    parts = docs.select("text", "lang", "mark", "key").mapInArrow(run, COUNTED)
-    sums = (F.sum("count").alias("f"), F.min("check").alias("check"), F.max("check").alias("other"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"))
-    return parts.groupBy("print", "lang").agg(*sums)
+    parts = docs.select("text", "mark", "key").mapInArrow(run, "print long, seen long, count long").repartition("print")
+    sums = (F.sum(F.expr("shiftright(count, 32)")).alias("f"), F.min("seen").alias("seen"), F.max("seen").alias("other"), F.min_by(F.expr(f"count & {LOW}"), "seen").alias("at"))
+    return parts.groupBy("print").agg(*sums)
+
+
+def phrase_at(raw: bytes, at: int, n: int) -> bytes | None:
+    """The ``n`` words from byte ``at`` on, joined by a space, if a piece has them there."""
+    words = []
+    while True:
+        word = WORD.match(raw, at)
+        if not word:
+            return None
+        words.append(word[0])
+        if len(words) == n:
+            return b" ".join(words).lower()
+        gap = GAP.match(raw, word.end())
+        if not gap:
+            return None
+        at = gap.end()
 
 
 def read_back(docs: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
     """(lang, phrase, f) for the frequent fingerprints: phrases from the texts that their occurrences point to, if the text
     gives the fingerprint and its check. Rows of equal texts give a phrase once."""
-    frequent = saved(frequent)
-    wanted = saved(frequent.groupBy("key").agg(F.collect_list(F.struct("print", "check", "at", F.expr("CAST(print & 15 AS INT)").alias("n_words"), "f")).alias("wanted")))
+    pointers = F.collect_list(F.struct("print", F.expr("shiftright(seen, 32)").alias("check"), "at", "f"))
+    wanted = saved(frequent.groupBy(F.expr(f"seen & {LOW}").alias("key")).agg(pointers.alias("wanted")))
     pointed = docs.join(F.broadcast(wanted) if frequent.count() <= POINTERS else wanted, "key")
 
     def run(batches):
-        seen, texts = set(), set()
+        found, texts = set(), set()
         for batch in batches:
-            for row in batch.select(["key", "wanted", "lang", "mark", "text"]).to_pylist():
-                if (row["key"], hash(row["text"])) in texts:
-                    continue
-                texts.add((row["key"], hash(row["text"])))
-                raw = row["text"].encode()
-                data = np.frombuffer(raw, np.uint8)
-                pieces = Pieces(data, np.array([0, len(data)]), np.array([row["mark"]]).view(U), bits)
-                out = []
-                for w in row["wanted"]:
-                    i = int(np.searchsorted(pieces.start, w["at"]))
-                    if w["print"] in seen or i >= len(pieces.start) or pieces.left[i] < w["n_words"]:
-                        continue
-                    at = np.array([i])
-                    if pieces.prints(at, w["n_words"]).view(np.int64)[0] == w["print"] and pieces.checks(at, w["n_words"])[0] == w["check"]:
-                        seen.add(w["print"])
-                        out.append((w["print"], row["lang"], b" ".join(raw[a:b] for a, b in zip(pieces.start[i : i + w["n_words"]], pieces.end[i : i + w["n_words"]])).lower().decode(), w["f"]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["print", "lang", "phrase", "f"])
+            out = []
+            for key, wanted, lang, mark, text in zip(*(batch.column(c).to_pylist() for c in ("key", "wanted", "lang", "mark", "text"))):
+                if (key, hash(text)) not in texts:
+                    texts.add((key, hash(text)))
+                    raw = text.encode()
+                    tried = ((w, phrase_at(raw, w["at"], w["print"] & 15)) for w in wanted if w["print"] not in found)
+                    out += [(w, phrase, lang, mark) for w, phrase in tried if phrase]
+            if not out:
+                continue
+            data = np.frombuffer(b"".join(x[1] for x in out), np.uint8)
+            offsets = np.append(0, np.cumsum([len(x[1]) for x in out]))
+            pieces = Pieces(data, offsets, np.array([x[3] for x in out]).view(U), bits)
+            first, sizes = np.searchsorted(pieces.start, offsets[:-1]), np.array([x[0]["print"] & 15 for x in out])
+            good = np.zeros(len(out), bool)
+            for n in np.unique(sizes):
+                some = np.flatnonzero(sizes == n)
+                prints, checks = pieces.prints(first[some], n).view(np.int64), pieces.checks(first[some], n)
+                good[some] = (prints == [out[i][0]["print"] for i in some]) & (checks == [out[i][0]["check"] for i in some])
+            out = [x for x, ok in zip(out, good) if ok]
+            found |= {x[0]["print"] for x in out}
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([x[0]["print"] for x in out], [x[2] for x in out], [x[1].decode() for x in out], [x[0]["f"] for x in out])], ["print", "lang", "phrase", "f"])
 
     return pointed.mapInArrow(run, "print long, lang string, phrase string, f long").dropDuplicates(["print"]).select("lang", "phrase", "f")
 
@@ -217,7 +295,7 @@ def recount(docs: DataFrame, collided: DataFrame, sizes: tuple[int, ...], least:
 
     def each(rows, data, offsets):
         pieces, out, langs = Pieces(data, offsets, language_marks(rows), bits), {}, rows.column("lang").to_pylist()
-        for n in sizes:
+        for n in (n for n in sizes if n):
             at = pieces.grams(n)
             prints = pieces.prints(at, n)
             hit = in_map(sent.value, prints)
@@ -234,18 +312,23 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", most: i
     """(lang, phrase, f) for the phrases of up to ``most`` words that occur ``least`` times, and (lang, n): all words.
     ``bits``: how much of a fingerprint is used."""
     docs = df.select(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang, F.lit("und")).alias("lang"))
-    docs = docs.withColumns({"mark": F.xxhash64("lang"), "key": F.xxhash64("lang", "text")})
-    steps, inside, inner, all_found, words = [(1,), (2,), tuple(range(3, most + 1))], None, 0, [], None
-    for sizes in (s for s in steps if s and s[0] <= most):
-        counted = saved(count_prints(docs, sizes, inside, inner, bits).filter((F.col("f") >= least) | F.col("print").isNull()))
-        if words is None:
-            words = counted.filter("print IS NULL").select("lang", F.col("f").alias("n"))
-        frequent = counted.filter("print IS NOT NULL")
-        all_found.append(read_back(docs, frequent.filter("check = other"), bits))
-        collided = saved(frequent.filter("check <> other").select("print"))
+    docs = docs.withColumns({"mark": F.xxhash64("lang"), "key": F.xxhash64("lang", "text").bitwiseAND(LOW)})
+    all_frequent, all_found, inside = [], [], None
+    for sizes, inner in (((0, 1), 0), (tuple(range(2, most + 1)), 2)):
+        if not sizes:
+            break
+        counted = saved(count_prints(docs, sizes, inside, inner, bits).filter((F.col("f") >= least) | (F.expr("print & 15") == 0)))
+        frequent, alike = counted.filter("print & 15 > 0"), F.expr("shiftright(seen, 32) = shiftright(other, 32)")
+        all_frequent.append(frequent.filter(alike))
+        collided = saved(frequent.filter(~alike).select("print"))
         if not collided.isEmpty():
             all_found.append(recount(docs, collided, sizes, least, bits))
-        inside, inner = bit_map(frequent), sizes[0]
+        if 0 in sizes:
+            names = docs.select("lang", F.expr("mark & ~15L").alias("print")).distinct()
+            words = saved(counted.filter("print & 15 = 0").join(names, "print").select("lang", F.col("f").alias("n")))
+            total = words.agg(F.sum("n")).first()[0] or 0
+            inside = sketch(docs, 2, bit_map(frequent), 1, bits, least, min(MAP_BITS, max(10, (2 * total).bit_length())))
+    all_found.append(read_back(docs, saved(reduce(DataFrame.unionByName, all_frequent)), bits))
     return saved(reduce(DataFrame.unionByName, all_found)), words
 
 
@@ -270,4 +353,4 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", most: in
     kept = best.join(inner, ["lang", "phrase"], "left").filter(F.col("outer_f").isNull() | (wide("outer_f") * 100 < wide("a") * covered))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = kept.withColumn("rank", rank).filter(F.col("rank") <= top)
-    return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(small(words), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
