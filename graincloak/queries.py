@@ -8,9 +8,9 @@ from graincloak.jobs import Job, anonymize, linkage_risk, sweep
 from graincloak.operators.cluster import cluster_groups
 from graincloak.operators.metrics import attacks, linkage, linkage_rates, ncp, over_seeds, utility
 from graincloak.operators.microagg import microaggregate
-from graincloak.operators.mondrian import mondrian
+from graincloak.operators.mondrian import kept, mondrian
 from graincloak.operators.release import audit, range_text, record_level, release, set_text, skew
-from graincloak.operators.remainder import centroids, nearest
+from graincloak.operators.remainder import centroids, nearest, place_with_seats
 from graincloak.sources.tables import ORDERS as WHO
 from graincloak.sources.tables import complete, people, read_table
 
@@ -101,12 +101,12 @@ def linkage_rates_query(spark, sf_dir):
 
 def attack_query(spark, sf_dir):
     """The linkage attack for each fraction and seed."""
-    got = attacks(linkage_query(spark, sf_dir), WHO.key)
+    got = attacks(kept(linkage_query(spark, sf_dir)), WHO.key)
     return got.select("frac", "seed", "n_external", F.round("umr", 8).alias("umr"), F.round("err", 8).alias("err"))
 
 
 def attack_summary_query(spark, sf_dir):
-    got = over_seeds(attacks(linkage_query(spark, sf_dir), WHO.key))
+    got = over_seeds(attacks(kept(linkage_query(spark, sf_dir)), WHO.key))
     return got.select("frac", *(F.round(c, 8).alias(c) for c in got.columns if c != "frac"))
 
 
@@ -152,6 +152,15 @@ def nearest_query(spark, sf_dir):
     return nearest(df, centroids(df, groups, "row_key", dims), "row_key", dims)
 
 
+def seats_query(spark, sf_dir):
+    """The remainder of a median split, row by row in the nearest group that has fewer than 2 k rows; null without a seat."""
+    rows = encoded(spark, sf_dir).persist()
+    groups = mondrian(rows, WHO.key, DIMS, WHO.k, "median", WHO.sensitive, WHO.e, least_variance=0.05).persist()
+    rest = rows.join(groups.filter("group_id IS NULL").select(WHO.key), WHO.key, "left_semi")
+    placed = place_with_seats(rest, centroids(rows, groups, WHO.key, DIMS), WHO.key, DIMS, 2 * WHO.k)[0]
+    return rest.select(WHO.key).join(placed, WHO.key, "left")
+
+
 def latent_query(spark, sf_dir, e=WHO.e):
     return microaggregate(encoded(spark, sf_dir), WHO.key, DIMS, WHO.sensitive, WHO.k, e)
 
@@ -256,7 +265,7 @@ def queries():
         "encode_identity": encode_query, "encode_onehot": onehot_query, "node_stats": node_stats_query, "mondrian_rank": mondrian_query,
         "release_groups": release_query, "release_text": release_text_query, "sa_histogram": histogram_query, "release_ncp": ncp_query,
         "release_utility": utility_query, "release_audit": audit_query, "release_records": record_query, "linkage_matches": linkage_query,
-        "linkage_rates": linkage_rates_query, "nearest_group": nearest_query, "visit_skew": visits_query,
+        "linkage_rates": linkage_rates_query, "nearest_group": nearest_query, "remainder_seats": seats_query, "visit_skew": visits_query,
         "mondrian_median": median_query, "mondrian_total": total_query, "microagg_latent": latent_query, "microagg_strict": strict_query,
         "encode_covariance": covariance_query, "encode_linear": linear_query, "encode_trained": trained_query, "microagg_encoder": encoder_query,
         "linkage_attack": attack_query, "linkage_attack_summary": attack_summary_query, "cluster_drop": cluster_drop_query, "cluster_parts": cluster_query, "method_comparison": comparison_query, "encoding_sweep": sweep_query, "permutation_sensitivity": sensitivity_query,

@@ -3,7 +3,8 @@ import pytest
 
 from graincloak.operators.metrics import parse_range, parse_set
 from graincloak.operators.mondrian import median_leaves, mondrian, rank_leaves, total_leaves
-from graincloak.operators.remainder import nearest, place_with_seats
+from graincloak.operators import boxes, remainder
+from graincloak.operators.remainder import near, nearest, place_with_seats
 from pyspark.sql import functions as F
 
 
@@ -63,11 +64,14 @@ def test_seats(spark):
     assert {r.row_key for r in left.collect()} == set(range(9)) - want.keys()
 
 
-@pytest.mark.parametrize("seats", [2, 1])
-def test_seats_of_a_dense_region(spark, seats):
+@pytest.mark.parametrize(("seats", "task"), [(2, 200_000), (1, 90)])
+def test_seats_of_a_dense_region(spark, seats, task, monkeypatch):
+    """Tight seats and short lists, settled in one task or, where that holds too few rows, by rounds."""
+    monkeypatch.setattr(remainder, "TASK", task)
+    monkeypatch.setattr(remainder, "PAIRS", 500)
     groups = [(g, 0, g * 0.01, float(g % 3)) for g in range(70)]
     points = [(k, k * 37 % 11 * 0.001, 0.0) for k in range(145 if seats == 2 else 68)]  # nearly all want the same groups
-    held, left = place_with_seats(spark.createDataFrame(points, "row_key long, a double, b double").repartition(3), spark.createDataFrame(groups, "group_id long, size long, c_a double, c_b double").repartition(4), "row_key", ["a", "b"], seats, batch=60, near=16)
+    held, left = place_with_seats(spark.createDataFrame(points, "row_key long, a double, b double").repartition(3), spark.createDataFrame(groups, "group_id long, size long, c_a double, c_b double").repartition(4), "row_key", ["a", "b"], seats, m=16)
     free, want = dict.fromkeys(range(70), seats), {}
     for k, a, b in points:
         best = min(((round(((a - x) ** 2 + (b - y) ** 2) ** 0.5, 9), g) for g, _, x, y in groups if free[g]), default=None)
@@ -78,11 +82,18 @@ def test_seats_of_a_dense_region(spark, seats):
     assert {r.row_key for r in left.collect()} == {k for k, *_ in points} - want.keys()
 
 
-def test_nearest_in_blocks_of_centres(spark):
-    rows = spark.range(50).select(F.col("id").alias("row_key"), (F.col("id") * 0.37 % 5).alias("a"))
-    centres = spark.range(40).select(F.col("id").alias("group_id"), (F.col("id") % 20 * 0.25).alias("c_a"))
-    one, two = ({r.row_key: r.group_id for r in nearest(rows, centres, "row_key", ["a"], block).collect()} for block in (100, 7))
-    assert one == two == {r.row_key: min((round(abs(r.a - g % 20 * 0.25), 9), g) for g in range(40))[1] for r in rows.collect()}
+def test_nearest_in_blocks_of_centres(spark, monkeypatch):
+    """Many blocks, cut by a hash where many rows visit one, give what all pairs give; unknown numbers have no nearest."""
+    monkeypatch.setattr(boxes, "LEAST", 20)
+    monkeypatch.setattr(boxes, "SHARE", 30)
+    rows = spark.range(150).select(F.col("id").alias("row_key"), (F.col("id") * 0.37 % 5).alias("a"), F.when(F.col("id") != 7, F.col("id") % 3 * 0.5).alias("b"))
+    centres = spark.range(400).select(F.col("id").cast("string").alias("group_id"), F.when(F.col("id") != 3, F.col("id") % 20 * 0.25).alias("c_a"), (F.col("id") % 7 * 0.25).alias("c_b"))
+    got = {r.row_key: [(x.d, x.group_id) for x in r.near] for r in near(rows, centres, "row_key", ["a", "b"], 3).collect()}
+    known = [(str(g), g % 20 * 0.25, g % 7 * 0.25) for g in range(400) if g != 3]
+    assert got == {r.row_key: sorted((round(((r.a - x) ** 2 + (r.b - y) ** 2) ** 0.5, 9), g) for g, x, y in known)[:3] for r in rows.collect() if r.b is not None}
+    one = {r.row_key: r.group_id for r in nearest(rows, centres, "row_key", ["a", "b"]).collect()}
+    assert one == {i: got[i][0][1] if i != 7 else None for i in range(150)}
+    assert near(rows, centres.limit(0), "row_key", ["a", "b"]).count() == 0
 
 
 def test_parsers(spark):
@@ -149,8 +160,11 @@ def test_trained_encoder_is_no_worse_than_linear(spark, small, share, times):
     assert narrow[-1] < narrow[0]
 
 
-def test_linkage_with_wide_groups(spark):
-    """Groups of all widths against every row, by plain comparison."""
+@pytest.mark.parametrize("least", [2048, 40])
+def test_linkage_with_wide_groups(spark, least, monkeypatch):
+    """Groups of all widths against every row, by plain comparison, in one block and in many; unknown values meet nothing."""
+    monkeypatch.setattr(boxes, "LEAST", least)
+    monkeypatch.setattr(boxes, "SHARE", least)
     from graincloak.config import People
     from graincloak.operators.metrics import linkage, with_size
 
@@ -162,10 +176,14 @@ def test_linkage_with_wide_groups(spark):
         groups.append((int(rng.integers(1, 9)), *(float(v) for p in zip(lo, lo + width) for v in p), sorted({f"v{j}" for j in rng.integers(0, 40, int(rng.choice([1, 2, 30])))})))
     rows = [(i, float(rng.uniform(-5, 150)), float(rng.uniform(0, 120)), f"v{rng.integers(0, 42)}", "x") for i in range(400)]
     released = spark.createDataFrame(groups, "group_size long, a_lo double, a_hi double, b_lo double, b_hi double, c_set array<string>")
+    rows += [(400, None, 50.0, "v1", "x"), (401, 50.0, 50.0, None, "x"), (402, 50.0, 50.0, "", "x")]
     external = spark.createDataFrame(rows, "k long, a double, b double, c string, s string")
-    want = {}
+    want, plain = {}, {}
     for k, a, b, c, _ in rows:
-        hit = [g[0] for g in groups if g[1] <= a <= g[2] and g[3] <= b <= g[4] and c in g[5]]
-        want[k] = (len(hit), sum(hit))
+        near = [g for g in groups if a is not None and g[1] <= a <= g[2] and g[3] <= b <= g[4]]
+        plain[k] = len(near)
+        want[k] = (len(hit := [g[0] for g in near if c in g[5]]), sum(hit))
+    assert {r.k: r.n_match for r in linkage(released, external, People("k", ("a", "b"), (), "s")).collect()} == plain
+    assert linkage(released.limit(0), external, who, tested=True).agg(F.sum("n_match") + F.sum("n_tested")).first()[0] == 0
     assert {r.k: (r.n_match, r.rows_match) for r in linkage(released, external, who).collect()} == want and any(n for n, _ in want.values())
     assert {r.group_size for r in with_size(released.drop("group_size")).collect()} == {8}
