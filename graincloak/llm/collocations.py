@@ -4,7 +4,7 @@ Texts are cut into pieces at punctuation and line breaks, and pieces into words.
 hash times power give the fingerprint of every n-gram of a piece at once. Tasks count fingerprints before the shuffle, which
 adds counts and keeps one occurrence (text, byte) of each; a row of it is three numbers. Pairs are only counted where both
 words are frequent and a sketch has ``least`` or more: counters by hash, which tasks send as gaps and small counts. Longer
-n-grams are only counted where all their pairs are. Bit maps of bounded size say so; they let some rare ones through and lose
+n-grams are only counted where all their pairs are, and by a sketch of their own. Bit maps of bounded size say so; they let some rare ones through and lose
 none.
 
 Fingerprints that reach ``least`` are read back from their occurrence, and only these. A second polynomial, modulo a prime,
@@ -113,7 +113,7 @@ def bit_map(frequent: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def sketch(docs: DataFrame, n: int, inside: np.ndarray, inner: int, bits: int, least: int, size: int) -> np.ndarray:
+def sketch(docs: DataFrame, sizes: tuple[int, ...], inside: np.ndarray, inner: int, bits: int, least: int, size: int) -> np.ndarray:
     """A bit for each of 2**``size`` counters: whether it has seen ``least`` of the n-grams whose ``inner``-grams are in the map
     ``inside``. Tasks send the counters that they raised, in order, as gaps of two bytes and counts of one; counts add up in
     ranges of counters, and only the bits come to the driver."""
@@ -138,11 +138,12 @@ def sketch(docs: DataFrame, n: int, inside: np.ndarray, inner: int, bits: int, l
                 pieces = Pieces(data, offsets, language_marks(rows), bits)
                 good, at = np.zeros(len(pieces.start), bool), pieces.grams(inner)
                 good[at] = in_map(sent.value, pieces.prints(at, inner))
-                at = pieces.grams(n)
-                for j in range(n - inner + 1):
-                    at = at[good[at + j]]
-                waiting.append((pieces.prints(at, n) >> U(4) & U((1 << size) - 1)).astype(np.int64))
-                total += len(at)
+                for n in sizes:
+                    at = pieces.grams(n)
+                    for j in range(n - inner + 1):
+                        at = at[good[at + j]]
+                    waiting.append((pieces.prints(at, n) >> U(4) & U((1 << size) - 1)).astype(np.int64))
+                    total += len(at)
                 if total > 2 * held:
                     yield from send(waiting)
                     waiting, total = [], 0
@@ -205,11 +206,12 @@ class Counter:
         return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(seen), pa.array(count)], ["print", "seen", "count"])
 
 
-def count_prints(docs: DataFrame, sizes: tuple[int, ...], inside: np.ndarray | None, inner: int, bits: int) -> DataFrame:
-    """(print, f, seen, other, at): counts of the n-grams of these sizes whose ``inner``-grams are all in the map ``inside``,
+def count_prints(docs: DataFrame, sizes: tuple[int, ...], inside: np.ndarray | None, whole: np.ndarray | None, inner: int, bits: int) -> DataFrame:
+    """(print, f, seen, other, at): counts of the n-grams of these sizes whose ``inner``-grams are all in the map ``inside``
+    and that are, if longer, in the map ``whole`` themselves,
     with the least and greatest number of check and text that was seen, and the byte of the former. Size 0 stands for all
     words of a language."""
-    held, sent = HELD, docs.sparkSession.sparkContext.broadcast(inside)  # at most 2**MAP_BITS bits
+    held, sent = HELD, docs.sparkSession.sparkContext.broadcast((inside, whole))  # at most 2**MAP_BITS bits each
 
     def run(batches):
         counter = Counter(held)
@@ -220,14 +222,17 @@ def count_prints(docs: DataFrame, sizes: tuple[int, ...], inside: np.ndarray | N
                 if 0 in sizes:
                     yield from counter.add([pieces.marks & ~U(15), keys, np.bincount(pieces.doc, minlength=len(rows)) << 32])
                 good = np.ones(len(pieces.start), bool)
-                if sent.value is not None:
+                parts, wholes = sent.value
+                if parts is not None:
                     good[:] = False
                     at = pieces.grams(inner)
-                    good[at] = in_map(sent.value, pieces.prints(at, inner))
+                    good[at] = in_map(parts, pieces.prints(at, inner))
                 for n in (n for n in sizes if n):
                     at = pieces.grams(n)
-                    for j in range(n - inner + 1 if sent.value is not None else 0):
+                    for j in range(n - inner + 1 if parts is not None else 0):
                         at = at[good[at + j]]
+                    if parts is not None and n > inner:
+                        at = at[in_map(wholes, pieces.prints(at, n))]
                     yield from counter.add([pieces.prints(at, n), pieces.checks(at, n) << 32 | keys[pieces.doc[at]], one | (pieces.start[at] - begin[at])])
         if counter.open or counter.done is not None:
             yield counter.batch()
@@ -313,11 +318,11 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", most: i
     ``bits``: how much of a fingerprint is used."""
     docs = df.select(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang, F.lit("und")).alias("lang"))
     docs = docs.withColumns({"mark": F.xxhash64("lang"), "key": F.xxhash64("lang", "text").bitwiseAND(LOW)})
-    all_frequent, all_found, inside = [], [], None
+    all_frequent, all_found, inside, whole = [], [], None, None
     for sizes, inner in (((0, 1), 0), (tuple(range(2, most + 1)), 2)):
         if not sizes:
             break
-        counted = saved(count_prints(docs, sizes, inside, inner, bits).filter((F.col("f") >= least) | (F.expr("print & 15") == 0)))
+        counted = saved(count_prints(docs, sizes, inside, whole, inner, bits).filter((F.col("f") >= least) | (F.expr("print & 15") == 0)))
         frequent, alike = counted.filter("print & 15 > 0"), F.expr("shiftright(seen, 32) = shiftright(other, 32)")
         all_frequent.append(frequent.filter(alike))
         collided = saved(frequent.filter(~alike).select("print"))
@@ -327,7 +332,9 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", most: i
             names = docs.select("lang", F.expr("mark & ~15L").alias("print")).distinct()
             words = saved(counted.filter("print & 15 = 0").join(names, "print").select("lang", F.col("f").alias("n")))
             total = words.agg(F.sum("n")).first()[0] or 0
-            inside = sketch(docs, 2, bit_map(frequent), 1, bits, least, min(MAP_BITS, max(10, (2 * total).bit_length())))
+            size = min(MAP_BITS, max(10, (2 * total).bit_length()))
+            inside = sketch(docs, (2,), bit_map(frequent), 1, bits, least, size)
+            whole = sketch(docs, tuple(range(3, most + 1)), inside, 2, bits, least, size)
     all_found.append(read_back(docs, saved(reduce(DataFrame.unionByName, all_frequent)), bits))
     return saved(reduce(DataFrame.unionByName, all_found)), words
 
