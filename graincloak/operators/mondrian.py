@@ -1,11 +1,15 @@
 """Mondrian partitioning, level by level.
 
-While some node has more than ``local_rows`` rows, a level is one aggregation (per-node counts and variances, partially
-aggregated) and a broadcast-sized join of node cuts. A cut is exact: approximate quantiles only bracket it, the rows below
-the bracket are counted and those inside it are sorted by (value, key) over range partitions, so no task sorts a whole node,
-tied or not. As soon as every open node is small, one shuffle by node brings each to one task, where numpy finishes the
-recursion by the same rules; ``local_rows`` does not change the result. Keys are unique, so every rank cut halves its node;
-a large node that median or total may not split (a side empty or under ``k``, as tied values leave it) is closed there.
+While some node has more than ``local_rows`` rows, a level is two passes over the rows: an aggregation that gives every node
+its size, variances and a bracket of approximate quantiles around its middle, and one that counts the rows below the bracket
+and groups those inside it. The exact cut is then found among the latter, sorted over range partitions, so no task sorts a
+whole node, tied or not. Nodes, cuts and closed nodes stay in tables; the driver holds none of them. The rows are written
+every third level. As soon as every open node is small, one shuffle by node brings each to one task, where numpy finishes the
+recursion by the same rules; ``local_rows`` does not change the result. A large node that median or total may not split (a
+side empty or under ``k``, as tied values leave it) is closed.
+
+Rows with a null, NaN or infinite dimension take no part and get a null group, in nodes of any size. Null or repeated keys
+raise ValueError, so every rank cut halves its node.
 
 Rules:
 * rank: split ``m > 2k`` rows in two halves by (value, key) on the dimension of the largest variance; all rows get a group.
@@ -15,6 +19,8 @@ Rules:
   may be small; small leaves are kept or dropped by ``small``.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,6 +28,8 @@ from pyspark.sql import functions as F
 
 
 DEPTH = 20
+SMALL = 100_000  # rows of a table of nodes that is broadcast
+NODE = ["root", "node"]
 
 
 def widest(variances: np.ndarray) -> int:
@@ -83,103 +91,132 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ranked(keep: DataFrame, xs: list[str], asked: dict[int, tuple]) -> dict[int, list[tuple]]:
-    """The (value, key) pairs that stand at the given places (from 1) among a node's rows in order of (value, key), for
-    ``asked``: node to (dimension, number of rows, places near the middle)."""
-    spark = keep.sparkSession
-    dims = spark.createDataFrame([(n, dim) for n, (dim, *_) in asked.items()], "node long, dim int")
-    rows = keep.join(F.broadcast(dims), "node").select("node", F.element_at(F.array(*xs), F.col("dim") + 1).alias("x"), "key")
-    guess = {r.node: r.q for r in rows.groupBy("node").agg(F.percentile_approx("x", [0.495, 0.505], 1000).alias("q")).collect()}
-    while True:
-        near = spark.createDataFrame([(n, *q) for n, q in guess.items()], "node long, lo double, hi double")
-        sided = rows.join(F.broadcast(near), "node")
-        counts = {r.node: (r.below, r.inside) for r in sided.groupBy("node").agg(F.count_if(F.col("x") < F.col("lo")).alias("below"), F.count_if(F.col("x").between(F.col("lo"), F.col("hi"))).alias("inside")).collect()}
-        missed = [n for n, (_, _, places) in asked.items() if not counts[n][0] < min(places) <= max(places) <= sum(counts[n])]
-        if not missed:
-            break
-        guess |= dict.fromkeys(missed, (float("-inf"), float("inf")))
-    inside = sided.filter("x BETWEEN lo AND hi").select("node", "x", "key").repartitionByRange("node", "x", "key")
-    inside = kept(inside.withColumn("part", F.spark_partition_id()))
-    sizes, wanted = {}, []
-    for r in inside.groupBy("node", "part").count().collect():
-        sizes.setdefault(r.node, []).append((r.part, r["count"]))
-    for n, (_, _, places) in asked.items():
-        for i, place in enumerate(places):
-            at = place - counts[n][0]
-            for part, size in sorted(sizes[n]):
-                if at <= size:
-                    wanted.append((n, part, at, i))
-                    break
-                at -= size
-    wanted = F.broadcast(spark.createDataFrame(wanted, "node long, part int, at int, i int"))
-    few = inside.join(wanted.select("node", "part").distinct(), ["node", "part"])  # one range of a bracket for each node
-    few = few.withColumn("at", F.row_number().over(Window.partitionBy("node", "part").orderBy("x", "key")))
-    out = {}
-    for r in few.join(wanted, ["node", "part", "at"]).orderBy("node", "i").collect():
-        out.setdefault(r.node, []).append((r.x, r.key))
-    inside.unpersist()
-    return out
-
-
-def mondrian(df: DataFrame, key: str, dims: list[str], k: int, rule: str = "rank", sensitive: str | None = None, e: int = 1, least_variance: float = 0.0, small: str = "keep", seed: int = 42, local_rows: int = 50_000) -> DataFrame:
-    """(key, group_id) for every row: a leaf's number in the tree (children 2n and 2n + 1), null for remainder rows."""
+def sized(table: DataFrame) -> DataFrame:
+    """``table`` (written before), to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
+def by_runs(rows: DataFrame, by: list[str], rule: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``rule`` on the rows of each value of ``by``, in order of ``key``. One Python call goes through all the runs of a
+    partition and holds no more than a batch and a run."""
+
+    def each(frames):
+        held = None
+        for pdf in frames:
+            if len(pdf):
+                pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                new = np.zeros(len(pdf) - 1, bool)
+                for c in by:
+                    new |= pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1]
+                ends = np.flatnonzero(new) + 1
+                held = pdf.iloc[ends[-1] if len(ends) else 0 :]
+                if len(ends):
+                    yield pd.concat([rule(pdf.iloc[a:b]) for a, b in zip([0, *ends], ends)], ignore_index=True)
+        if held is not None:
+            yield rule(held)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "key").mapInPandas(each, schema)
+
+
+def decide(keep: DataFrame, xs: list[str], rule: str, limit: int, least_variance: float, seed: int) -> DataFrame:
+    """Each open node of more than ``limit`` rows: its size ``m``, the dimension to cut, numbers ``lo`` and ``hi`` on both
+    sides of its middle, and whether it is to be closed instead. One pass over the rows."""
+    var = F.var_samp if rule == "total" else F.var_pop
+    numbers = [f(x).alias(f"{n}{i}") for i, x in enumerate(xs) for n, f in (("v", var), ("q", lambda x: F.percentile_approx(x, [0.495, 0.505], 1000)))]
+    stats = keep.filter("NOT closed").groupBy(*NODE).agg(F.count("*").alias("m"), *numbers).filter(F.col("m") > limit)
+    v = F.array(*(f"v{i}" for i in range(len(xs))))
+    plain = F.transform(v, lambda x: F.round(x, 9))
+    dim, shut = (F.array_position(plain, F.array_max(plain)) - 1).cast("int"), F.lit(False)
+    if rule == "median":
+        shut = ~(F.array_max(v) > least_variance)
+    elif rule == "total":
+        picked = F.pmod(F.col("node") * 2654435761 + seed, F.lit(len(xs))).cast("int")
+        dim = F.when(F.aggregate(v, F.lit(0.0), lambda a, b: a + b) > least_variance, dim).otherwise(picked)
+        shut = F.col("node") >= 2**DEPTH
+    bracket = F.element_at(F.array(*(f"q{i}" for i in range(len(xs)))), F.col("dim") + 1)
+    return stats.withColumn("dim", dim).select(*NODE, "m", "dim", shut.alias("shut"), bracket[0].alias("lo"), bracket[1].alias("hi"))
+
+
+def middles(keep: DataFrame, xs: list[str], asked: DataFrame, by_key: bool) -> tuple[DataFrame, DataFrame]:
+    """The exact middle of each node of ``asked``: ``cut``, and ``n_left`` rows up to it. With ``by_key``, rows with equal
+    numbers stand in order of their key and the cut is the last row (``cut``, ``cut_key``) of the first half; else it is the
+    mean of the two middle numbers; it is null where the bracket misses the middle. One pass over the rows counts those below
+    the bracket and groups those inside; the second table is to be released."""
+    asked = asked.select(*NODE, "m", "dim", "lo", "hi")
+    key, order = (["key"], ["x", "key"]) if by_key else ([], ["x"])
+    first, second = F.expr("(m + 1) div 2"), F.expr("(m + 1) div 2" if by_key else "m div 2 + 1")
+    x = F.element_at(F.array(*xs), F.col("dim") + 1)
+    inside = x >= F.col("lo")
+    few = keep.filter("NOT closed").join(sized(asked), NODE).filter(x <= F.col("hi"))
+    few = few.groupBy(*NODE, F.when(inside, x).alias("x"), *(F.when(inside, F.col(c)).alias(c) for c in key)).agg(F.count("*").alias("n")).persist()
+    below = few.groupBy(*NODE).agg(F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0)).alias("below"))
+    found = asked.join(below, NODE).withColumns({"first": first, "second": second})
+    dealt = kept(few.filter("x IS NOT NULL").repartitionByRange(*NODE, *order).withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy(*NODE, "part").agg(F.sum("n").alias("size")).join(found.select(*NODE, "below", "first", "second"), NODE)
+    parts = parts.withColumn("before", F.col("below") + F.sum("size").over(Window.partitionBy(*NODE).orderBy("part")) - F.col("size"))
+    has = lambda place, before, n: (F.col(place) > before) & (F.col(place) <= before + n)
+    parts = parts.filter(has("first", F.col("before"), F.col("size")) | has("second", F.col("before"), F.col("size")))  # at most two a node
+    rows = dealt.join(parts, [*NODE, "part"])
+    rows = rows.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*NODE, "part").orderBy(*order)))
+    at = {p: F.max(F.when(has(p, F.col("upto") - F.col("n"), F.col("n")), F.struct("x", "upto", *key))) for p in ("first", "second")}
+    picked = rows.groupBy(*NODE).agg(at["first"].alias("a"), at["second"].alias("b"))
+    if by_key:
+        return picked.select(*NODE, F.col("a.x").alias("cut"), F.col("a.key").alias("cut_key"), F.col("a.upto").alias("n_left")), few
+    cut = (F.col("a.x") + F.col("b.x")) / 2
+    return picked.select(*NODE, cut.alias("cut"), F.when(cut >= F.col("b.x"), F.col("b.upto")).otherwise(F.col("a.upto")).alias("n_left")), few
+
+
+def mondrian(df: DataFrame, key: str, dims: list[str], k: int, rule: str = "rank", sensitive: str | None = None, e: int = 1, least_variance: float = 0.0, small: str = "keep", seed: int = 42, local_rows: int = 50_000, start: str | None = None, refine: Callable | None = None) -> DataFrame:
+    """(key, group_id) for every row: a leaf's number in the tree (children 2n and 2n + 1), null for remainder rows.
+
+    With ``start``, the rows of each of its values have a tree of their own, all are cut at once, and it is a column of the
+    result. With ``refine`` (numbers, sensitive values, rows of a leaf -> groups of rows), leaves become its groups, named by
+    their smallest key; rows in none have a null group."""
     kind = df.schema[key].dataType.simpleString()
-    sa = F.col(sensitive) if sensitive else F.lit("")
-    rows = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(dims)), sa.cast("string").alias("sa"), F.lit(1).cast("long").alias("node"))
     xs = [f"x{i}" for i in range(len(dims))]
-    keep, closed = kept(rows), {}
+    sa = F.col(sensitive) if sensitive else F.lit("")
+    rows = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(x) for x, c in zip(xs, dims)), sa.cast("string").alias("sa"), (F.col(start) if start else F.lit(0)).alias("root"), F.lit(1).cast("long").alias("node"))
+    known = F.forall(F.array(*xs), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("root").isNotNull()
+    rows = kept(rows.withColumns({"known": F.coalesce(known, F.lit(False)), "closed": F.lit(False)}))
+    if not rows.groupBy("key").count().filter("count > 1 OR key IS NULL").isEmpty():
+        raise ValueError(f"{key} has nulls or repeated values")
+    keep, level = rows.filter("known").drop("known"), 0
     while True:
-        var = F.var_samp if rule == "total" else F.var_pop
-        stats = keep.filter(~F.col("node").isin(*closed)).groupBy("node").agg(F.count("*").alias("m"), *(var(x).alias(x) for x in xs))
-        big = stats.filter(F.col("m") > max(local_rows, 2 * k)).collect()  # at most rows / local_rows nodes
-        if not big:
+        nodes = decide(keep, xs, rule, max(local_rows, 2 * k), least_variance, seed).persist()
+        if nodes.isEmpty():
             break
-        asked = {}
-        for r in big:
-            if rule == "total" and r.node.bit_length() > DEPTH:
-                closed[r.node] = r.node
-                continue
-            v = np.array([r[x] for x in xs])
-            dim = (r.node * 2654435761 + seed) % len(xs) if rule == "total" and v.sum() <= least_variance else widest(v)
-            if rule == "median" and not v.max() > least_variance:
-                closed[r.node] = None
-                continue
-            half = (r.m + 1) // 2
-            asked[r.node] = (dim, r.m, (half,) if rule == "rank" else (half, r.m // 2 + 1))
-        if not asked:
-            continue
-        found = ranked(keep, xs, asked)
-        cuts = [(n, dim, found[n][0][0], found[n][0][1]) if rule == "rank" else (n, dim, (found[n][0][0] + found[n][1][0]) / 2, None) for n, (dim, *_) in asked.items()]
+        least, missed, found = {"rank": 0, "median": k, "total": 1}[rule], True, nodes
+        while missed:
+            cuts, few = middles(keep, xs, found.filter("NOT shut"), rule == "rank")
+            stuck = F.coalesce(F.least("n_left", F.col("m") - F.col("n_left")) < least, F.lit(False))
+            table = kept(found.join(cuts, NODE, "left").withColumn("shut", F.col("shut") | stuck).drop("m", "lo", "hi", "n_left"))
+            few.unpersist()
+            n, missed = table.agg(F.count("*"), F.count_if(~F.col("shut") & F.col("cut").isNull())).first()
+            found = nodes.withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})
+        table = F.broadcast(table) if n <= SMALL else table
+        nodes.unpersist()
         x = F.element_at(F.array(*xs), F.col("dim") + 1)
         right = (x > F.col("cut")) | ((x == F.col("cut")) & (F.col("key") > F.col("cut_key"))) if rule == "rank" else x > F.col("cut")
-        if rule != "rank":
-            table = df.sparkSession.createDataFrame([c[:3] for c in cuts], "node long, dim int, cut double")
-            above = {r.node: r.n for r in keep.join(F.broadcast(table), "node").groupBy("node").agg(F.count_if(x > F.col("cut")).alias("n")).collect()}
-            least = k if rule == "median" else 1
-            stuck = {n for n, (_, m, _) in asked.items() if min(above[n], m - above[n]) < least}
-            closed |= {n: None if rule == "median" else n for n in stuck}
-            cuts = [c for c in cuts if c[0] not in stuck]
-            if not cuts:
-                continue
-        table = df.sparkSession.createDataFrame(cuts, f"node long, dim int, cut double, cut_key {kind}")
-        keep = keep.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("long"))).drop("dim", "cut", "cut_key")
+        keep = keep.join(table, NODE, "left").withColumns({"node": F.when(F.col("shut") | F.col("shut").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("long")), "closed": F.col("closed") | F.coalesce("shut", F.lit(False))})
+        keep, level = keep.select("key", *xs, "sa", "root", "node", "closed"), level + 1
+        if level % 3 == 0:
+            keep = kept(keep)
 
     def tail(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, keys, node = pdf[xs].to_numpy(float), pdf["key"].to_numpy(), int(pdf["node"].iloc[0])
+        x, keys, node, labels = pdf[xs].to_numpy(float), pdf["key"].to_numpy(), int(pdf["node"].iloc[0]), pdf["sa"].to_numpy()
         if rule == "rank":
             leaves = rank_leaves(x, keys, node, k)
         else:
-            order = np.argsort(keys, kind="stable")
-            pdf, x, keys = pdf.iloc[order], x[order], keys[order]
-            labels = pdf["sa"].to_numpy()
             leaves = median_leaves(x, labels, node, k, e, least_variance) if rule == "median" else total_leaves(x, labels, node, k, e, least_variance, small, seed)
-        group = np.zeros(len(keys), np.int64)
+        group = np.full(len(keys), None, object)
         for name, at in leaves.items():
-            group[at] = name
-        return pd.DataFrame({"key": keys, "group_id": pd.Series(group).astype("Int64").mask(pd.Series(group) == 0)})
-
-    out = keep.filter(~F.col("node").isin(*closed)).groupBy("node").applyInPandas(tail, f"key {kind}, group_id long")
-    if closed:
-        table = df.sparkSession.createDataFrame(list(closed.items()), "node long, group_id long")
-        out = out.unionByName(keep.join(F.broadcast(table), "node").select("key", "group_id"))
-    return out.withColumnRenamed("key", key)
+            for members in [at] if refine is None else refine(x, labels, np.sort(at)):
+                group[members] = name if refine is None else keys[members].min()
+        return pd.DataFrame({"key": keys, "root": pdf["root"].to_numpy(), "group_id": group})
+
+    root, name = rows.schema["root"].dataType.simpleString(), "long" if refine is None else kind
+    out = by_runs(keep.filter("NOT closed"), NODE, tail, f"key {kind}, root {root}, group_id {name}")
+    whole = F.col("node") if rule == "total" and refine is None else F.lit(None)
+    out = out.unionByName(keep.filter("closed").select("key", "root", whole.cast(name).alias("group_id")))
+    out = out.unionByName(rows.filter("NOT known").select("key", "root", F.lit(None).cast(name).alias("group_id")))
+    return out.select(F.col("key").alias(key), *([F.col("root").alias(start)] if start else []), "group_id")

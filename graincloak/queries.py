@@ -11,12 +11,14 @@ from graincloak.operators.microagg import microaggregate
 from graincloak.operators.mondrian import kept, mondrian
 from graincloak.operators.release import audit, range_text, record_level, release, set_text, skew
 from graincloak.operators.remainder import centroids, nearest, place_with_seats
+from graincloak.operators.whole import whole_groups
 from graincloak.sources.tables import ORDERS as WHO
 from graincloak.sources.tables import complete, people, read_table
 
 DIMS = [f"z_{c}" for c in WHO.identifiers]
 STATUS = ["F", "O", "P"]
 LEVELS = 24
+TREE = "segment || '-' || nation"
 
 
 def encoded(spark, sf_dir):
@@ -178,6 +180,27 @@ def median_query(spark, sf_dir):
     return mondrian(encoded(spark, sf_dir), WHO.key, DIMS, WHO.k, "median", WHO.sensitive, WHO.e, least_variance=0.05)
 
 
+def forest_query(spark, sf_dir):
+    """Each segment and nation has a median tree of its own; all are cut at once."""
+    rows = encoded(spark, sf_dir).withColumn("tree", F.concat_ws("-", "segment", "nation"))
+    return mondrian(rows, WHO.key, DIMS[:4], WHO.k, "median", "priority", WHO.e, least_variance=0.05, start="tree")
+
+
+def again_query(spark, sf_dir):
+    """The median split, then another one of all rows that the first left over: (row_key, pass, group_id)."""
+    rows = encoded(spark, sf_dir).persist()
+    cut = lambda some: kept(mondrian(some, WHO.key, DIMS, WHO.k, "median", WHO.sensitive, WHO.e, least_variance=0.05))
+    first = cut(rows)
+    again = cut(rows.join(first.filter("group_id IS NULL").select(WHO.key), WHO.key, "left_semi"))
+    rows.unpersist()
+    return first.filter("group_id IS NOT NULL").withColumn("pass", F.lit(1)).unionByName(again.withColumn("pass", F.lit(2)))
+
+
+def whole_query(spark, sf_dir):
+    """Microaggregation of the whole table, with seats for the remainder and large groups split again."""
+    return whole_groups(encoded(spark, sf_dir), WHO.key, DIMS, WHO.sensitive, WHO.k, WHO.e)
+
+
 def total_query(spark, sf_dir):
     return mondrian(complete(people(spark, sf_dir), WHO), WHO.key, list(WHO.numeric), WHO.k, "total", WHO.sensitive, WHO.e, least_variance=1000.0)
 
@@ -266,7 +289,7 @@ def queries():
         "release_groups": release_query, "release_text": release_text_query, "sa_histogram": histogram_query, "release_ncp": ncp_query,
         "release_utility": utility_query, "release_audit": audit_query, "release_records": record_query, "linkage_matches": linkage_query,
         "linkage_rates": linkage_rates_query, "nearest_group": nearest_query, "remainder_seats": seats_query, "visit_skew": visits_query,
-        "mondrian_median": median_query, "mondrian_total": total_query, "microagg_latent": latent_query, "microagg_strict": strict_query,
+        "mondrian_median": median_query, "mondrian_total": total_query, "mondrian_forest": forest_query, "remainder_again": again_query, "microagg_whole": whole_query, "microagg_latent": latent_query, "microagg_strict": strict_query,
         "encode_covariance": covariance_query, "encode_linear": linear_query, "encode_trained": trained_query, "microagg_encoder": encoder_query,
         "linkage_attack": attack_query, "linkage_attack_summary": attack_summary_query, "cluster_drop": cluster_drop_query, "cluster_parts": cluster_query, "method_comparison": comparison_query, "encoding_sweep": sweep_query, "permutation_sensitivity": sensitivity_query,
         "job_report": job_query, "job_risk": job_risk_query, "job_sweep": job_sweep_query,
@@ -295,22 +318,24 @@ def mondrian_sql() -> str:
     return ", ".join(out) + f", grouped AS MATERIALIZED (SELECT encoded.*, n{LEVELS}.node AS group_id FROM encoded JOIN n{LEVELS} USING (row_key))"
 
 
-def median_sql() -> str:
-    """The median split with its levels written out: (row_key, group_id), null for the remainder."""
-    zs, k = ", ".join(DIMS), WHO.k
-    out = [f"{ENCODED}, n0 AS (SELECT row_key, segment, {zs}, CAST(1 AS BIGINT) AS node FROM encoded)"]
-    best = f"greatest({', '.join(f'v{j}' for j in range(len(DIMS)))})"
-    pick = " ".join(f"WHEN v{j} = {best} THEN {z}" for j, z in enumerate(DIMS))
+def median_ctes(source: str, p: str, dims: list[str], sensitive: str, tree: str = "0") -> str:
+    """The median split of ``source`` with its levels written out, a tree for each value of ``tree``. It ends in {p}_out
+    (row_key, tree, group_id), null for the remainder."""
+    zs, k = ", ".join(dims), WHO.k
+    out = [f"{p}_n0 AS (SELECT row_key, {sensitive} AS sa, {tree} AS tree, {zs}, CAST(1 AS BIGINT) AS node FROM {source})"]
+    best = f"greatest({', '.join(f'v{j}' for j in range(len(dims)))})"
+    pick = " ".join(f"WHEN v{j} = {best} THEN {z}" for j, z in enumerate(dims))
     for i in range(LEVELS):
-        var = ", ".join(f"round(var_pop({z}), 9) AS v{j}" for j, z in enumerate(DIMS))
-        out.append(f"s{i} AS MATERIALIZED (SELECT node, count(*) AS m, {var} FROM n{i} WHERE node IS NOT NULL GROUP BY node HAVING count(*) > {2 * k})")
-        out.append(f"p{i} AS MATERIALIZED (SELECT n{i}.*, m, {best} AS best, CASE {pick} END AS x FROM n{i} LEFT JOIN s{i} USING (node))")
-        out.append(f"c{i} AS MATERIALIZED (SELECT node, median(x) AS cut FROM p{i} WHERE m IS NOT NULL GROUP BY node)")
-        out.append(f"l{i} AS MATERIALIZED (SELECT node, cut, count(*) FILTER (x <= cut) AS n_left FROM p{i} JOIN c{i} USING (node) GROUP BY node, cut)")
+        var = ", ".join(f"round(var_pop({z}), 9) AS v{j}" for j, z in enumerate(dims))
+        out.append(f"{p}_s{i} AS MATERIALIZED (SELECT tree, node, count(*) AS m, {var} FROM {p}_n{i} WHERE node IS NOT NULL GROUP BY tree, node HAVING count(*) > {2 * k})")
+        out.append(f"{p}_p{i} AS MATERIALIZED (SELECT n.*, m, {best} AS best, CASE {pick} END AS x FROM {p}_n{i} n LEFT JOIN {p}_s{i} USING (tree, node))")
+        out.append(f"{p}_c{i} AS MATERIALIZED (SELECT tree, node, median(x) AS cut FROM {p}_p{i} WHERE m IS NOT NULL GROUP BY tree, node)")
+        out.append(f"{p}_l{i} AS MATERIALIZED (SELECT tree, node, cut, count(*) FILTER (x <= cut) AS n_left FROM {p}_p{i} JOIN {p}_c{i} USING (tree, node) GROUP BY tree, node, cut)")
         side = f"CASE WHEN m IS NULL THEN node WHEN best > 0.05 AND least(n_left, m - n_left) >= {k} THEN 2 * node + CAST(x > cut AS INTEGER) END"
-        out.append(f"n{i + 1} AS MATERIALIZED (SELECT row_key, segment, {zs}, {side} AS node FROM p{i} LEFT JOIN l{i} USING (node))")
-    good = f"good AS (SELECT node FROM n{LEVELS} WHERE node IS NOT NULL GROUP BY node HAVING count(*) BETWEEN {k} AND {2 * k} AND count(DISTINCT segment) >= {WHO.e})"
-    return f"WITH {', '.join(out)}, {good} SELECT row_key, good.node AS group_id FROM n{LEVELS} LEFT JOIN good USING (node)"
+        out.append(f"{p}_n{i + 1} AS MATERIALIZED (SELECT row_key, sa, tree, {zs}, {side} AS node FROM {p}_p{i} LEFT JOIN {p}_l{i} USING (tree, node))")
+    out.append(f"{p}_good AS (SELECT tree, node, node AS good FROM {p}_n{LEVELS} WHERE node IS NOT NULL GROUP BY tree, node HAVING count(*) BETWEEN {k} AND {2 * k} AND count(DISTINCT sa) >= {WHO.e})")
+    out.append(f"{p}_out AS MATERIALIZED (SELECT row_key, tree, good AS group_id FROM {p}_n{LEVELS} LEFT JOIN {p}_good USING (tree, node))")
+    return ", ".join(out)
 
 
 def oracle_sql():
@@ -356,6 +381,11 @@ def oracle_sql():
     finished = lambda name: sql[name].replace("ON o_custkey = c_custkey)", "ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')")
     sql["job_report"] = f"""SELECT i.n_input, i.n_input - n.n_rows AS n_incomplete, CAST(0 AS BIGINT) AS n_suppressed, u.*, n.n_rows, n.ncp, a.* EXCLUDE (n_groups)
   FROM (SELECT count(*) AS n_input FROM orders JOIN customer ON o_custkey = c_custkey) i CROSS JOIN ({finished("release_utility")}) u CROSS JOIN ({finished("release_ncp")}) n CROSS JOIN ({finished("release_audit")}) a"""
-    sql["mondrian_median"] = median_sql()
+    once = f"{ENCODED}, {median_ctes('encoded', 'a', DIMS, 'segment')}"
+    sql["mondrian_median"] = f"WITH {once} SELECT row_key, group_id FROM a_out"
+    rest = "rest AS MATERIALIZED (SELECT encoded.* FROM encoded JOIN a_out USING (row_key) WHERE group_id IS NULL)"
+    both = "SELECT row_key, 1 AS pass, group_id FROM a_out WHERE group_id IS NOT NULL UNION ALL SELECT row_key, 2 AS pass, group_id FROM b_out"
+    sql["remainder_again"] = f"WITH {once}, {rest}, {median_ctes('rest', 'b', DIMS, 'segment')} {both}"
+    sql["mondrian_forest"] = f"WITH {ENCODED}, {median_ctes('encoded', 'a', DIMS[:4], 'priority', TREE)} SELECT row_key, tree, group_id FROM a_out"
     sql["job_risk"] = finished("linkage_attack_summary")
     return sql
