@@ -23,6 +23,7 @@ rows are judged alike; repeated item rows are items of their own; extra columns
 
 import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from .textcols import U, Words, map_slices, mix, saved, small, text_bytes
 
 BLOCK = 8
 POSTINGS = 500_000
+CELLS = 1 << 20  # sums of blocks held at a time, however long a text and however many the items
 K1, B = 1.2, 0.75
 MATCH = ArrayType(StructType([StructField("item_id", LongType()), *(StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))]))
 PLAIN = np.full(256, 32, np.uint8)
@@ -134,33 +136,44 @@ def retrieve(ix: Index, words: Words, least: float) -> list[tuple[int, int, int,
     v = len(ix.terms)
     pair = np.unique(chunk * v + place[hit])
     chunk, term = pair // v, pair % v
-    rest = np.bincount(chunk, np.where(ix.common[term], ix.bound[term], 0), first[-1])
-    rare = ~ix.common[term]
-    entry, which = ix.expand(ix.block_at, term[rare])
-    upper = np.bincount(chunk[rare][which] * ix.blocks + ix.block[entry], ix.most[entry], first[-1] * ix.blocks).reshape(-1, ix.blocks) + rest[:, None]
-    owner = np.repeat(np.arange(docs), chunks)
-    follow = np.zeros_like(upper)
-    same = np.flatnonzero(owner[1:] == owner[:-1])
-    follow[same] = upper[same + 1]
-    passage, block = np.nonzero(upper + follow >= least - 1e-9)
-    if not len(passage):
-        return []
-    open_blocks = np.zeros((first[-1], ix.blocks), bool)
-    open_blocks[passage, block] = True
     begin = np.searchsorted(chunk, np.arange(first[-1] + 1))
-    out = []
-    for p in np.unique(passage):
-        two = p + 1 < first[-1] and owner[p + 1] == owner[p]
-        terms = np.unique(term[begin[p] : begin[p + 1 + two]])
-        entry, _ = ix.expand(ix.at, terms)
-        entry = entry[open_blocks[p, ix.item[entry] // BLOCK]]
-        scores = np.bincount(ix.item[entry], ix.weight[entry], len(ix.ids))
-        start = words.of[owner[p]] + (p - first[owner[p]]) * size
-        end = min(start + 2 * size, words.of[owner[p] + 1])
-        out += [(int(owner[p]), int(start), int(end), int(i), float(scores[i])) for i in np.flatnonzero(scores >= least)]
+    owner = np.repeat(np.arange(docs), chunks)
+    size_of = np.where(ix.common[term], 0, ix.block_at[term + 1] - ix.block_at[term])
+    cost = np.concatenate([[0], np.cumsum(np.bincount(chunk, size_of, first[-1]) + ix.blocks)])
+    out, at = [], 0
+    while at < first[-1]:
+        to = max(at + 1, int(np.searchsorted(cost, cost[at] + CELLS, side="right")) - 1)
+        for p, open_blocks in reachable(ix, chunk, term, begin, owner, at, to, least):
+            two = p + 1 < first[-1] and owner[p + 1] == owner[p]
+            terms = np.unique(term[begin[p] : begin[p + 1 + two]])
+            entry, _ = ix.expand(ix.at, terms)
+            entry = entry[open_blocks[ix.item[entry] // BLOCK]]
+            scores = np.bincount(ix.item[entry], ix.weight[entry], len(ix.ids))
+            start = words.of[owner[p]] + (p - first[owner[p]]) * size
+            end = min(start + 2 * size, words.of[owner[p] + 1])
+            out += [(int(owner[p]), int(start), int(end), int(i), float(scores[i])) for i in np.flatnonzero(scores >= least)]
+        at = to
     return out
 
 
+def reachable(ix: Index, chunk: np.ndarray, term: np.ndarray, begin: np.ndarray, owner: np.ndarray, at: int, to: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """The passages that begin at chunks ``at`` to ``to`` (exclusive) and have a block whose bound reaches ``least``, with a
+    mask of these blocks. ``chunk`` and ``term`` are the distinct terms of each chunk, ``begin`` the places of its first."""
+    last = min(to + 1, len(owner))  # a passage needs the chunk after its first
+    mine = slice(begin[at], begin[last])
+    chunk, term, n = chunk[mine] - at, term[mine], last - at
+    rest = np.bincount(chunk, np.where(ix.common[term], ix.bound[term], 0), n)
+    rare = ~ix.common[term]
+    entry, which = ix.expand(ix.block_at, term[rare])
+    upper = np.bincount(chunk[rare][which] * ix.blocks + ix.block[entry], ix.most[entry], n * ix.blocks).reshape(-1, ix.blocks) + rest[:, None]
+    both = upper[: to - at].copy()
+    same = np.flatnonzero(owner[at + 1 : last] == owner[at : last - 1])
+    both[same] += upper[same + 1]
+    enough = both >= least - 1e-9
+    for p in np.flatnonzero(enough.any(axis=1)):
+        yield int(p) + at, enough[p]
+
+
 def indexes(items: DataFrame, n: int, postings: int) -> tuple[DataFrame, int]:
     """(part, index): the pickled index of each part of ``items``, written out, and the number of parts."""
 

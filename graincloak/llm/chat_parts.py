@@ -11,7 +11,9 @@ from sorted partitions with running hashes, so a conversation of any number of t
 
 Defined results: null texts and roles are empty; a null conv_id is a conversation of its own; turns with the same number
 stand in order of role, then text; repeated rows are turns of their own; an empty table gives no conversations; extra
-columns are ignored.
+columns are ignored. A null part is left out, a part without a type is text (texts that follow each other are one), a part
+of any other type gets a placeholder of kind "other" and no tokens. Texts read back, also under the mask, are without the
+placeholders; ``read_back`` tells where those stand.
 """
 
 import hashlib
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CONTROL = re.compile(r"<(?=\||/?s>)|\[(?=/?INST\])")
-TURN = re.compile(r"<\|turn\|>([^\n]*)\n((?:[^<]|<(?!\|))*)<\|end\|>\n")
+HEAD, TAIL = "<|turn|>", "<|end|>\n"
 PLACEHOLDER = "<|{kind}:{n}|>"
+MARK = re.compile(r"<\|([a-z]+):([0-9]+)\|>")
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 
@@ -49,15 +52,13 @@ class Flatten:
 
     def __init__(self, patch: int = 14, per_second: int = 25, per_page: int = 256):
         self.patch, self.per_second, self.per_page = patch, per_second, per_page
-        self.out, self.refs, self.size = [], [], 0
+        self.out, self.refs, self.size, self.held = [], [], 0, []
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type')}", self.visit_unknown)(part)
+        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        text = escape(part.get("text") or "")
-        self.out.append(text)
-        self.size += len(text)
+        self.held.append(part.get("text") or "")  # escaped with the texts that follow: together they may form a control string
 
     def visit_image(self, part: dict) -> None:
         self.attach("image", part, -(-(part.get("width") or 0) // self.patch) * -(-(part.get("height") or 0) // self.patch))
@@ -68,10 +69,21 @@ class Flatten:
     def visit_document(self, part: dict) -> None:
         self.attach("document", part, (part.get("pages") or 0) * self.per_page)
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part.get('type')!r}")
+    def visit_other(self, part: dict) -> None:
+        self.attach("other", part, 0)
+
+    def close_text(self) -> None:
+        text = escape("".join(self.held))
+        self.held.clear()
+        self.out.append(text)
+        self.size += len(text)
+
+    def content(self) -> str:
+        self.close_text()
+        return "".join(self.out)
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.close_text()
         mark = PLACEHOLDER.format(kind=kind, n=len(self.refs))
         self.refs.append({"kind": kind, "ref": part.get("ref"), "at": self.size, "tokens": tokens})
         self.out.append(mark)
@@ -90,10 +102,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
             for role, parts in zip(batch.column("role").to_pylist(), batch.column("parts").to_pylist()):
                 visitor = Flatten()
                 for part in parts or []:
-                    visitor.visit(part)
-                head = f"<|turn|>{escape_role(role or '')}\n"
-                content = "".join(visitor.out)
-                formatted.append(f"{head}{content}<|end|>\n")
+                    if part is not None:
+                        visitor.visit(part)
+                head = f"{HEAD}{escape_role(role or '')}\n"
+                content = visitor.content()
+                formatted.append(f"{head}{content}{TAIL}")
                 start.append(len(head))
                 end.append(len(head) + (len(content) if role == "assistant" else 0))
                 attached.append(visitor.refs)
@@ -105,10 +118,28 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return kept.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "parts").mapInArrow(run, schema)
 
 
-def read_back(formatted: str) -> tuple[str, str]:
-    """Role and text of one formatted turn without attachments."""
-    m = TURN.fullmatch(formatted)
-    return unescape_role(m[1]), unescape(m[2])
+def plain_text(content: str) -> str:
+    """The text of formatted content, unescaped, without its placeholders (``MARK`` has two groups)."""
+    return "".join(unescape(piece) for piece in MARK.split(content)[::3])
+
+
+def content_of(formatted: str) -> tuple[str, str]:
+    """Role and content of one formatted turn. No text holds a control string, so the ends are where they stand."""
+    line = formatted.index("\n")
+    if not (formatted.startswith(HEAD) and formatted.endswith(TAIL)):
+        raise ValueError("not a formatted turn")
+    return unescape_role(formatted[len(HEAD) : line]), formatted[line + 1 : -len(TAIL)]
+
+
+def read_back(formatted: str) -> tuple[str, str, list[tuple[str, int, int]]]:
+    """Role, text and attachments (kind, number, code points of text before it) of one formatted turn."""
+    role, content = content_of(formatted)
+    pieces = MARK.split(content)
+    texts, found, before = [unescape(x) for x in pieces[::3]], [], 0
+    for text, kind, number in zip(texts, pieces[1::3], pieces[2::3]):
+        before += len(text)
+        found.append((kind, int(number), before))
+    return role, "".join(texts), found
 
 
 def digests(formatted: DataFrame, parts: int | None = None) -> DataFrame:
@@ -127,8 +158,8 @@ def digests(formatted: DataFrame, parts: int | None = None) -> DataFrame:
                 if not state or row[0] != conv:
                     close()
                     conv, state = row[0], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_back(row[1])
-                loss = unescape(row[1][row[2] : row[3]])
+                role, content = content_of(row[1])
+                text, loss = plain_text(content), plain_text(row[1][row[2] : row[3]])
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)

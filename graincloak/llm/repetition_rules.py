@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .suffixes import common, deeper, first_ranks, levels
+from .suffixes import deepening, deeper, first_ranks, shared
 from .textcols import BYTE, U, WHITE, Words, map_slices, mix, prefix, span_hash
 
 SYMBOLS = np.zeros(256, bool)
@@ -44,14 +45,28 @@ def dup_lines(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> np.nda
     return total - np.bincount(doc[first], minlength=docs)
 
 
+def common_spans(sums: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common prefixes of suffixes ``i`` and ``j``, by hashes of spans of 2**k, 2**(k-1), ... symbols.
+    Needs no more than a few arrays, however long they are."""
+    n, length = len(sums) - 1, np.zeros(len(i), np.int64)
+    for k in reversed(range(n.bit_length())):
+        a, b = i + length, j + length
+        ok = np.flatnonzero(np.maximum(a, b) + (1 << k) <= n)
+        a, b = a[ok], b[ok]
+        length[ok[span_hash(sums, a, a + (1 << k)) == span_hash(sums, b, b + (1 << k))]] += 1 << k
+    return length
+
+
 def repeats(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per document: words in repeated 3-word windows, words in maximal repeats, words of the longest repeat."""
     n, docs, doc = len(words.hash), len(words.of) - 1, words.doc()
     if not n:
         return (np.zeros(docs, np.int64),) * 3
-    found, _ = levels(first_ranks(mix(words.hash ^ mix(doc.astype(U)))))
-    by_depth = dict(found)
-    twice = by_depth.get(2)
+    symbols = mix(words.hash ^ mix(doc.astype(U)))
+    twice, base, final = None, None, None
+    for depth, final in deepening(first_ranks(symbols)):
+        twice = final if depth == 2 else twice
+        base = final if depth <= min_words else base
     three = deeper(twice, 1, np.flatnonzero(np.bincount(twice, minlength=n)[twice] > 1))[1] if twice is not None else np.zeros(0, np.int64)
 
     def covered(start, length):
@@ -60,13 +75,10 @@ def repeats(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.nd
         np.add.at(edge, np.minimum(start + length, n), -1)
         return per_doc(np.cumsum(edge[:-1]) > 0, words.of)
 
-    base = max((d for d in by_depth if d <= min_words), default=1)
-    ranks = by_depth[base]
-    live = np.flatnonzero(np.bincount(ranks, minlength=n)[ranks] > 1)
-    final = found[-1][1]
+    live = shared(base)
     order = live[np.argsort(final[live], kind="stable")]
     left, right = order[:-1], order[1:]
-    lcp = common(found, left, right)
+    lcp = common_spans(prefix(symbols), left, right)
     long = lcp >= min_words
     left, right, lcp = left[long], right[long], lcp[long]
     longest = np.zeros(docs, np.int64)
@@ -87,9 +99,8 @@ def repetition_rules(docs: DataFrame, text_col: str = "text", min_words: int = 8
         out = [np.diff(words.of), per_doc(~WHITE[data] & ((data & 0xC0) != 0x80), offsets), per_doc(SYMBOLS[data], offsets), dup_lines(data, offsets, sums), three, cover, longest]
         return [*rows.columns, *(pa.array(x.astype(np.int64)) for x in out)]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{c} long" for c in COUNTS)])
-    names = [*(f.name for f in rest), *COUNTS]
-    out = map_slices(slim, text_col, each, schema, names)
+    schema = StructType([*rest, *(StructField(c, LongType()) for c in COUNTS)])
+    out = map_slices(slim, text_col, each, schema, schema.names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     bad = (F.col("n_covered_words") > max_covered * F.col("n_words")) | (F.col("longest_repeat") > max_repeat)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~bad)

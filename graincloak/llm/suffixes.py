@@ -1,5 +1,7 @@
 """Suffix order of a bounded block of symbols by prefix doubling, in numpy, for use inside Spark tasks."""
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -63,6 +65,16 @@ def levels(ranks: np.ndarray, most: int | None = None) -> tuple[list[tuple[int,
     return out, live
 
 
+def deepening(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """As ``levels``, one at a time: the caller holds those that it needs."""
+    depth, live = 1, shared(ranks)
+    yield depth, ranks
+    while len(live):
+        ranks, live = deeper(ranks, depth, live)
+        depth *= 2
+        yield depth, ranks
+
+
 def common(found: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Lengths of the longest common prefixes of suffixes ``i`` and ``j``, up to twice the deepest level."""
     n, length = len(found[0][1]), np.zeros(len(i), np.int64)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 SLICE = 1 << 18
 U = np.uint64
@@ -99,18 +99,26 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, n
 
 
 def map_slices(df: DataFrame, text: str, each: Callable, schema: str | StructType, names: list[str] | None = None) -> DataFrame:
-    """``each(rows, data, offsets)`` gives the arrays of ``schema``'s columns, or None, for every slice of ``df``."""
-    names = names or [x.split()[0] for x in schema.split(", ")]
+    """``each(rows, data, offsets)`` gives the arrays of ``schema``'s columns, or None, for every slice of ``df``. With a
+    StructType, columns have plain names on their way, so that any name may be carried."""
+    given, wanted = df.columns, names or [x.split()[0] for x in schema.split(", ")]
+    names, carried = wanted, isinstance(schema, StructType)
+    if carried:
+        names = [f"c{i}" for i in range(len(wanted))]
+        df = df.toDF(*(f"c{i}" for i in range(len(given))))
+        schema = StructType([StructField(c, f.dataType) for c, f in zip(names, schema.fields)])
 
     def run(batches):
         for batch in batches:
+            batch = batch.rename_columns(given)
             for rows, data, offsets in slices(batch, text):
                 out = each(rows, data, offsets)
                 if out is not None and len(out[0]):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names)
         pa.default_memory_pool().release_unused()  # workers live on after their task
 
-    return df.mapInArrow(run, schema)
+    out = df.mapInArrow(run, schema)
+    return out.toDF(*wanted) if carried else out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -150,3 +150,20 @@ def ftrl(rows, epochs, alpha, beta, l1, l2):
                 z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
                 n[i] += g * g
     return {i: weight(i) for i in z}
+
+
+def repeats(text, low):
+    """Words in windows of ``low`` words that start twice, and the length of the longest window that does (0 if shorter)."""
+    words = re.findall(r"[^ \t-\r]+", text or "")
+
+    def again(size):
+        starts = {}
+        for i in range(len(words) - size + 1):
+            starts.setdefault(hash(tuple(words[i : i + size])), []).append(i)
+        return [i for at in starts.values() if len(at) > 1 for i in at]
+
+    covered, least, most = {i + j for i in again(low) for j in range(low)}, low - 1, len(words)
+    while most - least > 1:  # what repeats at some size repeats at all smaller ones
+        size = (least + most) // 2
+        least, most = (size, most) if again(size) else (least, size)
+    return len(covered), least if least >= low else 0

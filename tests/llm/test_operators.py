@@ -1,4 +1,6 @@
+import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -9,17 +11,18 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graincloak.llm import anchors, ftrl_quality, ngram_join, pii_votes, queries, suffixes, trigram_secrets
+from graincloak.llm import anchors, bm25_decontam, ftrl_quality, ngram_join, pii_votes, queries, suffixes, trigram_secrets
+from graincloak.llm import repetition_rules as repetition_module
 from graincloak.llm import rlz_dedup as rlz_module
 from graincloak.llm import suffix_dedup as suffix_module
 from graincloak.llm.bestfit_pack import best_fit_pack, plan, text_ids
 from graincloak.llm.bm25_decontam import decontaminate
-from graincloak.llm.chat_parts import digests, escape, format_turns, unescape
+from graincloak.llm.chat_parts import digests, escape, format_turns, read_back, unescape
 from graincloak.llm.ngram_join import jaccard_components
-from graincloak.llm.repetition_rules import repetition_rules
+from graincloak.llm.repetition_rules import repeats, repetition_rules
 from graincloak.llm.rlz_dedup import rlz_dedup
 from graincloak.llm.suffix_dedup import suffix_dedup
-from graincloak.llm.textcols import U, text_bytes
+from graincloak.llm.textcols import U, Words, text_bytes
 from tests.llm import brute
 from tests.oracle import compare
 
@@ -143,6 +146,43 @@ def test_longest_repeat(spark):
     assert got == {1: (0, 0, True), 2: (120, 60, False), 3: (40, 20, False)}
 
 
+def peak(f):
+    """Most bytes held by what ``f`` makes."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("low,share,most", [(8, 0.3, 400), (5, 0.6, 20), (3, 0.1, 2)])
+def test_verdicts_of_the_rules(table, low, share, most):
+    """Covered words, longest repeat and the verdict, against counting all windows."""
+    out = repetition_rules(table, min_words=low, max_covered=share, max_repeat=most)
+    got = by_id(out, "n_words", "n_covered_words", "longest_repeat", "base_failed", "kept")
+    for d, text in rows_of(table):
+        covered, longest = brute.repeats(text, low)
+        n, failed = got[d][0], got[d][3]
+        assert got[d][1:3] == (covered, longest)
+        assert got[d][4] == (not failed and covered <= share * n and longest <= most)
+
+
+def test_memory_of_repeats():
+    """Equal words have a level of ranks for each doubling; only a few of them are held."""
+    sizes = [peak(lambda n=n: repeats(Words(*text_bytes(pa.array(["ab " * n]))), 8)) / n for n in (1 << 13, 1 << 17)]
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_names_of_carried_columns(spark, odd, small):
+    wide = odd.withColumn("a.b", F.lit(1)).withColumn("c d", F.array(F.struct(F.lit(2).alias("e f"))))
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    model = (np.zeros(1 << ftrl_quality.BITS, np.float32), 0.0)
+    for out, more in ((repetition_rules(wide), [*repetition_module.COUNTS, "base_failed", "kept"]), (decontaminate(wide, items), ["matches"]), (decontaminate(wide, items, postings=900), ["matches"]), (ftrl_quality.score(wide, model), ["score"])):
+        assert out.columns == [*wide.columns, *more]
+        assert [(r["a.b"], r["c d"][0]["e f"], r["n"]) for r in out.collect()] == [(1, 2, 3)] * len(ODD)
+
+
 def plain_lpf(text):
     """By trying all earlier places."""
     def match(i, j):
@@ -364,6 +404,34 @@ def test_retrieval(spark, small, parts):
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want) and len(want) >= len(texts)
 
 
+def many_items(n, words):
+    some = random.Random(8)
+    items = [(i, " ".join(some.choices([f"w{j}" for j in range(4000)], k=words))) for i in range(n)]
+    own = bm25_decontam.plain_words([t for _, t in items])
+    terms, df = np.unique(np.concatenate([np.unique(own.hash[a:b]) for a, b in zip(own.of, own.of[1:])]), return_counts=True)
+    return items, bm25_decontam.Index(items, (terms.view(np.int64), df), n, float(words), words, 5)
+
+
+def test_windows_of_retrieval(monkeypatch):
+    """Sums over a few chunks at a time find what sums over all chunks find."""
+    items, index = many_items(300, 12)
+    some = random.Random(9)
+    texts = ["", "none of these", *(" ".join(x for _, x in some.sample(items, 9)) for _ in range(12))]
+    words, found = bm25_decontam.plain_words(texts), []
+    for cells in (1, 500, 1 << 20):
+        monkeypatch.setattr(bm25_decontam, "CELLS", cells)
+        found.append(bm25_decontam.retrieve(index, words, 0.4))
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 100
+
+
+def test_memory_of_retrieval():
+    """Many short items and a text as long as a book: the sums stay small."""
+    _, index = many_items(4000, 6)
+    some = random.Random(10)
+    words = bm25_decontam.plain_words([" ".join(some.choices([f"v{j}" for j in range(50_000)], k=150_000))])
+    assert peak(lambda: bm25_decontam.retrieve(index, words, 0.5)) < 60 << 20  # all sums at once: 25,000 chunks x 500 blocks x 8 bytes, twice
+
+
 def test_chat(spark, small):
     compare(spark, queries.op3_chat_parts, queries.oracle_sql()["op3_chat_parts"], small)
     for text in ("", "</s>[INST] ok [/INST]", "<|turn|>\\<\\|", "\\\\[\\INST]\n<"):
@@ -377,6 +445,51 @@ def test_chat(spark, small):
     assert digests(format_turns(df.limit(0))).count() == 0
 
 
+NO_PART = {"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
+TURNS = "conv_id long, turn long, role string, parts " + queries.PARTS
+
+
+def test_chat_with_attachments(spark):
+    """Turns with all kinds of parts are read back; texts split inside a control string too."""
+    kinds = [{"type": "image", "ref": "a", "width": 9, "height": 9}, {"type": "audio", "ref": None, "seconds": 1.0}, {"type": "document", "ref": "c", "pages": 1}, {"type": "video", "ref": "d"}]
+    text = lambda *xs: [NO_PART | {"type": "text", "text": x} for x in xs]
+    some, rows = random.Random(3), []
+    for turn in range(60):
+        parts = [NO_PART | some.choice(kinds) if some.random() < 0.4 else text(some.choice(["<", "|end|>\n", "[", "INST]", "\\", "</s", ">", "<|image:0|>", "a\nb", "", None]))[0] for _ in range(turn % 9)]
+        rows.append((turn // 20, turn, some.choice(["user", "assistant", "odd\n<|role"]), parts))
+    made = format_turns(spark.createDataFrame(rows, TURNS)).orderBy("turn").collect()
+    for (_, _, role, parts), r in zip(rows, made):
+        got_role, got_text, found = read_back(r.formatted)
+        texts = [p["text"] or "" for p in parts if p["type"] == "text"]
+        others = [i for i, p in enumerate(parts) if p["type"] != "text"]
+        before = [sum(len(p["text"] or "") for p in parts[:i] if p["type"] == "text") for i in others]
+        assert (got_role, got_text) == (role, "".join(texts))
+        assert found == [({"video": "other"}.get(parts[i]["type"], parts[i]["type"]), n, at) for n, (i, at) in enumerate(zip(others, before))]
+        assert [(a.kind, a.ref) for a in r.attachments] == [(k, parts[i]["ref"]) for (k, _, _), i in zip(found, others)]
+        content = r.formatted.split("\n", 1)[1]
+        assert all(content[a.at :].startswith(f"<|{a.kind}:{n}|>") for n, a in enumerate(r.attachments))
+    for conv, got in {r.conv_id: r for r in digests(format_turns(spark.createDataFrame(rows, TURNS))).collect()}.items():
+        mine = [(role, "".join(p["text"] or "" for p in parts if p["type"] == "text")) for c, _, role, parts in rows if c == conv]
+        loss = "".join(t for role, t in mine if role == "assistant")
+        assert (got.n_turns, got.loss_chars) == (20, len(loss)) and got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in mine).encode()).hexdigest()
+
+
+def test_chat_of_odd_rows(spark):
+    """Null conversation, turn, role, parts, part and part type; repeated turns are turns of their own."""
+    one = [NO_PART | {"type": "text", "text": "x"}]
+    rows = [(None, 1, "user", one), (None, 2, None, None), (5, None, "assistant", one), (5, 1, None, [None, NO_PART, NO_PART | {"text": "y"}]), (5, 2, "user", []), (7, 1, "assistant", one), (7, 1, "assistant", one), (7, 1, "user", one)]
+    got = {r.conv_id: r for r in digests(format_turns(spark.createDataFrame(rows, TURNS))).collect()}
+    want = {None: ("user\nx\n\n\n", ""), 5: ("assistant\nx\n\ny\nuser\n\n", "x"), 7: ("assistant\nx\nassistant\nx\nuser\nx\n", "xx")}
+    assert {c: (r.turns_sha256, r.loss_sha256) for c, r in got.items()} == {c: tuple(hashlib.sha256(x.encode()).hexdigest() for x in w) for c, w in want.items()}
+    assert {c: r.n_turns for c, r in got.items()} == {None: 2, 5: 3, 7: 3}
+
+
+def test_memory_of_reading_back():
+    turn = f"<|turn|>user\n{'ab < ' * 200_000}<|end|>\n"
+    assert peak(lambda: read_back(turn)) < 12 * len(turn)
+
+
 def test_classifier(spark, small):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     rows = queries.op5_ftrl_quality(spark, small).collect()
