@@ -1,5 +1,7 @@
 """The registered queries of the anonymisation jobs, with the SQL that gives the same rows."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from graincloak.functions.encode import encode_codes, encode_onehot, standardise
@@ -8,9 +10,10 @@ from graincloak.jobs import Job, anonymize, linkage_risk, sweep
 from graincloak.operators.cluster import cluster_groups
 from graincloak.operators.metrics import attacks, linkage, linkage_rates, ncp, over_seeds, utility
 from graincloak.operators.microagg import microaggregate
-from graincloak.operators.mondrian import kept, mondrian
+from graincloak.operators.mondrian import DEPTH, kept, mondrian
 from graincloak.operators.release import audit, range_text, record_level, release, set_text, skew
 from graincloak.operators.remainder import centroids, nearest, place_with_seats
+from graincloak.operators.repair import repair
 from graincloak.operators.whole import whole_groups
 from graincloak.sources.tables import ORDERS as WHO
 from graincloak.sources.tables import complete, people, read_table
@@ -86,6 +89,34 @@ def audit_query(spark, sf_dir):
     return audit(released(spark, sf_dir)[2], WHO, alpha=0.5, entropy=0.5)
 
 
+ALPHA, ENTROPY = 0.4, 1.2
+
+
+def repair_query(spark, sf_dir):
+    """The rank split with groups merged upwards until no segment has more than a share of ALPHA, and the entropy is ENTROPY."""
+    rows, groups = assigned(spark, sf_dir)
+    return repair(rows, groups, WHO, ALPHA, ENTROPY)
+
+
+def repair_forest_query(spark, sf_dir):
+    """The forest of ``mondrian_forest``, every tree repaired on its own for the priority: (row_key, tree, group_id)."""
+    rows = encoded(spark, sf_dir).persist()
+    return repair(rows, kept(forest_query(spark, sf_dir)), replace(WHO, sensitive="priority"), ALPHA, ENTROPY, start="tree")
+
+
+def repair_audit_query(spark, sf_dir):
+    """Broken promises before and after, and what the repair costs."""
+    rows, groups = assigned(spark, sf_dir)
+    out = None
+    for name, some in (("rank", groups), ("repaired", kept(repair(rows, groups, WHO, ALPHA, ENTROPY)))):
+        made = release(rows, some, WHO).persist()
+        lost = some.agg(F.count_if(F.col("group_id").isNull()).alias("n_suppressed"))
+        cost = ncp(made, rows, WHO).select("n_rows", F.round("ncp", 8).alias("ncp"))
+        one = audit(made, WHO, ALPHA, ENTROPY).crossJoin(cost).crossJoin(lost).select(F.lit(name).alias("release"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def record_query(spark, sf_dir):
     rows, groups, out = released(spark, sf_dir)
     return record_level(rows, groups, out, WHO).select("row_key", "segment", "group_id", "group_size", F.round("totalprice_lo", 4).alias("totalprice_lo"), F.round("totalprice_hi", 4).alias("totalprice_hi"))
@@ -283,6 +314,39 @@ def visits_query(spark, sf_dir):
     return skew(events, "hour", "event_type").select("hour", "group_size", "sa_values", F.round("p_max", 6).alias("p_max"), F.round("entropy", 6).alias("entropy"))
 
 
+def repair_ctes(source: str, sensitive: str, tree: str = "0") -> str:
+    """``source`` (row_key, group_id) repaired: every breaking node goes to the first one above it that holds, which takes all
+    that lies below it. It ends in repaired (row_key, tree, group_id)."""
+    figures = "sum(n) AS size, count(value) AS kinds, max(n) AS most, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h"
+    good = f"size >= {WHO.k} AND kinds >= {WHO.e} AND most / size <= {ALPHA} AND h >= {ENTROPY} + 1e-9"
+    return f"""rp_c AS MATERIALIZED (SELECT {tree} AS tree, group_id AS leaf, {sensitive} AS value, count(*) AS n FROM {source} WHERE group_id IS NOT NULL GROUP BY ALL),
+  rp_up AS MATERIALIZED (SELECT tree, leaf, leaf >> i AS node FROM (SELECT DISTINCT tree, leaf FROM rp_c), range(62) r(i) WHERE leaf >> i > 0),
+  rp_v AS (SELECT tree, node, value, sum(n) AS n FROM rp_c JOIN rp_up USING (tree, leaf) GROUP BY ALL),
+  rp_f AS MATERIALIZED (SELECT tree, node, {good} AS good FROM (SELECT tree, node, {figures} FROM rp_v GROUP BY tree, node)),
+  rp_bad AS (SELECT tree, node AS leaf FROM rp_f WHERE NOT good AND (tree, node) IN (SELECT (tree, leaf) FROM rp_c)),
+  rp_end AS MATERIALIZED (SELECT tree, leaf, max(node) FILTER (good) AS stop FROM rp_bad JOIN rp_up USING (tree, leaf) JOIN rp_f USING (tree, node) GROUP BY tree, leaf),
+  rp_to AS (SELECT u.tree, u.leaf, min(u.node) AS stop FROM rp_up u JOIN (SELECT DISTINCT tree, stop FROM rp_end) e ON u.tree = e.tree AND u.node = e.stop GROUP BY ALL),
+  rp_rows AS (SELECT row_key, {tree} AS tree, group_id AS leaf FROM {source}),
+  repaired AS (SELECT row_key, r.tree, CASE WHEN b.leaf IS NOT NULL AND b.stop IS NULL THEN NULL ELSE coalesce(t.stop, r.leaf) END AS group_id
+    FROM rp_rows r LEFT JOIN rp_to t ON r.tree = t.tree AND r.leaf = t.leaf LEFT JOIN rp_end b ON r.tree = b.tree AND r.leaf = b.leaf)"""
+
+
+def total_ctes(dims: list[str], least: float, seed: int = 42) -> str:
+    """The split by the sum of sample variances with its levels written out; it ends in t{DEPTH + 1} (row_key, node)."""
+    xs, n = ", ".join(dims), len(dims)
+    out = [f"{PEOPLE}, t0 AS (SELECT row_key, {xs}, CAST(1 AS BIGINT) AS node FROM people)"]
+    var = ", ".join(f"var_samp({x}) AS v{j}" for j, x in enumerate(dims))
+    plain = [f"round(v{j}, 9)" for j in range(n)]
+    widest = " ".join(f"WHEN {p} = greatest({', '.join(plain)}) THEN {j}" for j, p in enumerate(plain))
+    dim = f"CASE WHEN {' + '.join(f'v{j}' for j in range(n))} > {least} THEN CASE {widest} END ELSE (node * 2654435761 + {seed}) % {n} END"
+    for i in range(DEPTH + 1):
+        out.append(f"ts{i} AS MATERIALIZED (SELECT node, {dim} AS dim FROM (SELECT node, {var} FROM t{i} WHERE node < {2**DEPTH} GROUP BY node HAVING count(*) > {2 * WHO.k}))")
+        out.append(f"tx{i} AS MATERIALIZED (SELECT row_key, {xs}, node, CASE dim {' '.join(f'WHEN {j} THEN {x}' for j, x in enumerate(dims))} END AS x FROM t{i} LEFT JOIN ts{i} USING (node))")
+        out.append(f"tm{i} AS MATERIALIZED (SELECT node, median(x) AS cut, max(x) AS top FROM tx{i} WHERE x IS NOT NULL GROUP BY node)")
+        out.append(f"t{i + 1} AS MATERIALIZED (SELECT row_key, {xs}, CASE WHEN cut < top THEN 2 * node + CAST(x > cut AS BIGINT) ELSE node END AS node FROM tx{i} LEFT JOIN tm{i} USING (node))")
+    return ", ".join(out)
+
+
 def queries():
     return {
         "encode_identity": encode_query, "encode_onehot": onehot_query, "node_stats": node_stats_query, "mondrian_rank": mondrian_query,
@@ -292,7 +356,7 @@ def queries():
         "mondrian_median": median_query, "mondrian_total": total_query, "mondrian_forest": forest_query, "remainder_again": again_query, "microagg_whole": whole_query, "microagg_latent": latent_query, "microagg_strict": strict_query,
         "encode_covariance": covariance_query, "encode_linear": linear_query, "encode_trained": trained_query, "microagg_encoder": encoder_query,
         "linkage_attack": attack_query, "linkage_attack_summary": attack_summary_query, "cluster_drop": cluster_drop_query, "cluster_parts": cluster_query, "method_comparison": comparison_query, "encoding_sweep": sweep_query, "permutation_sensitivity": sensitivity_query,
-        "job_report": job_query, "job_risk": job_risk_query, "job_sweep": job_sweep_query,
+        "repair": repair_query, "repair_forest": repair_forest_query, "repair_audit": repair_audit_query, "job_report": job_query, "job_risk": job_risk_query, "job_sweep": job_sweep_query,
     }
 
 
@@ -387,5 +451,9 @@ def oracle_sql():
     both = "SELECT row_key, 1 AS pass, group_id FROM a_out WHERE group_id IS NOT NULL UNION ALL SELECT row_key, 2 AS pass, group_id FROM b_out"
     sql["remainder_again"] = f"WITH {once}, {rest}, {median_ctes('rest', 'b', DIMS, 'segment')} {both}"
     sql["mondrian_forest"] = f"WITH {ENCODED}, {median_ctes('encoded', 'a', DIMS[:4], 'priority', TREE)} SELECT row_key, tree, group_id FROM a_out"
+    sql["repair"] = f"WITH {mondrian_sql()}, {repair_ctes('grouped', 'segment')} SELECT row_key, group_id FROM repaired"
+    forest = "SELECT encoded.*, tree, group_id FROM encoded JOIN a_out USING (row_key)"
+    sql["repair_forest"] = f"WITH {ENCODED}, {median_ctes('encoded', 'a', DIMS[:4], 'priority', TREE)}, grouped AS MATERIALIZED ({forest}), {repair_ctes('grouped', 'priority', 'tree')} SELECT row_key, tree, group_id FROM repaired"
+    sql["mondrian_total"] = f"WITH {total_ctes(list(WHO.numeric), 1000.0)} SELECT row_key, node AS group_id FROM t{DEPTH + 1}"
     sql["job_risk"] = finished("linkage_attack_summary")
     return sql
