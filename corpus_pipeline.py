@@ -3,7 +3,9 @@
 quality_rules and decontamination drop documents, near_duplicates keeps one document of each group, secret_scan puts a
 mark in place of every secret, packing returns the packed pieces of what is left. Parameters are those that the stages
 below name; near duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or more. A document with
-the smallest id of its group stays, one row of it if rows repeat its id; documents without an id are never near duplicates.
+the smallest id of its group stays. Rows that repeat an id are one document: they share a group, one row stays if the id does,
+and all go if any of them is a copy of a document with a smaller id, different texts too. Documents without an id are never
+near duplicates.
 """
 
 import public_tokenizers
