@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcols import U, Words, blobs, map_slices, mix, saved, signed, slices, small, text_bytes
+from .textcols import U, Words, blobs, map_slices, mix, saved, signed, slices, small, text_bytes, tidy
 
 LEAST_BITS, MOST_BITS = 16, 24
 CHUNKS = 64
@@ -88,8 +88,8 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
             total[big] = np.minimum(192 + np.floor(4 * np.log2(total[big] / 192)), 255)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], ["chunk", "counts"])
 
-    parts = docs.mapInArrow(count, "chunk int, counts binary").repartition(CHUNKS, "chunk")
-    rows = parts.mapInArrow(add, "chunk int, counts binary").collect()
+    parts = docs.mapInArrow(tidy(count), "chunk int, counts binary").repartition(CHUNKS, "chunk")
+    rows = parts.mapInArrow(tidy(add), "chunk int, counts binary").collect()
     return np.concatenate([np.frombuffer(r.counts, np.uint8) for r in sorted(rows)]) if rows else np.zeros(size, np.uint8)
 
 
@@ -170,7 +170,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
                 p, q = (rows.column(c).to_numpy() for c in ("p", "q"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
-    return y.join(x.hint("merge"), ["p", "salt"]).select("p", "q", "x", "y").mapInArrow(run, "a long, b long, linked boolean").distinct()
+    return y.join(x.hint("merge"), ["p", "salt"]).select("p", "q", "x", "y").mapInArrow(tidy(run), "a long, b long, linked boolean").distinct()
 
 
 def verify_blocks(left: DataFrame, right: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
