@@ -4,6 +4,7 @@ A document's features are its word 1- and 2-grams, and 1- to 3-grams of word out
 two characters), all hashed to 2**BITS weights and averaged over the document; a score is the logistic of that sparse dot
 product. ``train`` fits on some ``max_rows`` labelled rows of some ``max_bytes`` in all (documented bounds on the fit, kept
 on average: a hash of the id picks the rows) in SHARDS shards, whose weights are averaged; scoring covers every row.
+``labelled_rows`` picks the same rows where texts and labels are in two tables, without moving the texts, for ``fit``.
 
 Defined results: a null or empty text has no n-grams and gets the bias alone; rows with a null id or label never train;
 without labelled rows every score is 0.5; repeated rows are scored alike; extra columns are carried
@@ -12,11 +13,11 @@ along, but a column named score is replaced.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textcols import U, Words, blobs, map_slices, mix
+from .textcols import U, Words, blobs, map_slices, mix, saved, small
 
 BITS = 20
 SHARDS = 4
@@ -68,18 +69,36 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, alpha:
     return w[:-1].astype(np.float32), float(w[-1])
 
 
+def part(total: int, size: int, max_rows: int, max_bytes: int) -> Column:
+    """Whether a fit that keeps to its bounds takes the rows of an ``id``, out of ``total`` rows of ``size`` bytes."""
+    return F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(total, 1), max_bytes / max(size, 1)))
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, scale: float = 20.0) -> tuple[np.ndarray, float]:
     """``labelled``: id, text, label. Returns averaged weights and bias."""
     usable = labelled.filter("id IS NOT NULL AND label IS NOT NULL")
     total, size = usable.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(total, 1), max_bytes / max(size, 1)))
+    return fit(usable.filter(part(total, size, max_rows, max_bytes)), scale)
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows (id, text, label) that ``train`` picks from the join of ``docs`` (id, text) and ``labels`` (id, label). To count
+    that join only ids and sizes of texts move; then the labels that are picked are sent to the texts."""
+    wanted = labels.filter("id IS NOT NULL AND label IS NOT NULL").select("id", "label")
+    sizes = docs.select("id", F.octet_length("text").cast("long").alias("size"))
+    total, size = sizes.join(wanted, "id").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return docs.join(small(saved(wanted.filter(part(total, size, max_rows, max_bytes)))), "id").select("id", "text", "label")
+
+
+def fit(labelled: DataFrame, scale: float = 20.0) -> tuple[np.ndarray, float]:
+    """Averaged weights and bias of a fit on all rows of ``labelled``: id, text, label."""
 
     def each(rows, data, offsets):
         grams, of = features(data, offsets)
         slots = np.stack(grams, 1).ravel() if len(grams[0]) else np.zeros(0, np.int32)
         return [rows.column("id").cast(pa.int64()), rows.column("label").cast(pa.int32()), blobs(slots, of * len(grams))]
 
-    def fit(table: pa.Table) -> pa.Table:
+    def learn(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(mix(table.column("id").to_numpy().astype(U)), kind="stable")))
         rows = []
         for blob, label in zip(table.column("slots"), table.column("label").to_pylist()):
@@ -88,8 +107,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BY
         w, bias = ftrl(rows)
         return pa.table([pa.array([w.tobytes()], pa.binary()), pa.array([bias]), pa.array([len(rows)], pa.int64())], ["w", "bias", "n"])
 
-    grams = map_slices(usable.filter(part).select("id", "text", "label"), "text", each, "id long, label int, slots binary")
-    got = grams.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS))).applyInArrow(fit, "w binary, bias double, n long").collect()
+    grams = map_slices(labelled.select("id", "text", "label"), "text", each, "id long, label int, slots binary")
+    got = grams.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS))).applyInArrow(learn, "w binary, bias double, n long").collect()
     if not got:
         return np.zeros(1 << BITS, np.float32), 0.0
     share = np.array([r.n for r in got], float) / sum(r.n for r in got)

@@ -529,6 +529,39 @@ def test_scores_of_odd_rows(spark, odd):
     assert not few[0].any()  # the bound on bytes holds too
 
 
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 12}, {"max_bytes": 900}])
+def test_labels_are_sent_to_texts(spark, bounds):
+    """The rows of a fit are those of the plain join that the bounds pick, with repeated and null ids and labels; no text is shuffled."""
+    docs = spark.createDataFrame([(i % 30, f"text {i}" * (i % 7) if i % 11 else None) for i in range(60)] + [(None, "x")], "id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 2 if i % 13 else None) for i in range(50)] + [(None, 1), (500, 1)], "id long, label int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = ftrl_quality.labelled_rows(docs, labels, **bounds)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        joined = docs.join(labels, "id").filter("label IS NOT NULL").cache()
+        total, size = joined.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        share = min(1.0, bounds.get("max_rows", total) / total, bounds.get("max_bytes", size) / size)
+        want = joined.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share))
+        key = lambda r: (r.id, r.text or "", r.label)
+        assert sorted(map(tuple, rows.collect()), key=str) == sorted(map(tuple, want.select("id", "text", "label").collect()), key=str)
+        assert len({key(r) for r in want.collect()}) > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fit_of_the_query_moves_no_text(spark, small, monkeypatch):
+    taken = []
+    monkeypatch.setattr(queries, "fit", lambda rows: taken.append(rows) or (np.zeros(1 << ftrl_quality.BITS, np.float32), 0.0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queries.op5_ftrl_quality(spark, small)
+        plan = taken[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan
+
+
 def test_empty_tables(spark, small):
     none = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for f in (pii_votes.find_pii, trigram_secrets.scan_secrets, repetition_rules, suffix_dedup, rlz_dedup, jaccard_components, lambda d: best_fit_pack(d, TOKENS), lambda d: decontaminate(d, spark.read.parquet(f"{small}/benchmark.parquet"))):
