@@ -11,9 +11,12 @@ Every text becomes a set of word n-gram hashes. Two texts link when ``den * |A &
 4. Candidates pass length, positional and suffix filters (the last on counts of the set in RANGES hash ranges) and are
    verified once. So as not to emit all pairs of a bucket (the sets with one prefix n-gram), members are first compared with
    one pivot of their bucket (of its salt, where there are several). Buckets whose sets are now in one component are
-   dropped; in the others, members are compared with sets of up to four other components; and last, in buckets that still
-   hold several components, all pairs of different components are compared, in blocks where there are very many of them.
-   Any two linked texts end up in one component, and no pair inside a component is compared again.
+   dropped; in the others, members are compared with sets of up to four other components. Where very many pairs of different
+   components are left in a bucket, the n-grams that stand in one set of such buckets only are counted: they are in no
+   intersection, which bounds every similarity of a set. There, members are compared with the four sets that have fewest of
+   them (the text that others were made from, say). Last, in buckets that still hold several components, all pairs of
+   different components are compared, in blocks where there are very many of them, without sets that by this bound link with
+   no size of their bucket. Any two linked texts end up in one component, and no pair inside a component is compared again.
 
 Defined results: null or empty texts have an empty set and link with nothing; rows that repeat an id are one node, with the
 links of all their texts; rows with a null id link with nothing (null id and component_id out); extra columns are ignored.
@@ -173,6 +176,30 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
     return y.join(x.hint("merge"), ["p", "salt"]).select("p", "q", "x", "y").mapInArrow(tidy(run), "a long, b long, linked boolean").distinct()
 
 
+def own_grams(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, own): how many n-grams of the set of each of ``ids`` stand in no other of their sets. Ids with none, and those of
+    several rows, are left out: nothing is known to be their own."""
+    texts = docs.join(ids, "id", "left_semi")
+
+    def each(rows, data, offsets):
+        grams, of = shingles(Words(data, offsets, lower=True), n)
+        sets = [np.unique(grams[a:b]) for a, b in zip(of[:-1], of[1:])]
+        return [signed(np.concatenate([*sets, np.zeros(0, U)])), np.repeat(rows.column("id").to_numpy(), [len(x) for x in sets])]
+
+    grams = map_slices(texts, "text", each, "gram long, id long")
+    alone = grams.groupBy("gram").agg(F.count("*").alias("times"), F.min("id").alias("id")).filter("times = 1")
+    once = texts.groupBy("id").count().filter("count = 1").select("id")
+    return saved(alone.groupBy("id").agg(F.count("*").cast("int").alias("own")).join(once, "id"))
+
+
+def able(rows: DataFrame, others: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``rows`` (tok, n, own) that may link with a set of one of the sizes that their bucket has in ``others``."""
+    n = F.col("n")
+    fits = lambda s: (F.least(n, s) * den >= F.greatest(n, s) * num) & ((n - F.col("own")) * (num + den) >= (n + s) * num)
+    sizes = others.groupBy("tok").agg(F.collect_set("n").alias("sizes"))
+    return rows.join(sizes, "tok").filter(F.exists("sizes", fits)).drop("sizes")
+
+
 def verify_blocks(left: DataFrame, right: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links between ``left`` and ``right`` (tok, id, comp, m_left, m, chunk: a number of sets) of buckets with very many
     pairs, as many as hold the linked sets of a block together. Both sides are cut into chunks; every two chunks of a bucket
@@ -181,10 +208,12 @@ def verify_blocks(left: DataFrame, right: DataFrame, reps: DataFrame, docs: Data
     the only one that the positional filter holds for)."""
     lefts, rights = (F.ceil(F.col(c) / F.col("chunk")) for c in ("m_left", "m"))
     here = F.pmod(F.xxhash64("id"), F.col("mine"))
-    sides = [side.withColumn("mine", mine).withColumn("here", here).withColumn("there", F.explode(F.sequence(F.lit(0), (other - 1).cast("int")))).select("tok", "id", "comp", F.lit(k).alias("side"), F.when(F.lit(k == 0), F.col("here")).otherwise(F.col("there")).cast("int").alias("i"), F.when(F.lit(k == 0), F.col("there")).otherwise(F.col("here")).cast("int").alias("j")) for k, (side, mine, other) in enumerate(((left, lefts, rights), (right, rights, lefts)))]
+    sides = [side.withColumn("mine", mine).select("tok", "id", "comp", F.lit(k).alias("side"), here.cast("int").alias("here"), other.cast("int").alias("others")) for k, (side, mine, other) in enumerate(((left, lefts, rights), (right, rights, lefts)))]
     toks = saved(right.groupBy("id").agg(F.collect_set("tok").alias("toks")))  # at most a prefix
     texts = docs.join(small(toks.select("id")), "id", "left_semi")
-    rows = sides[0].unionByName(sides[1]).join(toks, "id").join(reps.select("id", "ranges"), "id").join(texts, "id")
+    whole = toks.join(reps.select("id", "ranges"), "id").join(texts, "id")
+    rows = sides[0].unionByName(sides[1]).join(whole, "id").withColumn("there", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    rows = rows.withColumns({"i": F.when(F.col("side") == 0, F.col("here")).otherwise(F.col("there")), "j": F.when(F.col("side") == 0, F.col("there")).otherwise(F.col("here"))}).drop("here", "there", "others")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -302,24 +331,38 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     done = saved(checked(posted.filter("pivot IS NOT NULL").select("id", F.col("pivot").alias("id2")), done))
     comp = components(done.filter("linked"))
     rows, per = mixed(small(comp))
+    crowd = F.col("m_left") * F.col("m") > PAIRS
+    other = [F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp", "own")]
+    shared = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) * (num + den) >= (F.col("n") + F.col("n2")) * num
+    apt = (F.col("comp") != F.col("comp2")) & alike(num, den) & shared
+    crowds = small(saved(rows.filter(crowd).select("id").distinct()))
+    crowded = not crowds.isEmpty()
+    own = small(own_grams(docs, crowds, n)) if crowded else None
+    known = lambda rows: saved(rows.join(own, "id", "left").fillna(0, ["own"])) if crowded else rows.withColumn("own", F.lit(0))
+    rows = known(rows)
     largest = Window.partitionBy("tok").orderBy(F.desc("members"), "comp")
     few = small(saved(per.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") <= pivots).select("tok", "comp", "h")))
-    few = rows.join(few.withColumnRenamed("comp", "comp2"), "tok").filter("xxhash64(id) = h AND comp = comp2")
-    few = small(saved(few.select("tok", "comp2", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos")))))
-    found = saved(checked(rows.join(few, "tok").filter((F.col("comp") != F.col("comp2")) & alike(num, den)), done))
+    few = rows.join(few.withColumnRenamed("comp", "comp2"), "tok").filter("xxhash64(id) = h AND comp = comp2").filter(~crowd).select("tok", *other)
+    if crowded:
+        fewest = Window.partitionBy("tok").orderBy("own", F.xxhash64("id"), "id")
+        few = few.unionByName(rows.filter(crowd).withColumn("rank", F.row_number().over(fewest)).filter(F.col("rank") <= pivots).select("tok", *other))
+    found = saved(checked(rows.join(small(saved(few)), "tok").filter(apt), done))
     done = done.unionByName(found)
     before, comp = comp, grown(comp, found)
     if comp is not before:
-        rows, _ = mixed(small(comp))
-    crowd = F.col("m_left") * F.col("m") > PAIRS
-    right = rows.filter(~crowd).select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")))
+        rows = known(mixed(small(comp))[0])
+    right = rows.filter(~crowd).select("tok", *other)
     once = (F.col("comp2") == F.col("main")) | (F.col("id") < F.col("id2"))
-    found = checked(rows.filter(~crowd & (F.col("comp") != F.col("main"))).join(right, "tok").filter((F.col("comp") != F.col("comp2")) & once & alike(num, den)), done)
-    crowded = rows.filter(crowd)
-    if not crowded.isEmpty():
-        widest = crowded.groupBy("tok").agg(F.max("n").alias("widest"))
-        crowded = saved(crowded.join(widest, "tok").withColumn("chunk", F.greatest(F.lit(16), F.least(F.lit(500), F.floor(400_000 / F.col("widest"))))).drop("widest"))
-        found = found.unionByName(verify_blocks(crowded.filter("comp <> main"), crowded, reps, docs, n, num, den))
+    found = checked(rows.filter(~crowd & (F.col("comp") != F.col("main"))).join(right, "tok").filter(apt & once), done)
+    if crowded:
+        dense = rows.filter(crowd).drop("m", "m_left")
+        left = saved(able(dense.filter("comp <> main"), dense, num, den))
+        right = saved(able(dense, left, num, den))
+        lefts, rights = (side.groupBy("tok").agg(F.count("*").alias(m), F.max("n").alias(f"widest_{m}")) for side, m in ((left, "m_left"), (right, "m")))
+        chunk = F.greatest(F.lit(16), F.least(F.lit(500), F.floor(400_000 / F.greatest("widest_m_left", "widest_m")))).alias("chunk")
+        counts = small(saved(lefts.join(rights, "tok").select("tok", "m_left", "m", chunk)))
+        left, right = (saved(side.join(counts, "tok")) for side in (left, right))
+        found = found.unionByName(verify_blocks(left, right, reps, docs, n, num, den))
     comp = small(grown(comp, saved(found)).withColumnRenamed("id", "rep"))
     linked = keyed.select("id", "n", "rep").join(comp, "rep", "left").select("id", "n", F.coalesce("low", "rep").alias("low"))
     out = linked.unionByName(sigs.filter(~some).select("id", "n", F.col("id").alias("low")))

@@ -296,6 +296,26 @@ def test_join_of_chains(spark, pairs, split, monkeypatch):
     assert by_id(jaccard_components(df, 3, 80, 100), "n_shingles", "component_id") == brute.components(list(enumerate(rows)), 3, 80, 100)
 
 
+def test_join_of_many_edits(spark, monkeypatch):
+    """Edits of one text, of which every other one has changed too much to link with any: it meets few sets, not all of them."""
+    monkeypatch.setattr(ngram_join, "PAIRS", 100)
+    rnd, words, rows, met = random.Random(7), [f"w{i}" for i in range(150)], [], []
+    for k in range(200):
+        edited = {rnd.randrange(150): f"e{k}x{i}" for i in range(rnd.randrange(4) if k % 2 else rnd.randrange(8, 14))}
+        rows.append((k, " ".join(edited.get(i, w) for i, w in enumerate(words))))
+    rows += [(200, rows[0][1]), (201, rows[1][1])]
+    blocks = ngram_join.verify_blocks
+
+    def counted(left, right, *more):
+        met.append(left.count())
+        return blocks(left, right, *more)
+
+    monkeypatch.setattr(ngram_join, "verify_blocks", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert by_id(jaccard_components(df, 5, 80, 100), "n_shingles", "component_id") == brute.components(rows, 5, 80, 100)
+    assert sum(met) < 200
+
+
 def test_join_of_repeated_ids(spark):
     """An id whose rows hold different texts links by each of them."""
     a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
