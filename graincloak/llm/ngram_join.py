@@ -184,10 +184,12 @@ def own_grams(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     def each(rows, data, offsets):
         grams, of = shingles(Words(data, offsets, lower=True), n)
         sets = [np.unique(grams[a:b]) for a, b in zip(of[:-1], of[1:])]
-        return [signed(np.concatenate([*sets, np.zeros(0, U)])), np.repeat(rows.column("id").to_numpy(), [len(x) for x in sets])]
+        ids = np.repeat(rows.column("id").to_numpy(), [len(x) for x in sets])
+        found, first, times = np.unique(np.concatenate([*sets, np.zeros(0, U)]), return_index=True, return_counts=True)
+        return [signed(found), ids[first], times]
 
-    grams = map_slices(texts, "text", each, "gram long, id long")
-    alone = grams.groupBy("gram").agg(F.count("*").alias("times"), F.min("id").alias("id")).filter("times = 1")
+    grams = map_slices(texts, "text", each, "gram long, id long, times long")
+    alone = grams.groupBy("gram").agg(F.sum("times").alias("times"), F.min("id").alias("id")).filter("times = 1")
     once = texts.groupBy("id").count().filter("count = 1").select("id")
     return saved(alone.groupBy("id").agg(F.count("*").cast("int").alias("own")).join(once, "id"))
 
