@@ -1,12 +1,14 @@
 """What keeps large tables cheap: few jobs a level, equal rows and boxes met once, no sort of all shuffled orders."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graincloak.config import People
 from graincloak.operators import mondrian as module
-from graincloak.operators.metrics import linkage
+from graincloak.operators.metrics import attacks, linkage
 from graincloak.operators.mondrian import mondrian, rank_leaves
 
 
@@ -44,3 +46,17 @@ def test_equal_rows_and_boxes_meet_once(spark):
     for k, r in got.items():
         n = 0 if k % 5 == 0 else sum(lo <= k % 4 <= lo + 1 for lo in range(3)) * 200
         assert (r.n_match, r.rows_match) == (n, 8 * n)
+
+
+def test_samples_without_a_sort_of_all_orders(spark):
+    n, rng = 700, np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 4)), int(rng.integers(0, 40))) for i in range(n)]
+    got = attacks(spark.createDataFrame(rows, "k long, n_match long, rows_match long").persist(), "k", (0.001, 0.1, 0.5), range(2))
+    assert "rangepartitioning" not in got._jdf.queryExecution().toString().lower()
+    want = {}
+    for s in range(2):
+        order = sorted(rows, key=lambda r: (hashlib.md5(f"{r[0]}-{s}".encode()).hexdigest(), r[0]))
+        for f in (0.001, 0.1, 0.5):
+            some = order[: max(1, int(n * f))]
+            want[f, s] = (len(some), round(sum(r[1] == 1 for r in some) / len(some), 9), round(sum(1 / r[2] if r[2] else 0 for r in some) / len(some), 9))
+    assert {(r.frac, r.seed): (r.n_external, round(r.umr, 9), round(r.err, 9)) for r in got.collect()} == want
