@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graincloak.config import People
 from graincloak.operators import mondrian as module
+from graincloak.operators import remainder
 from graincloak.operators.metrics import attacks, linkage
 from graincloak.operators.mondrian import mondrian, rank_leaves
 
@@ -60,3 +61,21 @@ def test_samples_without_a_sort_of_all_orders(spark):
             some = order[: max(1, int(n * f))]
             want[f, s] = (len(some), round(sum(r[1] == 1 for r in some) / len(some), 9), round(sum(1 / r[2] if r[2] else 0 for r in some) / len(some), 9))
     assert {(r.frac, r.seed): (r.n_external, round(r.umr, 9), round(r.err, 9)) for r in got.collect()} == want
+
+
+def test_only_rows_that_get_a_seat_ask(spark, monkeypatch):
+    """Far more rows than seats: the first rows in order of the key get them; no other row is compared with a group."""
+    asked = []
+    real = remainder.near
+    monkeypatch.setattr(remainder, "near", lambda rows, *more: (asked.append(rows.count()), real(rows, *more))[1])
+    rows = spark.range(2000).select(F.col("id").alias("row_key"), (F.col("id") * 37 % 101 / 10).alias("a"))
+    centres = spark.range(12).select(F.col("id").alias("group_id"), F.lit(6).cast("long").alias("size"), F.col("id").cast("double").alias("c_a"))
+    held, left = remainder.place_with_seats(rows.repartition(5), centres, "row_key", ["a"], 8)
+    free, want = dict.fromkeys(range(12), 2), {}
+    for k in range(2000):
+        best = min(((round(abs(k * 37 % 101 / 10 - g), 9), g) for g in free if free[g]), default=None)
+        if best:
+            want[k] = best[1]
+            free[best[1]] -= 1
+    assert {r.row_key: r.group_id for r in held.collect()} == want and left.count() == 2000 - 24
+    assert max(asked) <= 24
